@@ -40,7 +40,8 @@ def _pivot(rows: pd.DataFrame, seed: int, level: int) -> pd.DataFrame:
 
     The expected parts stay, and so does the group's mass, but for the one row that may stay open.
     """
-    rows = rows.sort_values(["doc_id", "size"], kind="stable", na_position="first", ignore_index=True)
+    # Long rows first: then the row that stays open at the end is a short one as a rule.
+    rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="first", ignore_index=True)
     size, part = rows["size"].to_numpy(np.float64), rows["part"].to_numpy(np.float64).copy()
     chance = np.random.Generator(np.random.PCG64([seed, level, int(rows["bucket"].iloc[0]) & 0xFFFFFFFF, len(rows)])).random(len(rows))
     open_ = -1
@@ -78,9 +79,9 @@ def mixed(docs: DataFrame, most: float = 3.0, seed: int = 29, bucket_rows: int =
 
     A row's expected copies are target / source_size. Whole copies are certain; the fractional part is rounded by pivotal
     dependent rounding: first inside buckets of about bucket_rows of one source, then the one open row of each bucket in
-    groups of bucket_rows buckets, and so on up a tree; the last open row of a source is drawn by its part. A source's
-    taken words are within one document of its target. Random numbers are seeded by level and bucket and rows are sorted by
-    doc_id, so reruns agree. Null text and texts without words have size 0 and no copies; a null source is one; rows that
+    groups of bucket_rows buckets, and so on up a tree; the last open row of a source goes to the nearer side. A
+    source's taken words are within half a document of its target. Random numbers are seeded by level and bucket and rows are
+    sorted by size and doc_id, so reruns agree. Null text and texts without words have size 0 and no copies; a null source is one; rows that
     repeat a doc_id count each; an empty table gives an empty result. Only the number of rows of the largest source reaches the driver.
     """
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
@@ -104,8 +105,7 @@ def mixed(docs: DataFrame, most: float = 3.0, seed: int = 29, bucket_rows: int =
             break
         buckets = -(-buckets // bucket_rows)
         left = left.withColumn("bucket", F.floor(F.col("bucket") / bucket_rows))
-    drawn = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    layers.append(left.withColumn("part", F.when(drawn < F.col("part"), 1.0).otherwise(0.0)))
+    layers.append(left.withColumn("part", F.round("part")))
     out = layers[0]
     for x in layers[1:]:
         out = out.unionByName(x)
