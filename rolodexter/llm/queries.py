@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import documents
+from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language import op7_language
 from .media import op8_media
 from .mixing import op4_mixing
@@ -10,6 +11,7 @@ from .secrets import op5_secrets
 from .sharding import op10_sharding
 
 QUERIES = {
+    "op1_exact_dedup": lambda s, d: op1_exact_dedup(documents(s, d)),
     "op4_source_mixing": lambda s, d: op4_mixing(documents(s, d)),
     "op5_secret_scan": lambda s, d: op5_secrets(documents(s, d)),
     "op7_language_id": lambda s, d: op7_language(documents(s, d)),
@@ -17,4 +19,4 @@ QUERIES = {
     "op10_sharding": lambda s, d: op10_sharding(documents(s, d)),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
