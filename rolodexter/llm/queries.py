@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from .bpe import op2_bpe
 from .common import documents
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language import op7_language
@@ -10,8 +13,12 @@ from .mixing import op4_mixing
 from .secrets import op5_secrets
 from .sharding import op10_sharding
 
+#: The public vocabulary file; at the same place on driver and executors.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 QUERIES = {
     "op1_exact_dedup": lambda s, d: op1_exact_dedup(documents(s, d)),
+    "op2_bpe": lambda s, d: op2_bpe(documents(s, d), TOKENIZER),
     "op4_source_mixing": lambda s, d: op4_mixing(documents(s, d)),
     "op5_secret_scan": lambda s, d: op5_secrets(documents(s, d)),
     "op7_language_id": lambda s, d: op7_language(documents(s, d)),
