@@ -10,6 +10,7 @@ from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language import op7_language
 from .media import op8_media
 from .mixing import op4_mixing
+from .near_dedup import op6_near_dedup
 from .secrets import op5_secrets
 from .sharding import op10_sharding
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op2_bpe": lambda s, d: op2_bpe(documents(s, d), TOKENIZER),
     "op4_source_mixing": lambda s, d: op4_mixing(documents(s, d)),
     "op5_secret_scan": lambda s, d: op5_secrets(documents(s, d)),
+    "op6_near_dedup": lambda s, d: op6_near_dedup(documents(s, d)),
     "op7_language_id": lambda s, d: op7_language(documents(s, d)),
     "op8_media_columns": lambda s, d: op8_media(documents(s, d)),
     "op10_sharding": lambda s, d: op10_sharding(documents(s, d)),
