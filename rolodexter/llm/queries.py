@@ -8,6 +8,7 @@ from .bpe import op2_bpe
 from .common import documents
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language import op7_language
+from .lm_scoring import op9_lm_scoring
 from .media import op8_media
 from .mixing import op4_mixing
 from .near_dedup import op6_near_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op6_near_dedup": lambda s, d: op6_near_dedup(documents(s, d)),
     "op7_language_id": lambda s, d: op7_language(documents(s, d)),
     "op8_media_columns": lambda s, d: op8_media(documents(s, d)),
+    "op9_lm_scoring": lambda s, d: op9_lm_scoring(documents(s, d)),
     "op10_sharding": lambda s, d: op10_sharding(documents(s, d)),
 }
 
