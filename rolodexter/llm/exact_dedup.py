@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, stage_path, staged, text_of
+from .common import SPACES, settings, stage_path, staged, text_of
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The state never expires: no watermark. Memory of all state stores of an executor is bounded together.
@@ -31,18 +29,6 @@ def fingerprints(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     return out.withColumn("digest", F.substring("sha", 1, digest_bytes))
 
 
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    old = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def first_seen(stream: DataFrame) -> DataFrame:
     """Streaming: for each digest the best row so far (most code points, then smallest doc_id; null ids last) with its locator, and how many rows it has."""
     # min of (-points, null id?, doc_id) is the best row
@@ -56,7 +42,7 @@ def remember(table: str, schema, spark: SparkSession, state: str, max_bytes: str
     state: the checkpoint folder with the RocksDB state; a later run with the same folders takes new files only.
     max_bytes: of input for each micro-batch, if the first run is not to be one batch.
     """
-    with _settings(spark, STATE_CONF):
+    with settings(spark, STATE_CONF):
         reader = spark.readStream.schema(schema)
         if max_bytes:
             reader = reader.option("maxBytesPerTrigger", max_bytes)

@@ -189,7 +189,8 @@ def scored(docs: DataFrame, group_bytes: int = 12 << 20) -> DataFrame:
     main, tuning, distinct = (int(x or 0) for x in sums)
     mine = answers.filter("gid >= 0").select("gid", "part", "kind", "main", "tuning").repartition(groups, "gid").groupBy("gid")
     cells = texts.groupBy("gid").cogroup(mine).applyInArrow(_evidence(main), "bucket int, two int, one int, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
-    weights = learned_weights([tuple(r) for r in cells.orderBy("bucket", "two", "one").collect()], 1 / (distinct + 1))
+    cells = staged(cells, "lm-evidence").orderBy("bucket", "two", "one").collect()
+    weights = learned_weights([tuple(r) for r in cells], 1 / (distinct + 1))
     return texts.groupBy("gid").cogroup(mine).applyInArrow(_score(main + tuning, distinct, weights), SCORES)
 
 
