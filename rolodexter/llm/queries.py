@@ -14,6 +14,7 @@ from .mixing import op4_mixing
 from .near_dedup import op6_near_dedup
 from .secrets import op5_secrets
 from .sharding import op10_sharding
+from .suffix_dedup import op3_suffix_dedup
 
 #: The public vocabulary file; at the same place on driver and executors.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +22,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 QUERIES = {
     "op1_exact_dedup": lambda s, d: op1_exact_dedup(documents(s, d)),
     "op2_bpe": lambda s, d: op2_bpe(documents(s, d), TOKENIZER),
+    "op3_suffix_dedup": lambda s, d: op3_suffix_dedup(documents(s, d)),
     "op4_source_mixing": lambda s, d: op4_mixing(documents(s, d)),
     "op5_secret_scan": lambda s, d: op5_secrets(documents(s, d)),
     "op6_near_dedup": lambda s, d: op6_near_dedup(documents(s, d)),
