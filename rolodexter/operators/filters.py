@@ -70,7 +70,7 @@ def ordered(rows: DataFrame, by: str, descending: bool = False, sortable: Sequen
     by = by if by in sortable else default
     blank, value = F.coalesce(~present(by), F.lit(True)), F.col(by)
     if dict(rows.dtypes)[by] == "string":
-        value = F.lower(value)
+        value = F.when(~blank, F.lower(value))  # all blanks are equal
     return rows.orderBy(blank.desc() if descending and not blanks_last else blank.asc(), value.desc() if descending else value.asc(), F.col(tie).asc())
 
 
