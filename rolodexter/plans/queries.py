@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import crypto, dates, fixed, identity, score, text, validate
 from ..operators import aggregates, filters, joins, merge, outreach, windows
 from ..sources import export, pages
+from .ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +22,7 @@ def now():
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
