@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, settings, stage_path, staged, text_of
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_ROWS = 500_000  # rows for each partition of the state
 #: The state never expires: no watermark. Memory of all state stores of an executor is bounded together.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
@@ -36,13 +37,15 @@ def first_seen(stream: DataFrame) -> DataFrame:
     return stream.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
 
 
-def remember(table: str, schema, spark: SparkSession, state: str, max_bytes: str | None = None) -> DataFrame:
+def remember(table: str, schema, spark: SparkSession, state: str, partitions: int, max_bytes: str | None = None) -> DataFrame:
     """Runs first_seen() over what is new in a folder of fingerprints and returns the whole state as (digest, best, group_size).
 
     state: the checkpoint folder with the RocksDB state; a later run with the same folders takes new files only.
+    partitions: of the state, fixed when it is first made. Each has a RocksDB of its own with some MB of files however little is
+    in it, so their number follows the rows and not spark.sql.shuffle.partitions.
     max_bytes: of input for each micro-batch, if the first run is not to be one batch.
     """
-    with settings(spark, STATE_CONF):
+    with settings(spark, STATE_CONF | {"spark.sql.streaming.internal.stateStore.partitions": str(partitions)}):
         reader = spark.readStream.schema(schema)
         if max_bytes:
             reader = reader.option("maxBytesPerTrigger", max_bytes)
@@ -75,7 +78,8 @@ def deduplicated(docs: DataFrame, state: str | None = None, digest_bytes: int =
     table = stage_path(spark, "fingerprints")
     prints.write.parquet(table)
     prints = spark.read.schema(prints.schema).parquet(table)
-    seen = remember(table, prints.schema, spark, state or stage_path(spark, "dedup-state"))
+    partitions = max(2 * spark.sparkContext.defaultParallelism, -(-prints.count() // STATE_ROWS))
+    seen = remember(table, prints.schema, spark, state or stage_path(spark, "dedup-state"), partitions)
     out = prints.select("doc_id", "sha", "digest").join(seen.select(F.col("digest"), F.col("best.doc_id").alias("keep_id"), "group_size"), "digest")
     odd = staged(collisions(docs, digest_bytes), "collisions")
     if not odd.isEmpty():
