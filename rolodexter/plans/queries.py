@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crypto, dates, fixed, identity, score, text, validate
-from ..operators import aggregates, filters, joins, merge, outreach, windows
+from ..operators import aggregates, ask, filters, joins, merge, outreach, windows
 from ..sources import export, pages
 from .ship import ship
 
@@ -495,6 +495,22 @@ def next_run_hourly_daily(t):
     return t("events").select("event_id", ntz(dates.next_hourly("ts")).alias("hourly"), ntz(dates.next_daily("ts", 9)).alias("daily"))
 
 
+# Questions
+
+
+@query("SELECT c_custkey AS id, c_name AS company_name, c_mktsegment AS industry FROM customer WHERE contains(lower(c_name), '1') AND contains(lower(c_mktsegment), 'build') ORDER BY lower(c_name), c_custkey LIMIT 30")
+def ask_list(t):
+    rows = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("company_name"), F.col("c_mktsegment").alias("industry"))
+    said = 'Sure: ```json\n{"tool": "search_companies", "arguments": {"keyword": "1", "industry": "Build", "order_by": "company_name", "limit": "30", "drop": "table"}}\n```'
+    return ask.answered(rows, ask.parsed(said), now(), ["company_name"])
+
+
+@query("SELECT count(*) AS n FROM customer WHERE contains(lower(c_name), '12')")
+def ask_count(t):
+    rows = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("company_name"))
+    return ask.answered(rows, ask.parsed('{"mode": "count", "arguments": {"keyword": "12"}}'), now(), ["company_name"])
+
+
 # Encryption, export, windows over events
 
 KEY = bytes(range(32))

@@ -113,3 +113,71 @@ def test_duplicate_groups_collapse_equal_members(spark):
     rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "b", "y")], "id int, k1 string, k2 string")
     got = aggregates.duplicate_groups(rows, ["k1", "k2"]).collect()
     assert [(r["kind"], r["ids"]) for r in got] == [("k1", [1, 2])]
+
+
+def test_questions_are_whitelisted(spark):
+    from rolodexter.operators import ask
+
+    q = ask.parsed('here: {"tool":"search_companies","arguments":{"city":"台中","has_email":"true","sql":"drop","limit":9999,"stage":"new"}} ok')
+    assert q.arguments == {"city": "台中", "has_email": True, "limit": 9999, "stage": "New"} and q.ignored == ["sql"]
+    with pytest.raises(ValueError):
+        ask.parsed('{"tool":"delete_all"}')
+    rows = spark.createDataFrame([(1, "臺中市", "a@b.tw", "New"), (2, "台中", None, "New"), (3, "台北", "x@y.tw", "New")], "id int, address string, email string, pipeline_stage string")
+    assert [r["id"] for r in ask.answered(rows, q, F.lit(datetime(2024, 1, 1)), []).collect()] == [1]
+
+
+DSN = """From: MAILER-DAEMON@x.tw
+Subject: Undelivered Mail
+Content-Type: multipart/report; report-type=delivery-status; boundary="b"
+
+--b
+Content-Type: text/plain
+
+failed
+--b
+Content-Type: message/delivery-status
+
+Reporting-MTA: dns; x.tw
+
+Final-Recipient: rfc822; Bad@Firm.tw
+Action: failed
+Status: 5.1.1
+Diagnostic-Code: smtp; 550 no such user
+
+Final-Recipient: rfc822; slow@firm.tw
+Action: delayed
+Status: 5.4.1
+
+Final-Recipient: rfc822; fine@firm.tw
+Action: delivered
+Status: 2.0.0
+--b--
+"""
+
+
+def test_bounces(spark):
+    from rolodexter.sources import mail
+
+    text = "From: postmaster@y.tw\nSubject: returned mail\nContent-Type: text/plain\n\n550 5.1.1 <gone@firm.tw> unknown, other@else.tw"
+    raw = spark.createDataFrame([("1", bytearray(DSN.encode())), ("2", bytearray(text.encode())), ("3", bytearray(b"From: a@b.tw\nSubject: hello\n\nbad@firm.tw"))], "uid string, raw binary")
+    sent = spark.createDataFrame([(a, "Sent") for a in ("bad@firm.tw", "slow@firm.tw", "fine@firm.tw", "gone@firm.tw")] + [("other@else.tw", "Failed")], "to_address string, status string")
+    found = mail.bounces(raw, sent)
+    got = {r["address"]: (r["uid"], r["hard"], r["code"], r["reason"]) for r in found.collect()}
+    assert got == {"bad@firm.tw": ("1", True, "5.1.1", "550 no such user"), "slow@firm.tw": ("1", False, "5.4.1", ""), "gone@firm.tw": ("2", True, "5.1.1", "550 5.1.1 <gone@firm.tw> unknown, other@else.tw")}
+    assert mail.worst(found).count() == 3
+
+
+def test_replies_find_their_company(spark):
+    from rolodexter.sources import mail
+
+    sent = spark.createDataFrame([(1, "<m1>", "a@x.tw", 10, 1, "Sent"), (2, "<m2>", "a@x.tw", 20, 2, "Sent")], "id int, message_id string, to_address string, company_id int, sent_at int, status string")
+    replies = spark.createDataFrame([("r1", "A@x.tw", "<zz> <m1>"), ("r2", "a@x.tw", ""), ("r3", "q@x.tw", None)], "uid string, address string, references string")
+    got = {r["uid"]: (r["company_id"], r["matched_by"]) for r in mail.replied_to(replies, sent).collect()}
+    assert got == {"r1": (10, "message_id"), "r2": (20, "address"), "r3": (None, None)}
+
+
+def test_signature(spark):
+    from rolodexter.sources import mail
+
+    row = spark.createDataFrame([("Hi\n--\nWang\nSales Manager\nAcme Co., Ltd.\nTel: 02-27231234\nwww.acme.tw",)], "b string").select(mail.signature("b").alias("s")).first()["s"]
+    assert row.asDict() == {"company": "Acme Co., Ltd.", "title": "Sales Manager", "phone": "02-27231234", "url": "www.acme.tw"}
