@@ -181,3 +181,32 @@ def test_signature(spark):
 
     row = spark.createDataFrame([("Hi\n--\nWang\nSales Manager\nAcme Co., Ltd.\nTel: 02-27231234\nwww.acme.tw",)], "b string").select(mail.signature("b").alias("s")).first()["s"]
     assert row.asDict() == {"company": "Acme Co., Ltd.", "title": "Sales Manager", "phone": "02-27231234", "url": "www.acme.tw"}
+
+
+def test_sequential_upsert_equals_one_long_replay(spark):
+    import random
+
+    import pandas as pd
+
+    from rolodexter.operators import sequential
+
+    rng = random.Random(4)
+    pick = lambda pool, p: rng.choice(pool) if rng.random() < p else None
+
+    def record(k, stored):
+        name = rng.choice("abcdefghijklmnop")
+        r = dict.fromkeys(c.split()[0] for c in sequential.COLUMNS.split(", "))
+        r |= {"id": k + 1 if stored else None, "seq": None if stored else k, "company_name": name, "name_key": pick([name], 0.9)}
+        r |= {"tax_id": pick(["1", "2", "3", "4"], 0.2), "email": pick([f"{x}@b.tw" for x in "ABCDEF"], 0.3), "phone": pick(["p1", "p2"], 0.5), "host": pick(["h1.tw", "h2.tw"], 0.4), "source_url": f"u{k}"}
+        r["website"] = r["host"] and f"https://{r['host']}"
+        r["dedupe_key"] = f"tax:{r['tax_id']}" if r["tax_id"] else f"np:{r['name_key']}|{r['phone']}" if r["phone"] else f"n:{rng.choice('abcdefghijklmnop')}"
+        return r
+
+    store, batch = [record(k, True) for k in range(25)], [record(k, False) for k in range(120)]
+    frame = lambda rows: spark.createDataFrame([tuple(r.values()) for r in rows], sequential.COLUMNS)
+    got = sequential.upserted(frame(store), frame(batch)).toPandas()
+    rows = pd.DataFrame([r | {"seq": -1} for r in store] + batch)
+    rows["email"] = rows["email"].str.lower()
+    want = sequential._replay(rows.astype(object).where(rows.notna(), None).assign(cluster=0))
+    key = lambda df: sorted(tuple("" if x is None or x != x else str(x) for x in r) for r in df[["company_name", "dedupe_key", *sequential.FILLED, "source_url", "merged"]].itertuples(index=False))
+    assert key(got) == key(want) and 25 < len(want) < 120
