@@ -11,13 +11,13 @@ from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import text_of
-
 #: Added to the last character of a word: it stands for the character with the end-of-word suffix.
 END = 0x2000
 WIDTH = 20  # bits of an id
@@ -45,7 +45,7 @@ class Bpe:
     encoding is read off from the end.
     """
 
-    def __init__(self, path: str, memory: int = 300_000):
+    def __init__(self, path: str, memory: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -54,11 +54,12 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token_text |= {i: t for t, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split").replace(r"\s", r"\p{White_Space}"))
-        self.unassigned = unassigned()
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        self.ascii_pieces = re.compile(pattern.replace(r"\s", r" \t-\r").replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"))
+        self.rare, self.unassigned = re.compile("[^\0-\u024f]"), unassigned()
         self.library = Tokenizer.from_file(path)
         self.bytes_of = {c: b for b, c in enumerate(byte_letters())}
-        self.blank = regex.compile(r"\p{White_Space}+")
         self.letters = dict(enumerate(byte_letters()))
         # Tokens as strings of symbols; a symbol with the suffix is one character.
         inner = lambda t: t[: -len(suffix) - 1] + chr(ord(t[-len(suffix) - 1]) + END) if suffix and t.endswith(suffix) and len(t) > len(suffix) else t
@@ -105,7 +106,7 @@ class Bpe:
                 k = rank.get(x | y)
                 if k is not None and k < end_x and k <= end_y:
                     found = False
-        if len(self.follows) >= 2_000_000:
+        if len(self.follows) >= 500_000:
             self.follows.clear()
         self.follows[a << WIDTH | b] = found
         return found
@@ -149,10 +150,14 @@ class Bpe:
             self.known[piece] = found
         return found
 
-    def normalise(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case goes by character: no final sigma
-        return self.blank.sub(" ", text).lower()
+    def split(self, text: str) -> list[str]:
+        """The pieces of the normalised text. No piece holds white space, so runs of it need no replacing."""
+        if text.isascii():
+            return self.ascii_pieces.findall(text.lower())
+        if self.rare.search(text) and self.unassigned.search(text):
+            return self.newer_pieces(text)
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case goes by character: no final sigma
+        return self.pieces.findall(text.lower())
 
     def newer_pieces(self, text: str) -> list[str]:
         """Pieces of a text with characters that this Python's Unicode tables lack: the library that reads the file may know them."""
@@ -166,11 +171,7 @@ class Bpe:
             if part in self.special:
                 out.append(struct.pack("<I", self.special[part]))
             elif part:
-                if not part.isascii() and self.unassigned.search(part):
-                    pieces = self.newer_pieces(part)
-                else:
-                    pieces = self.pieces.findall(self.normalise(part))
-                for piece in pieces:
+                for piece in self.split(part):
                     ids = known.get(piece)
                     out.append(self._piece(piece) if ids is None else ids)
         return b"".join(out)
@@ -187,6 +188,29 @@ def loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
+SLICE = 256  # rows of an Arrow batch that are handled at a time
+
+
+def _tokenized(docs: DataFrame, path: str, decoded: bool) -> DataFrame:
+    added = ["ids", "n_tokens", "decoded"][: 3 if decoded else 2]
+    docs = docs.drop(*added)
+    names = [*docs.columns, *added]
+    types = dict(ids=T.BinaryType(), n_tokens=T.LongType(), decoded=T.StringType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path)
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                ids = [bpe.encode(t or "") for t in part["text"].to_pylist()]
+                new = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if decoded:
+                    new.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, types[n]) for n in added)]))
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs with ``ids`` (binary: little-endian unsigned 32-bit) and ``n_tokens``.
 
@@ -194,15 +218,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     else is that of one batch. Repeated rows are encoded alike; other columns are kept, those of these names replaced. The
     vocabulary file must be at ``path`` on every executor.
     """
-    docs = docs.drop("ids", "n_tokens")
+    return _tokenized(docs, path, False)
 
-    @F.pandas_udf("binary")
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = loaded(path)
-        for batch in texts:
-            yield pd.Series([bpe.encode(t) for t in batch])
 
-    return docs.withColumn("ids", ids(text_of())).withColumn("n_tokens", F.floor(F.octet_length("ids") / 4).cast("long"))
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """encode(), and ``decoded``: the text that the ids decode to; in one pass, so that each worker loads one vocabulary."""
+    return _tokenized(docs, path, True)
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -218,5 +239,5 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
 
 
 def op2_bpe(docs: DataFrame, path: str) -> DataFrame:
-    tokens = encode(docs.select("doc_id", "text"), path).select("doc_id", "n_tokens", "ids")
-    return decode(tokens, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    tokens = round_trip(docs.select("doc_id", "text"), path)
+    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
