@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crypto, dates, fixed, identity, score, text, validate
 from ..operators import aggregates, ask, filters, joins, merge, outreach, windows
-from ..sources import export, pages
+from ..sources import export, extraction, pages
 from .ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -420,6 +420,18 @@ def list_block_detection(t):
     return pages.list_blocks(pages.nodes(t("pages")))
 
 
+@query("WITH l AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li><a href=\"([^\"]*)\">', 1)) AS link FROM pages) SELECT page_id, count(*) AS n, min(link) AS first, max(link) AS last FROM l GROUP BY page_id")
+def page_rule_extraction(t):
+    rows = extraction.extracted(t("pages"), "nav ul li", {"name": extraction.Rule("a"), "link": extraction.Rule("a[href^='/']", "href")})
+    return rows.groupBy("page_id").agg(F.count("link").alias("n"), F.min("link").alias("first"), F.max("link").alias("last"))
+
+
+@query()
+def rule_validation(t):
+    rows = extraction.extracted(t("pages"), "nav ul li", {"name": extraction.Rule("a"), "missing": extraction.Rule("b.none")})
+    return extraction.judged_rules(rows, ["name", "missing"], ["name"])
+
+
 @query("SELECT doc_id, CASE WHEN regexp_matches(substr(text, 1, 20), '^[=+\\-@\\t\\r\\n]') THEN '''' || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS cell FROM documents")
 def formula_neutralise(t):
     return t("documents").select("doc_id", text.neutral(F.substring("text", 1, 20)).alias("cell"))

@@ -210,3 +210,22 @@ def test_sequential_upsert_equals_one_long_replay(spark):
     want = sequential._replay(rows.astype(object).where(rows.notna(), None).assign(cluster=0))
     key = lambda df: sorted(tuple("" if x is None or x != x else str(x) for x in r) for r in df[["company_name", "dedupe_key", *sequential.FILLED, "source_url", "merged"]].itertuples(index=False))
     assert key(got) == key(want) and 25 < len(want) < 120
+
+
+def test_rules(spark):
+    from rolodexter.sources.extraction import Rule, extracted, judged_rules
+
+    card = "<div class='card x' id='c{0}'><h3 class=name>Firm {0}</h3><a href='mailto:a{0}@b.tw'>m</a><a href='/x'>y</a><p class=t>tel <b>02-{0}</b></div>"
+    html = "<main>" + "".join(card.format(k) for k in range(4)) + "</main><div class=card><h3>no name</h3></div>"
+    rules = {"name": Rule("h3.name"), "email": Rule("a[href^='mailto:']", "href", "mailto:(.*)"), "phone": Rule("p b"), "links": Rule("a", "href", multiple=True, separator="|"), "none": Rule("i")}
+    rows = extracted(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"), "main div.card", rules)
+    got = rows.collect()
+    assert [(r["name"], r["email"], r["phone"], r["links"]) for r in got] == [(f"Firm {k}", f"a{k}@b.tw", f"02-{k}", f"mailto:a{k}@b.tw|/x") for k in range(4)]
+    assert {r["field"]: r["valid"] for r in judged_rules(rows, ["name", "none"], ["name"]).collect()} == {"name": True, "none": False}
+
+
+def test_site_contacts(spark):
+    from rolodexter.sources.extraction import site_contacts
+
+    rows = spark.createDataFrame([("https://www.firm.tw/a", "wang@firm.tw info@firm.tw x@other.tw"), ("http://b.tw", "8eb368c655b84e029ed79ad7a5c1718e@sentry.io z@mail.tw")], "url string, text string")
+    assert {r["host"]: r["email"] for r in site_contacts(rows, "url", "text").collect()} == {"firm.tw": "info@firm.tw", "b.tw": "z@mail.tw"}
