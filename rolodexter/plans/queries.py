@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crypto, dates, fixed, identity, score, text, validate
-from ..operators import aggregates, ask, filters, joins, merge, outreach, windows
+from ..operators import aggregates, ask, filters, joins, merge, outreach, sequential, windows
 from ..sources import export, extraction, pages
 from .ship import ship
 
@@ -507,6 +507,84 @@ def next_run_hourly_daily(t):
     return t("events").select("event_id", ntz(dates.next_hourly("ts")).alias("hourly"), ntz(dates.next_daily("ts", 9)).alias("daily"))
 
 
+# More of merging, matching and pages
+
+
+@query(
+    "WITH b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS name, CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment ELSE ' ' END AS segment FROM customer) "
+    "SELECT 'name' AS field, count(*) FILTER (WHERE name IS NULL) AS filled FROM b UNION ALL SELECT 'segment', count(*) FILTER (WHERE trim(segment) = '') FROM b"
+)
+def completion_filled_counts(t):
+    c = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    before = c.select("id", F.when(F.col("id") % 3 > 0, F.col("name")).alias("name"), F.when(F.col("id") % 4 > 0, F.col("segment")).otherwise(" ").alias("segment"))
+    return aggregates.filled_counts(before, c, ["name", "segment"])
+
+
+@query(
+    "WITH l AS (SELECT l_orderkey AS nr, arg_min(l_returnflag, (l_linenumber, l_partkey, l_suppkey, l_returnflag)) AS kind FROM lineitem WHERE l_quantity > 30 GROUP BY 1) SELECT o_orderkey, coalesce(kind, 'unjudged') AS kind FROM orders LEFT JOIN l ON o_orderkey = nr"
+)
+def labels_by_ordinal(t):
+    labels = t("lineitem").filter("l_quantity > 30").select(F.col("l_orderkey").alias("nr"), F.col("l_returnflag").alias("kind"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").alias("seq"))
+    return joins.by_ordinal(t("orders").select("o_orderkey"), labels, "o_orderkey", "nr", "kind", "unjudged")
+
+
+@query("SELECT page_id, regexp_extract(lower(url), '^https?://([^:/?#]+)', 1) AS host FROM pages WHERE regexp_matches(regexp_extract(lower(url), '^https?://([^:/?#]+)', 1), '(^|\\.)example\\.(com|net)$')")
+def domain_suffix_match(t):
+    rows = t("pages").select("page_id", F.regexp_extract(F.lower("url"), "^https?://([^:/?#]+)", 1).alias("host"))
+    return joins.under_domains(rows, "host", t("region").select(F.when(F.col("r_regionkey") == 0, "example.com").otherwise("example.net").alias("d")).distinct(), "d")
+
+
+@query(
+    "WITH k AS (SELECT o_custkey AS company_id, trim(o_orderpriority) AS name FROM orders) SELECT c_custkey AS company_id, c_mktsegment AS name, NOT EXISTS (SELECT 1 FROM k WHERE k.company_id = c_custkey) AS is_primary FROM customer"
+)
+def contact_promotion(t):
+    companies = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("contact_person"))
+    return merge.promoted_contacts(companies, t("orders").select(F.col("o_custkey").alias("company_id"), F.col("o_orderpriority").alias("name")))
+
+
+@query("SELECT 'customer' AS kind, count(*) AS n FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def cascade_delete(t):
+    gone = t("customer").filter("c_acctbal < 0").select("c_custkey")
+    left, children = merge.without(t("customer"), {"orders": (t("orders"), "o_custkey")}, gone, "c_custkey")
+    count = lambda kind, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return count("customer", left).unionByName(count("orders", children["orders"]))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Unknown' ELSE 'Valid' END AS verdict, CASE WHEN o_orderkey % 5 = 0 THEN 'Bounced' WHEN o_orderkey % 3 = 0 THEN 'Unknown' ELSE 'No MX' END AS adopted FROM orders")
+def verdict_rules(t):
+    k = F.col("o_orderkey")
+    old, new = F.lit("A@b.tw"), F.when(k % 3 == 0, "c@d.tw").otherwise("a@b.tw")
+    return t("orders").select("o_orderkey", merge.edited_verdict(old, new, F.lit("Valid")).alias("verdict"), merge.adopted_verdict(old, F.when(k % 5 == 0, "Bounced").otherwise("Unknown"), new, F.lit("No MX")).alias("adopted"))
+
+
+@query("WITH p AS (SELECT unnest(['page=' || page_id % 7, 'ref=x', 'size=20']) AS pair FROM pages), v AS (SELECT 'all' AS site, 'x' AS base, string_split(pair, '=')[1] AS parameter, regexp_extract(pair, '=([0-9]+)$', 1) AS value FROM p) SELECT site, base, parameter, count(DISTINCT value) AS n_values FROM v WHERE value <> '' GROUP BY ALL HAVING count(DISTINCT value) > 1")
+def pagination_parameters(t):
+    urls = t("pages").select(F.lit("all").alias("site"), F.concat(F.lit("x?page="), (F.col("page_id") % 7).cast("string"), F.lit("&ref=x&size=20")).alias("url"))
+    return pages.page_parameters(urls, "url", "site")
+
+
+@query("SELECT event_id, coalesce(ts >= TIMESTAMP '2024-02-01' - INTERVAL 168 HOUR, false) AS fresh, CAST(isoyear(ts) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(ts) AS VARCHAR), 2, '0') AS week FROM events")
+def freshness_and_week(t):
+    return t("events").select("event_id", dates.is_fresh("ts", now(), 168).alias("fresh"), dates.iso_week("ts").alias("week"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'name is a headline' WHEN p_partkey % 4 = 1 THEN 'site is an article' WHEN p_partkey % 4 = 2 THEN NULL ELSE 'no name' END AS why, length(p_name) + 4 AS width FROM part")
+def company_or_advert(t):
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, F.concat("p_name", F.lit("?"))).when(k == 1, "Acme").when(k == 2, F.concat("p_name", F.lit(" Co., Ltd?"))).otherwise(" ")
+    return t("part").select("p_partkey", validate.why_not_a_company(name, F.when(k == 1, "https://x.tw/news/1")).alias("why"), text.display_width(F.concat("p_name", F.lit("公司"))).alias("width"))
+
+
+@query()
+def upsert_sequential(t):
+    c = t("customer").filter("c_nationkey < 5")
+    none = F.lit(None).cast("string")
+    row = lambda seq, name: [F.col("c_custkey").alias("id"), seq.cast("long").alias("seq"), name.alias("company_name"), F.substring("c_name", -6, 5).alias("name_key"), F.concat(F.lit("n:"), F.substring("c_name", -6, 5)).alias("dedupe_key"), none.alias("host"), F.col("c_mktsegment").alias("source_url")] + [none.alias(x) for x in sequential.FILLED if x != "email"] + [F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit("@b.tw"))).alias("email")]
+    store = c.filter("c_custkey % 2 = 0").select(*row(F.lit(-1), F.col("c_name")))
+    batch = c.filter("c_custkey % 2 = 1").select(*row(F.col("c_custkey"), F.lower("c_name")))
+    return sequential.upserted(store, batch)
+
+
 # Questions
 
 
