@@ -62,15 +62,18 @@ def shingles(text: str, width: int, hashes: Hashes) -> np.ndarray:
 
 def _family(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
-    return rng.integers(0, (1 << 64) - 1, n, np.uint64, endpoint=True) | np.uint64(1), rng.integers(0, (1 << 64) - 1, n, np.uint64, endpoint=True)
+    a, b = rng.integers(0, (1 << 32) - 1, (2, n), np.uint32, endpoint=True)
+    return a | np.uint32(1), b
 
 
 def minima(values: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The least upper half of a * x + b mod 2**64 for each universal hash function, a few thousand values at a time."""
+    """The least a * x + b mod 2**32 for each universal hash function, over the upper halves x of the values, a few thousand at a time."""
     a, b = family
+    upper = (values >> np.uint64(32)).astype(np.uint32)
     out = np.full(len(a), 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(values), 2048):
-        block = ((a[:, None] * values[None, k : k + 2048] + b[:, None]) >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(upper), 2048):
+        block = a[:, None] * upper[None, k : k + 2048]
+        block += b[:, None]
         np.minimum(out, block.min(axis=1), out=out)
     return out
 
@@ -140,42 +143,81 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("common") * 100 >= F.lit(percent) * (F.col("size") - F.col("common"))).select("u", "v")
 
 
-def _contested(members: DataFrame, least: float, most: int | None, block_rows: int = 8192) -> DataFrame:
-    """Pairs (u, v) of different components in one bucket whose estimate reaches ``least``.
+BLOCK_ROWS = 2048
 
-    members: (key, id, component, sig) of buckets with several components. The rows outside of a bucket's largest
-    component are held against all its rows, in blocks of about block_rows. most: so many of the best for each row and block.
+
+def _grid(members: DataFrame, extra: list[str]) -> DataFrame:
+    """members: (key, id, component, ...) of buckets with several components. Rows for comparing, in groups (main, asks_block, block).
+
+    A bucket belongs to its largest component, its main one. For each main component, the rows of its buckets outside of it ask,
+    and all its buckets' rows are asked, each once. Both are dealt into blocks of about BLOCK_ROWS, and each block of those that ask
+    meets each block of those that are asked: no group is larger, whatever the size of a bucket.
     """
     per = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = per.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.ceil(F.sum("n") / block_rows).cast("int").alias("blocks"))
-    rows = members.join(main, "key")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    against = rows.select("key", block.alias("block"), "id", "component", "sig", F.lit(False).alias("asks"))
-    asks = rows.filter("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "component", "sig", F.lit(True).alias("asks"))
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
-        ids, comp, asks = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["asks"].to_numpy()
-        there, out = np.flatnonzero(~asks), []
-        for i in np.flatnonzero(asks):
-            other = there[comp[there] != comp[i]]
-            score = estimates(sig[other], sig[i])
-            good = np.flatnonzero(score >= least)
-            if most is not None and len(good) > most:
-                good = good[np.lexsort((ids[other[good]], -score[good]))[:most]]
-            out += [(max(ids[i], j), min(ids[i], j)) for j in ids[other[good]].tolist()]
+    main = per.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+    rows = members.select("key", "id", "component").join(main, "key").select("main", "id", "component").distinct()
+    sizes = rows.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("component") != F.col("main")) / BLOCK_ROWS).cast("int").alias("asks_blocks")).filter("asks_blocks > 0")
+    rows = rows.join(members.select("id", *extra).dropDuplicates(["id"]), "id").join(sizes, "main")
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = rows.select("main", every("asks_blocks").alias("asks_block"), spread("blocks").alias("block"), "id", "component", F.lit(False).alias("asks"), *extra)
+    asks = rows.filter(F.col("component") != F.col("main")).select("main", spread("asks_blocks").alias("asks_block"), every("blocks").alias("block"), "id", "component", F.lit(True).alias("asks"), *extra)
+    return asks.unionByName(asked)
+
+
+def _rivals(rows: pd.DataFrame, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(row that asks, rows of other components with an estimate of at least ``least``, the best first). Pairs of two that ask come once."""
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+    ids, comp, asks, main = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["asks"].to_numpy(), int(rows["main"].iloc[0])
+    there = np.flatnonzero(~asks)
+    for i in np.flatnonzero(asks):
+        other = there[(comp[there] != comp[i]) & ((comp[there] == main) | (ids[there] < ids[i]))]
+        score = estimates(sig[other], sig[i])
+        good = np.flatnonzero(score >= least)
+        if len(good):
+            yield int(i), other[good[np.lexsort((ids[other[good]], -score[good]))]]
+
+
+def contested(members: DataFrame, least: float) -> DataFrame:
+    """(id): the rows that have a rival, or are one. members: with sig."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = np.zeros(len(rows), bool)
+        for i, rivals in _rivals(rows, least):
+            found[i] = True
+            found[rivals] = True
+        return pd.DataFrame({"id": rows["id"].to_numpy()[found]})
+
+    return _grid(members, ["sig"]).groupBy("main", "asks_block", "block").applyInPandas(run, "id long").distinct()
+
+
+def settled(members: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (u, v) between components. members: with sig and members (full sets). A row that asks is held against its rivals, and against no more of a component once it is linked with it."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in rows["members"]]
+        ids, comp, out = rows["id"].to_numpy(), rows["component"].to_numpy(), []
+        for i, rivals in _rivals(rows, least):
+            linked: set[int] = set()
+            for j in rivals.tolist():
+                if comp[j] not in linked:
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if common * 100 >= percent * (len(sets[i]) + len(sets[j]) - common):
+                        linked.add(comp[j])
+                        out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    return asks.unionByName(against).groupBy("key", "block").applyInPandas(compare, "u long, v long").distinct()
+    return _grid(members, ["sig", "members"]).groupBy("main", "asks_block", "block").applyInPandas(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, seed: int = 41) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
     Documents with equal shingle sets are one class, which its smallest doc_id stands for. Classes that share a band key
-    are candidates: each is held against the smallest of its bucket, by signature, then by full sets. Buckets that then still have
-    several components are searched for more pairs, first a few of the best for each class and at last all,
-    so no pair of a bucket is left out unless its ends are connected already. Links go through large-star and small-star.
+    are candidates. Each is first held against the smallest of the bucket where their signatures agree most, on full sets. Then,
+    in buckets that still have several components, all rows outside of the largest one are held against the rest in blocks: by
+    signature, then on full sets, until linked. So no pair of a bucket is left out unless its ends are connected already, and
+    no table of pairs is made. Links go through large-star and small-star.
     Documents without words (null, empty, white space) are alone. Rows that repeat a doc_id share its fate. Rows without a doc_id link
     to nothing: their component_id is null and they are kept. Columns other than doc_id and text are not read.
     """
@@ -197,30 +239,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, seed: in
     ends = lambda x: x.select(F.col("u").alias("id")).union(x.select(F.col("v").alias("id"))).distinct()
     sets = staged(full_sets(docs, ends(scored), width), "sets")
     best = scored.groupBy("u").agg(F.max(F.struct("score", (-F.col("v")).alias("v")))["v"].alias("v")).select("u", (-F.col("v")).alias("v"))
-    tried = staged(best, "tried")
-    links = staged(verified(tried, sets, percent), "links")
+    links = staged(verified(best, sets, percent), "links")
     labels = staged(components(links), "labels")
-    for most in ("hubs", 4, 64, None):
-        its = lambda c, labels=labels: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
-        if most == "hubs":  # the other pairs with a hub
-            new = scored.select("u", "v").join(its("u"), "u", "left").join(its("v"), "v", "left").filter(F.coalesce("u_in", "u") != F.coalesce("v_in", "v")).select("u", "v")
-        else:
-            members = buckets.select("key", "id").join(its("id"), "id", "left").select("key", "id", F.coalesce("id_in", "id").alias("component"))
-            torn = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-            new = _contested(members.join(torn, "key", "left_semi").join(sigs, "id"), least, most)
-        new = staged(new.join(tried, ["u", "v"], "left_anti"), "more-pairs")
-        if new.isEmpty():
-            if most == "hubs":
-                continue
-            break
-        tried = tried.unionByName(new)
-        missing = staged(ends(new).join(sets.select("id"), "id", "left_anti"), "missing")
+    # Buckets that have several components still: all that differ by component in them are held against each other.
+    named = buckets.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    torn = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+    members = staged(named.join(torn, "key", "left_semi").join(sigs, "id"), "torn")
+    active = staged(contested(members, least), "active")
+    if not active.isEmpty():
+        missing = staged(active.join(sets.select("id"), "id", "left_anti"), "missing")
         if not missing.isEmpty():
             sets = sets.unionByName(staged(full_sets(docs, missing, width), "sets"))
-        found = staged(verified(new, sets, percent), "links")
+        rivals = members.join(active, "id", "left_semi").join(sets, "id")
+        found = staged(settled(rivals, least, percent), "links")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = staged(components(links), "labels")
+            labels = staged(components(links.unionByName(found)), "labels")
     at = signed.join(classes.withColumnRenamed("id", "head"), ["fp1", "fp2"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("head")).otherwise(F.col("doc_id")).alias("head"))
     out = at.join(labels.withColumnRenamed("id", "head"), "head", "left").withColumn("component_id", F.coalesce("component", "head"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
