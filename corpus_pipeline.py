@@ -13,6 +13,7 @@ from rolodexter.llm.language import accepted
 from rolodexter.llm.mixing import mix
 from rolodexter.llm.near_dedup import one_of_each
 from rolodexter.llm.queries import TOKENIZER
+from rolodexter.plans.ship import ship
 
 #: No SQL expresses the profiles, MinHash or BPE; tests hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -42,7 +43,15 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode(docs, TOKENIZER)
 
 
-STAGES = [("language", language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixture", mixture), ("bpe", tokens)]
+def _shipped(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _shipped(f)) for name, f in (("language", language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixture", mixture), ("bpe", tokens))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
