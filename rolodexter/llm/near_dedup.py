@@ -267,3 +267,19 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, **kw) -> Dat
 
 def op6_near_dedup(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) END AS g FROM t),
+c AS (SELECT g, min(doc_id) AS head, len(g) AS n FROM (SELECT doc_id, list_sort(g) AS g FROM s) GROUP BY g),
+x AS (SELECT head, n, unnest(g) AS g FROM c),
+f AS (SELECT g FROM x GROUP BY g HAVING count(*) > 1),
+y AS (SELECT x.* FROM x SEMI JOIN f USING (g)),
+e AS (SELECT a.head AS u, b.head AS v FROM y a JOIN y b ON a.g = b.g AND a.head <> b.head AND a.n * 100 >= b.n * 85 AND b.n * 100 >= a.n * 85
+  GROUP BY a.head, b.head, a.n, b.n HAVING count(*) * 100 >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT head AS id, head AS root FROM c UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.id),
+k AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT s.doc_id, len(s.g) AS n_shingles, CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE k.component_id END AS component_id, s.doc_id = CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE k.component_id END AS kept
+FROM s JOIN c ON list_sort(s.g) = c.g JOIN k ON k.id = c.head
+"""

@@ -11,10 +11,10 @@ from .language import op7_language
 from .lm_scoring import op9_lm_scoring
 from .media import op8_media
 from .mixing import op4_mixing
-from .near_dedup import op6_near_dedup
+from .near_dedup import OP6_SQL, op6_near_dedup
 from .secrets import op5_secrets
 from .sharding import op10_sharding
-from .suffix_dedup import op3_suffix_dedup
+from .suffix_dedup import OP3_SQL, op3_suffix_dedup
 
 #: The public vocabulary file; at the same place on driver and executors.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -32,4 +32,4 @@ QUERIES = {
     "op10_sharding": lambda s, d: op10_sharding(documents(s, d)),
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op6_near_dedup": OP6_SQL}

@@ -496,3 +496,21 @@ def without_repeats(docs: DataFrame, group_bytes: int = 8 << 20, many: int = MAN
 def op3_suffix_dedup(docs: DataFrame) -> DataFrame:
     found = without_repeats(docs, with_bytes=False)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS n_bytes FROM d),
+p AS (SELECT doc_id, h, unnest(range(n_bytes - 49)) AS pos FROM n WHERE n_bytes >= 50),
+w AS (SELECT doc_id, pos, md5_number(substr(h, 2 * pos + 1, 100)) AS s FROM p),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT doc_id, pos FROM w JOIN m USING (s) WHERE first < doc_id),
+run AS (SELECT doc_id, pos, sum(CASE WHEN pos - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS nr
+  FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM hit)),
+span AS (SELECT doc_id, nr, min(pos) AS a, max(pos) + 50 AS b FROM run GROUP BY ALL),
+gap AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM span UNION ALL SELECT doc_id, 0, min(a) FROM span GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(gap.b, n_bytes) - a)), '' ORDER BY a) AS h FROM gap JOIN n USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, n.h))) AS kept_sha256
+FROM n LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
