@@ -229,3 +229,40 @@ def test_site_contacts(spark):
 
     rows = spark.createDataFrame([("https://www.firm.tw/a", "wang@firm.tw info@firm.tw x@other.tw"), ("http://b.tw", "8eb368c655b84e029ed79ad7a5c1718e@sentry.io z@mail.tw")], "url string, text string")
     assert {r["host"]: r["email"] for r in site_contacts(rows, "url", "text").collect()} == {"firm.tw": "info@firm.tw", "b.tw": "z@mail.tw"}
+
+
+def test_cleaning(spark):
+    from rolodexter.operators import records
+
+    cols = ["id", *records.RAW]
+    row = lambda k, **v: tuple([k] + [v.get(c) for c in records.RAW])
+    raw = spark.createDataFrame(
+        [
+            row(1, company_name="　大同股份有限公司 ", email="Info@Tatung.COM.tw", phone="+886 2 25925252", website="www.tatung.com", tax_id="２２０９９１３１", address="104 台北市 中山區", fax="x"),
+            row(2, company_name=" "),
+            row(3, company_name="如何選擇工廠？", website="a.tw"),
+            row(4, company_name="Acme Ltd", email="8eb368c655b84e029ed79ad7a5c1718e@sentry.io", phone="12", tax_id="99999999"),
+        ],
+        ", ".join(f"{c} {'int' if c == 'id' else 'string'}" for c in cols),
+    )
+    mx = spark.createDataFrame([("tatung.com.tw", True)], "domain string, has_mx boolean")
+    got = {r["id"]: r for r in records.cleaned(raw, mx=mx).collect()}
+    a = got[1]
+    assert (a["company_name"], a["name_key"], a["dedupe_key"], a["email"], a["phone"], a["website"], a["address"], a["fax"], a["email_verdict"], a["rejected"]) == ("大同股份有限公司", "大同", "tax:22099131", "info@tatung.com.tw", "02-25925252", "https://www.tatung.com", "台北市中山區", None, "Valid", None)
+    assert got[2]["rejected"] == "no usable name" and got[3]["rejected"] == "name is a headline"
+    assert (got[4]["email"], got[4]["phone"], got[4]["tax_id"], got[4]["dedupe_key"], got[4]["email_verdict"]) == (None, None, "99999999", "n:acme", "Empty")
+
+
+def test_small_record_work(spark):
+    from rolodexter.operators import records
+
+    pairs = spark.createDataFrame([([(" a ", "1"), ("b", " "), ("a", "2"), ("c", "3")],)], "x array<struct<k:string,v:string>>")
+    assert pairs.select(records.tidy_extra("x").alias("m")).first()["m"] == {"a": "2", "c": "3"}
+    js = spark.createDataFrame([('{"b":"1","a":"2"}',), ("[1",), (None,)], "j string").select(records.map_from_json("j").alias("m"))
+    assert [r["m"] for r in js.collect()] == [{"b": "1", "a": "2"}, {}, {}]
+    assert js.select(records.map_to_json("m").alias("j")).first()["j"] == '{"a":"2","b":"1"}'
+    old, new = spark.createDataFrame([(1, "x")], "id int, gone string"), spark.createDataFrame([], "id int, stage string, note string")
+    assert records.migrated(old, new, {"stage": "New"}).collect()[0].asDict() == {"id": 1, "stage": "New", "note": None}
+    assert spark.range(1).select(records.page_urls(F.lit("u?p={page}"), F.lit(2), F.lit(3)).alias("u")).first()["u"] == ["u?p=2", "u?p=3"]
+    z = spark.createDataFrame([(["a", "b"], ["x"])], "i array<string>, d array<string>").select(records.zipped_details("i", "d").alias("z")).first()["z"]
+    assert [tuple(x) for x in z] == [("a", "x"), ("b", "")]
