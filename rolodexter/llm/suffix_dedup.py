@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,22 +194,16 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     for k in range(8, ANCHOR, 8):
         h = mixed(h + word[k : k + m])
     del word
-    least, width = h, 1
+    # The upper half of the hash, then the place: a window's least value holds its leftmost least place.
+    least, width = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64), 1
     while width * 2 <= SPAN:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if width < SPAN:
         least = np.minimum(least[: len(least) - (SPAN - width)], least[SPAN - width :])
-    # The leftmost place of the least hash: the next place from the window's start on that has it.
+    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     windows = len(least)
-    place = np.full(windows, -1, np.int32)
-    left = np.arange(windows)
-    for k in range(SPAN):
-        hit = h[left + k] == least[left]
-        place[left[hit]] = left[hit] + k
-        left = left[~hit]
-        if not len(left):
-            break
+    del least
     # Windows that lie inside a document.
     inside = np.zeros(n + 1, np.int32)
     long = ends - starts >= LENGTH
@@ -217,8 +212,9 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     inside = np.cumsum(inside[:windows]) > 0
     first = np.flatnonzero(inside & np.concatenate([[True], (place[1:] != place[:-1]) | ~inside[:-1]]))
     last = np.flatnonzero(inside & np.concatenate([(place[1:] != place[:-1]) | ~inside[1:], [True]]))
-    at = place[first].astype(np.int64)
-    return at, h[at], first, last
+    at = place[first]
+    # Least hashes are small numbers: mixed again, keys spread evenly over the ranges.
+    return at, mixed(h[at] + np.uint64(0x9E3779B97F4A7C15)), first, last
 
 
 def pieces(ids: list, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -354,7 +350,7 @@ def _send(parts: int):
         rows = []
         for k, s in ranges(strings.keys, parts):
             if s.start < s.stop:
-                body = _gathered(group.all, strings.at[s], strings.sizes[s]).tobytes()
+                body = zstandard.compress(_gathered(group.all, strings.at[s], strings.sizes[s]).tobytes(), 1)
                 rows.append((k, gid, pack(strings.keys[s]), pack(strings.sizes[s]), pack(strings.least[s]), pack(strings.most[s]), body))
         return _table(rows, STRINGS)
 
@@ -377,9 +373,14 @@ def _earliest(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys = np.concatenate([unpack(r["keys"]) for r in rows])
     sizes = np.concatenate([unpack(r["sizes"]).astype(np.int64) for r in rows])
     first = np.concatenate([unpack(r["first"]).astype(np.int64) for r in rows])
-    data = np.frombuffer(b"".join(r["body"] for r in rows), np.uint8)
+    bodies = [np.frombuffer(zstandard.decompress(r["body"]), np.uint8) for r in rows]
+    content = []
+    for body, r in zip(bodies, rows, strict=True):  # one group's strings at a time
+        size = unpack(r["sizes"]).astype(np.int64)
+        content.append(_hash_runs(body, np.cumsum(size) - size, size))
+    content, data = np.concatenate(content), np.concatenate(bodies)
+    del bodies
     starts = np.cumsum(sizes) - sizes
-    content = _hash_runs(data, starts, sizes)
     order = np.lexsort((content, sizes, keys))
     k, z, c = keys[order], sizes[order], content[order]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (z[1:] != z[:-1]) | (c[1:] != c[:-1])])
@@ -395,7 +396,7 @@ def _earliest(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     todo = np.flatnonzero(several)
     at = 0
     while at < len(todo):
-        to = min(at + (CHUNK >> 6), len(todo))
+        to = min(at + (CHUNK >> 7), len(todo))
         while to < len(todo) and own[todo[to]] == own[todo[to - 1]]:
             to += 1
         part = todo[at:to]
@@ -472,7 +473,7 @@ def _cut(with_bytes: bool):
     return run
 
 
-def without_repeats(docs: DataFrame, group_bytes: int = 8 << 20, many: int = MANY, with_bytes: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, group_bytes: int = 5 << 20, many: int = MANY, with_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept, kept_sha256): each text's bytes without those that an earlier document's LENGTH-byte strings cover.
 
     Anchors, chosen by the bytes around them, are counted over all documents; only strings around anchors that occur twice or
