@@ -136,6 +136,11 @@ class Bpe:
             at -= size[at]
         return out[::-1]
 
+    def forget(self) -> None:
+        """Empties what was remembered: a worker lives on and may have other work to do."""
+        self.known.clear()
+        self.follows.clear()
+
     def _letters(self, piece: str) -> str:
         return piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
 
@@ -199,14 +204,17 @@ def _tokenized(docs: DataFrame, path: str, decoded: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
-                ids = [bpe.encode(t or "") for t in part["text"].to_pylist()]
-                new = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
-                if decoded:
-                    new.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names)
+        try:
+            for batch in batches:
+                for k in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(k, SLICE)
+                    ids = [bpe.encode(t or "") for t in part["text"].to_pylist()]
+                    new = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                    if decoded:
+                        new.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, *new], names)
+        finally:
+            bpe.forget()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, types[n]) for n in added)]))
 
