@@ -18,6 +18,7 @@ RATE, WIDE = 8000, 16000
 #: WAV format tags of the three codecs.
 TAGS = {"mulaw": 7, "alaw": 6, "ima_adpcm": 17}
 CODECS = tuple(TAGS)
+PCM_COLUMNS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "rate", "pcm"]
 #: The IMA ADPCM step sizes and index changes.
 STEPS = np.array(
     [7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767],
@@ -137,30 +138,42 @@ def decoded(media: list[bytes]) -> Iterator[tuple[str, bytes, np.ndarray]]:
 
 
 def resampled_audio(media: DataFrame) -> DataFrame:
-    """(doc_id, codec, rate, pcm): the WAVs of stored_audio() as 16-bit PCM at 16 kHz, for storing."""
+    """The WAVs of stored_audio() as 16-bit little-endian PCM at 16 kHz, for storing: doc_id, n_bytes, the sizes and checksums of payload and WAV, codec, rate, pcm.
+
+    Rows leave in pieces of about a MB of WAVs. A value of the table holds under 2 GB: eight times the bytes of a text whose codec is ADPCM.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(c, WIDE, resampled(pcm).tobytes()) for c, _, pcm in decoded(batch["media"].tolist())]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "codec": [r[0] for r in rows], "rate": [r[1] for r in rows], "pcm": [r[2] for r in rows]})
+            rows, n = [], 0
+            wavs = batch["media"].tolist()
+            for doc_id, n_bytes, wav, (codec, payload, pcm) in zip(batch["doc_id"], batch["n_bytes"], wavs, decoded(wavs), strict=True):
+                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(wav), hashlib.sha256(wav).hexdigest(), codec, WIDE, resampled(pcm).astype("<i2").tobytes()))
+                n += len(wav)
+                if n >= 1 << 20:
+                    yield pd.DataFrame(rows, columns=PCM_COLUMNS)
+                    rows, n = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=PCM_COLUMNS)
+
+    return media.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, rate int, pcm binary")
 
-    return media.select("doc_id", "media").mapInPandas(run, "doc_id long, codec string, rate int, pcm binary")
+
+def described(codec: str, rate: int, pcm: bytes) -> str:
+    """Codec, samples, peak, mean square, sign changes and checksum."""
+    wide = np.frombuffer(pcm, "<i2")
+    loud = wide.astype(np.int64)
+    changes = int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
+    return f"{codec}/{rate}: samples={len(wide)} peak={int(np.abs(loud).max())} power={int(loud @ loud) // len(wide)} crossings={changes} crc={zlib.crc32(pcm):08x}"
 
 
 def op8_media(docs: DataFrame) -> DataFrame:
-    """Stores the WAVs as a table in the shared folder, reads them back, and describes the resampled PCM: codec, samples, peak, mean square, sign changes and checksum."""
-    media = staged(stored_audio(docs), "media")
+    """Stores the WAVs as a table in the shared folder, reads them back, stores their resampled PCM as another, and describes what is read from that."""
+    pcm = staged(resampled_audio(staged(stored_audio(docs), "media")), "pcm")
+    kept = PCM_COLUMNS[:-3]
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for wav, (codec, payload, pcm) in zip(batch["media"], decoded(batch["media"].tolist()), strict=True):
-                wide = resampled(pcm)
-                loud = wide.astype(np.int64)
-                changes = int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
-                feature = f"{codec}/{WIDE}: samples={len(wide)} peak={int(np.abs(loud).max())} power={int(loud @ loud) // len(wide)} crossings={changes} crc={zlib.crc32(wide.tobytes()):08x}"
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(wav), hashlib.sha256(wav).hexdigest(), feature))
-            cols = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pd.concat([batch[["doc_id", "n_bytes"]].reset_index(drop=True), pd.DataFrame(out, columns=cols)], axis=1)
-
-    return media.mapInPandas(describe, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            yield batch[kept].assign(feature=[described(*r) for r in zip(batch["codec"], batch["rate"], batch["pcm"], strict=True)])
+
+    return pcm.mapInPandas(describe, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

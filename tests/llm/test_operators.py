@@ -339,6 +339,24 @@ def test_media(docs):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_media_stores_pcm(spark, docs, monkeypatch):
+    tables = {}
+
+    def kept(df, name):
+        tables[name] = common.staged(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(media, "staged", kept)
+    got = sorted((r["doc_id"], r["media_sha256"], r["feature"]) for r in media.op8_media(docs).collect())
+    wavs = {r["doc_id"]: bytes(r["media"]) for r in tables["media"].collect()}
+    stored = tables["pcm"].collect()
+    assert len(stored) == len(got) == docs.count()
+    for r in stored:
+        ((codec, _, pcm),) = media.decoded([wavs[r["doc_id"]]])
+        assert (r["codec"], r["rate"]) == (codec, 16000) and bytes(r["pcm"]) == media.resampled(pcm).tobytes()
+    assert got == sorted((r["doc_id"], hashlib.sha256(wavs[r["doc_id"]]).hexdigest(), media.described(r["codec"], r["rate"], bytes(r["pcm"]))) for r in stored)
+
+
 def test_codecs():
     mu, a = media.mulaw_table(), media.alaw_table()
     assert (mu[0], mu[0x7F], mu[0x80], mu[0xFF]) == (-32124, 0, 32124, 0)
