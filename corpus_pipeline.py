@@ -20,7 +20,7 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or text go: they have no language."""
+    """Documents that are far from every learned language go, and those without a letter or text."""
     return accepted(docs)
 
 

@@ -327,6 +327,22 @@ def test_language_of_odd_texts(spark, docs):
     assert {r["lang_pred"] for r in language.identify(rows, {}).collect()} == {"und"}
 
 
+def test_accepted_by_distance(spark, sf_dir):
+    rng = random.Random(9)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(300)) for _ in range(5)]
+    odd = ["Ελληνικά είναι μια γλώσσα", "日本語のテキスト", *noise, "12 34!", "", None]
+    clean = common.documents(spark, sf_dir).select("doc_id", "text", "lang")
+    rows = clean.unionByName(spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(odd)], clean.schema))
+    got = {r["doc_id"] for r in language.accepted(rows).collect()}
+    assert got == {r["doc_id"] for r in clean.collect()}
+
+
+def test_accepted_without_languages(spark):
+    texts = ["some words", "日本語", "12 34!", "", None]
+    rows = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in language.accepted(rows).orderBy("doc_id").collect()] == [0, 1]
+
+
 def test_media(docs):
     for r in media.op8_media(docs).collect():
         data = (plain(docs)[r["doc_id"]] or "").encode()
