@@ -34,6 +34,28 @@ def test_query(spark, sf_dir, duck, name):
     assert rows == table(names, want.fetchall(), cols)
 
 
+def test_upsert_sequential_takes_every_customer(spark, sf_dir, duck):
+    """By brute force: the odd customers of a name key go into its first even one, in order of their keys."""
+    people = duck.execute("SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey").fetchall()
+    store, by_key, new = [], {}, []
+    for parity in (0, 1):
+        for k, name, segment in people:
+            if k % 2 != parity:
+                continue
+            email = f"{name}@b.tw".lower() if k % 3 == 0 else None
+            row = by_key.get(name[-6:-1]) if parity else None
+            if row is None:
+                row = {"id": None if parity else k, "name": name.lower() if parity else name, "url": segment, "email": email, "merged": 0}
+                (new if parity else store).append(row)
+                by_key.setdefault(name[-6:-1], row)
+            else:
+                row |= {"merged": row["merged"] + 1, "url": segment or row["url"], "email": row["email"] or email}
+    got = plans.QUERIES["upsert_sequential"](spark, sf_dir).collect()
+    want = sorted((r["name"], r["id"], r["url"], r["email"], r["merged"]) for r in store + new)
+    assert sorted((r["company_name"], r["id"], r["source_url"], r["email"], r["merged"]) for r in got) == want
+    assert sum(1 + r["merged"] for r in got) == len(people)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
