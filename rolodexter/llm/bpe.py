@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from .common import give_back
+
 #: Added to the last character of a word: it stands for the character with the end-of-word suffix.
 END = 0x2000
 WIDTH = 20  # bits of an id
@@ -136,11 +138,6 @@ class Bpe:
             at -= size[at]
         return out[::-1]
 
-    def forget(self) -> None:
-        """Empties what was remembered: a worker lives on and may have other work to do."""
-        self.known.clear()
-        self.follows.clear()
-
     def _letters(self, piece: str) -> str:
         return piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
 
@@ -189,7 +186,7 @@ class Bpe:
 
 @lru_cache(maxsize=2)
 def loaded(path: str) -> Bpe:
-    """One for each Python worker."""
+    """One for each task of a Python worker."""
     return Bpe(path)
 
 
@@ -214,7 +211,9 @@ def _tokenized(docs: DataFrame, path: str, decoded: bool) -> DataFrame:
                         new.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
                     yield pa.RecordBatch.from_arrays([*part.columns, *new], names)
         finally:
-            bpe.forget()
+            loaded.cache_clear()  # a worker lives on and may have other work to do
+            del bpe
+            give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, types[n]) for n in added)]))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
@@ -16,8 +19,20 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Rows of an Arrow batch, so that a batch of long texts stays small in both processes.
+BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+def prepare(spark: SparkSession) -> None:
+    """What a session needs before an operator runs: the package on the executors, and small Arrow batches unless the session says otherwise."""
     ship(spark)
+    for k, v in BATCH_ROWS.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -62,6 +77,48 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trimmed(f: Callable[[Iterator], Iterable]) -> Callable[[Iterator], Iterator]:
+    """f over a task's batches; then the worker, which lives on, gives its free memory back to the system."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores added until none is taken, whatever the case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with running sums in a global order without ties, in two levels: within ranges of the order, and over the sums of the ranges before. No task sees all rows."""
+    part, *before = fresh([*rows.columns, *sums], "part", *(f"{c}_before" for c in sums))
+    ranged = staged(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranged")
+    upto = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = ranged.groupBy(part).agg(*(F.sum(e).alias(b) for e, b in zip(sums.values(), before, strict=True)))
+    blocks = blocks.select(part, *(F.coalesce(F.sum(b).over(earlier), F.lit(0)).alias(b) for b in before))
+    inner = ranged.withColumns({c: F.sum(e).over(upto) for c, e in sums.items()})
+    return inner.join(blocks, part).withColumns({c: F.col(c) + F.col(b) for c, b in zip(sums, before, strict=True)}).drop(part, *before)
+
+
 def text_of(col: str = "text") -> Column:
     """A document's text; null counts as empty."""
     return F.coalesce(F.col(col), F.lit(""))
@@ -74,8 +131,10 @@ def group_count(docs: DataFrame, group_bytes: int, col: str = "text") -> int:
 
 
 def dealt(docs: DataFrame, groups: int) -> DataFrame:
-    """(gid, doc_id, text), dealt out by a hash of doc_id into that many groups.
+    """(gid, doc_id, text), dealt out into that many groups by a hash of doc_id and text, so that rows without an id, or of one, spread too.
 
-    Every use of the same frame has the same exchange, so one plan that uses it several times writes its shuffle once.
+    A group's number is its partition's: groups never share a task by chance. Every use of the same frame has the same exchange,
+    so one plan that uses it several times writes its shuffle once.
     """
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("gid"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).repartition(groups, "gid")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("gid"), "doc_id", "text").repartitionById(groups, "gid")

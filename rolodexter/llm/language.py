@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import fresh, give_back, text_of, trimmed
 
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
@@ -91,7 +91,7 @@ def learn(docs: DataFrame, top: int = 300) -> dict[str, list[int]]:
                         yield pd.DataFrame({"lang": lang, "gram": values, "n": counts})
                     at = to
 
-    counts = docs.filter("text is not null and lang is not null").select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = docs.filter("text is not null and lang is not null").select("lang", "text").mapInPandas(trimmed(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= top)
     profiles: dict[str, list[int]] = {}
     for r in best.orderBy("lang", "rank").toLocalIterator():
@@ -130,16 +130,23 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], top: int = 300) ->
     Null texts and texts without a letter are ``und`` with score 0. Only the text decides; repeated rows are judged alike;
     all other columns are kept, and columns of these two names are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
+    (judged_as,) = fresh(docs.columns, "judged")
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    return with_judgement(docs, profiles, judged_as, top).select(*names, f"{judged_as}.lang_pred", f"{judged_as}.score")
+
+
+def with_judgement(docs: DataFrame, profiles: dict[str, list[int]], name: str, top: int = 300) -> DataFrame:
+    """docs with a struct of lang_pred and score under a name that docs does not have."""
 
     @F.pandas_udf("lang_pred string, score double")
     def judged(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         judge = Judge(profiles, top)
         for batch in texts:
             yield pd.DataFrame([judge(t) for t in batch], columns=["lang_pred", "score"])
+        give_back()
 
     # pandas turns a null of a string series into None, which the judge takes.
-    return docs.withColumn("_judged", judged("text")).select(*docs.columns, "_judged.lang_pred", "_judged.score")
+    return docs.withColumn(name, judged("text"))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -163,8 +170,13 @@ def lettered(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows whose language is a learned one with a score of at least ``least``; the columns of docs. Where no language could be learned, the rows with a letter."""
+    """The rows whose language is a learned one with a score of at least ``least``; the columns of docs, whatever their names. Where no language could be learned, the rows with a letter.
+
+    Null and empty texts and those without a letter go. A text of any length is judged by its 300 most frequent n-grams; of two languages as near the first by name
+    counts, which changes no decision. Repeated rows are judged alike; an empty table stays empty.
+    """
     profiles = learn(training_rows(docs))
     if not profiles:
         return lettered(docs)
-    return identify(docs, profiles).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    (judged,) = fresh(docs.columns, "judged")
+    return with_judgement(docs, profiles, judged).filter((F.col(f"{judged}.lang_pred") != UNKNOWN) & (F.col(f"{judged}.score") >= least)).select(*docs.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, text_of
+from .common import fresh, staged, text_of, trimmed
 from .components import components
 
 BANDS = 32
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, width: int = 3, rows_each: int = 6, seed: int =
                 rows.append((len(values), *np.frombuffer(whole, np.int64).tolist(), key.view(np.int64), (least & 255).astype(np.uint8).tobytes()))
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_shingles", "fp1", "fp2", "bands", "sig"])], axis=1)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(sign, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(trimmed(sign), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sig binary")
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,7 +131,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             yield pd.DataFrame({"id": batch["id"], "members": [shingles(t, width, hashes).tobytes() for t in batch["text"]]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(ids, "id", "left_semi")
-    return texts.mapInPandas(pack, "id long, members binary").dropDuplicates(["id"])
+    return texts.mapInPandas(trimmed(pack), "id long, members binary").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -260,9 +260,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, seed: in
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, **kw) -> DataFrame:
-    """The rows of docs that stay; all columns."""
-    gone = near_duplicates(docs, width, percent, **kw).filter("not kept").select(F.col("doc_id").alias("its")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("its"), "left_anti")
+    """The rows of docs that stay, one doc_id of each component; all columns, whatever their names.
+
+    Nulls, empty and very long texts, ties and repeated rows as in near_duplicates(): rows without words or without a doc_id stay, and rows that repeat a doc_id stay or go together.
+    """
+    (its,) = fresh(docs.columns, "its")
+    gone = near_duplicates(docs, width, percent, **kw).filter("not kept").select(F.col("doc_id").alias(its)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(its), "left_anti")
 
 
 def op6_near_dedup(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import text_of, trimmed
 
 try:  # the parser of the standard library's regular expressions
     from re import _constants as sre_constants
@@ -187,7 +187,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Data
                             spans[i].append((m.start(), k, m.end()))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(s)] for s in spans]})
 
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(scan, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    return docs.select("doc_id", text_of().alias("text")).mapInPandas(trimmed(scan), "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def op5_secrets(docs: DataFrame) -> DataFrame:
