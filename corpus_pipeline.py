@@ -7,13 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from rolodexter.llm.bpe import encode
-from rolodexter.llm.common import documents, shared_dir
+from rolodexter.llm.common import documents, prepare, shared_dir
 from rolodexter.llm.exact_dedup import distinct_documents
 from rolodexter.llm.language import accepted
 from rolodexter.llm.mixing import mix
 from rolodexter.llm.near_dedup import one_of_each
 from rolodexter.llm.queries import TOKENIZER
-from rolodexter.plans.ship import ship
 
 #: No SQL expresses the profiles, MinHash or BPE; tests hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -45,7 +44,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _shipped(stage):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        ship(spark)
+        prepare(spark)
         return stage(spark, docs, sf_dir)
 
     return run
