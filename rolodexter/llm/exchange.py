@@ -3,6 +3,7 @@
 Documents are dealt into groups. A group sends its distinct 64-bit keys, sorted, in one packed array for each range
 of the key space; the task of a range adds up the groups' arrays and answers each group in the order of its request. So a key
 crosses the network once for each group that has it, however often it occurs, and nothing grows with how common a key is.
+A range without keys gets no message, so there are never more messages than keys of groups, whatever the number of groups and ranges.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def ranges(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
-    """(range, slice) of sorted keys, for each of ``parts`` equal ranges of the key space; empty ones too."""
-    edges = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
-    at = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-    for k in range(parts):
-        yield k, slice(at[k], at[k + 1])
+    """(range, slice) of sorted keys for those of ``parts`` equal ranges of the key space that have any, so that messages are never more than keys."""
+    at = 0
+    while at < len(keys):
+        k = int(keys[at]) * parts >> 64
+        to = int(np.searchsorted(keys, np.uint64(-(-(k + 1 << 64) // parts)))) if k + 1 < parts else len(keys)
+        yield k, slice(at, to)
+        at = to
 
 
 def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:

@@ -184,10 +184,10 @@ def scored(docs: DataFrame, group_bytes: int = 12 << 20) -> DataFrame:
     groups = group_count(docs, group_bytes)
     texts = dealt(docs, groups)
     requests = texts.groupBy("gid").applyInArrow(_ask(groups), REQUEST)
-    answers = staged(requests.repartition(groups, "part").groupBy("part").applyInArrow(_answer, ANSWER), "lm-answers")
+    answers = staged(requests.repartitionById(groups, "part").groupBy("part").applyInArrow(_answer, ANSWER), "lm-answers")
     sums = answers.filter("gid < 0 and kind = 0").agg(F.sum("n_main"), F.sum("n_tuning"), F.sum("n_keys")).first()
     main, tuning, distinct = (int(x or 0) for x in sums)
-    mine = answers.filter("gid >= 0").select("gid", "part", "kind", "main", "tuning").repartition(groups, "gid").groupBy("gid")
+    mine = answers.filter("gid >= 0").select("gid", "part", "kind", "main", "tuning").repartitionById(groups, "gid").groupBy("gid")
     cells = texts.groupBy("gid").cogroup(mine).applyInArrow(_evidence(main), "bucket int, two int, one int, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
     cells = staged(cells, "lm-evidence").orderBy("bucket", "two", "one").collect()
     weights = learned_weights([tuple(r) for r in cells], 1 / (distinct + 1))

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import staged, text_of
+from .common import staged, text_of, trimmed
 
 BLOCK = 576  # bytes of an ADPCM block, and what payloads are padded to
 RATE, WIDE = 8000, 16000
@@ -59,15 +59,34 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def resampled(pcm: np.ndarray) -> np.ndarray:
-    """8 kHz to 16 kHz along the last axis: each sample, then one between it and the next by an eight-tap half-band filter in integers. Silence beyond the ends."""
+def midpoints(pcm: np.ndarray) -> np.ndarray:
+    """A sample between each one and the next, by an eight-tap half-band filter in integers. Silence beyond the ends."""
     taps = np.array([-5, 49, -245, 1225, 1225, -245, 49, -5], np.int64)  # Lagrange's midpoint weights over 2048
     wide = np.zeros(len(pcm) + 8, np.int64)
     wide[3 : 3 + len(pcm)] = pcm
     between = sum(t * wide[k : k + len(pcm)] for k, t in enumerate(taps))
+    return np.clip((between + 1024) >> 11, -32768, 32767).astype(np.int16)
+
+
+def resampled(pcm: np.ndarray) -> np.ndarray:
+    """8 kHz to 16 kHz: each sample, then one between it and the next."""
     out = np.empty(2 * len(pcm), np.int16)
     out[0::2] = pcm
-    out[1::2] = np.clip((between + 1024) >> 11, -32768, 32767)
+    out[1::2] = midpoints(pcm)
+    return out
+
+
+def predicted(wide: np.ndarray) -> bytes:
+    """16-bit PCM of an even number of samples in a form that compresses well and loses nothing: every second sample, then what the others differ by from the midpoints."""
+    return wide[0::2].astype("<i2").tobytes() + (wide[1::2] - midpoints(wide[0::2])).astype("<i2").tobytes()
+
+
+def restored(stored: bytes) -> np.ndarray:
+    """The PCM that predicted() stored."""
+    half = np.frombuffer(stored, "<i2").reshape(2, -1)
+    out = np.empty(half.size, np.int16)
+    out[0::2] = half[0]
+    out[1::2] = half[1] + midpoints(half[0])
     return out
 
 
@@ -111,7 +130,7 @@ def stored_audio(docs: DataFrame) -> DataFrame:
             payloads = [padded(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in batch["text"]], "media": [to_wav(p, CODECS[zlib.crc32(p) % 3]) for p in payloads]})
 
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(store, "doc_id long, n_bytes long, media binary")
+    return docs.select("doc_id", text_of().alias("text")).mapInPandas(trimmed(store), "doc_id long, n_bytes long, media binary")
 
 
 def decoded(media: list[bytes]) -> Iterator[tuple[str, bytes, np.ndarray]]:
@@ -138,7 +157,7 @@ def decoded(media: list[bytes]) -> Iterator[tuple[str, bytes, np.ndarray]]:
 
 
 def resampled_audio(media: DataFrame) -> DataFrame:
-    """The WAVs of stored_audio() as 16-bit little-endian PCM at 16 kHz, for storing: doc_id, n_bytes, the sizes and checksums of payload and WAV, codec, rate, pcm.
+    """The WAVs of stored_audio() as 16-bit PCM at 16 kHz, for storing: doc_id, n_bytes, the sizes and checksums of payload and WAV, codec, rate, pcm as of predicted().
 
     Rows leave in pieces of about a MB of WAVs. A value of the table holds under 2 GB: eight times the bytes of a text whose codec is ADPCM.
     """
@@ -148,7 +167,7 @@ def resampled_audio(media: DataFrame) -> DataFrame:
             rows, n = [], 0
             wavs = batch["media"].tolist()
             for doc_id, n_bytes, wav, (codec, payload, pcm) in zip(batch["doc_id"], batch["n_bytes"], wavs, decoded(wavs), strict=True):
-                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(wav), hashlib.sha256(wav).hexdigest(), codec, WIDE, resampled(pcm).astype("<i2").tobytes()))
+                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(wav), hashlib.sha256(wav).hexdigest(), codec, WIDE, predicted(resampled(pcm))))
                 n += len(wav)
                 if n >= 1 << 20:
                     yield pd.DataFrame(rows, columns=PCM_COLUMNS)
@@ -156,15 +175,14 @@ def resampled_audio(media: DataFrame) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=PCM_COLUMNS)
 
-    return media.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, rate int, pcm binary")
+    return media.mapInPandas(trimmed(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, rate int, pcm binary")
 
 
-def described(codec: str, rate: int, pcm: bytes) -> str:
+def described(codec: str, rate: int, wide: np.ndarray) -> str:
     """Codec, samples, peak, mean square, sign changes and checksum."""
-    wide = np.frombuffer(pcm, "<i2")
     loud = wide.astype(np.int64)
     changes = int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
-    return f"{codec}/{rate}: samples={len(wide)} peak={int(np.abs(loud).max())} power={int(loud @ loud) // len(wide)} crossings={changes} crc={zlib.crc32(pcm):08x}"
+    return f"{codec}/{rate}: samples={len(wide)} peak={int(np.abs(loud).max())} power={int(loud @ loud) // len(wide)} crossings={changes} crc={zlib.crc32(wide.astype('<i2').tobytes()):08x}"
 
 
 def op8_media(docs: DataFrame) -> DataFrame:
@@ -174,6 +192,6 @@ def op8_media(docs: DataFrame) -> DataFrame:
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[kept].assign(feature=[described(*r) for r in zip(batch["codec"], batch["rate"], batch["pcm"], strict=True)])
+            yield batch[kept].assign(feature=[described(c, r, restored(x)) for c, r, x in zip(batch["codec"], batch["rate"], batch["pcm"], strict=True)])
 
-    return pcm.mapInPandas(describe, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return pcm.mapInPandas(trimmed(describe), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

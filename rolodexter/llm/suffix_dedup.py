@@ -18,7 +18,18 @@ from .near_dedup import mixed
 LENGTH = 50  # bytes of a string that is removed
 ANCHOR = 24  # bytes of an anchor; each string of LENGTH bytes has one at a place that its bytes alone decide
 SPAN = LENGTH - ANCHOR + 1  # windows of anchors
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)  # odd; one for each eight bytes of an anchor
 CHUNK = 1 << 20  # bytes handled at a time
+NEAR = 1 << 16  # the same where arrays should stay in a core's cache
+
+
+def words(data: np.ndarray) -> np.ndarray:
+    """For each place the eight bytes from there on, as an integer."""
+    n = len(data)
+    out = np.empty(max(n - 7, 0), np.uint64)
+    for k in range(min(8, len(out))):
+        out[k::8] = data[k : k + (n - k) // 8 * 8].view(np.uint64)
+    return out
 
 
 # Suffix arrays -------------------------------------------------------------------------------------------------------
@@ -161,9 +172,7 @@ def repeated(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     n = len(text)
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
-    flat = np.concatenate([np.where(text > 1, text - 2, 0).astype(np.uint8), np.zeros(length, np.uint8)])
-    word = np.lib.stride_tricks.sliding_window_view(flat, 8)
-    word = np.ascontiguousarray(word).view(np.uint64).reshape(-1)
+    word = words(np.concatenate([np.where(text > 1, text - 2, 0).astype(np.uint8), np.zeros(length, np.uint8)]))
     border = np.cumsum(np.concatenate([[0], text <= 1, np.ones(length)]))
     ok = (before >= 0) & (border[length : n + length] == border[:n])
     places = np.flatnonzero(ok)
@@ -188,11 +197,12 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     n = len(data)
     if n < LENGTH:
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    word = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(np.uint64).reshape(-1)
+    word = words(data)
     m = n - ANCHOR + 1
-    h = mixed(word[:m] + np.uint64(0x9E3779B97F4A7C15))
-    for k in range(8, ANCHOR, 8):
-        h = mixed(h + word[k : k + m])
+    h = word[:m] * FACTORS[0]
+    for k, factor in enumerate(FACTORS[1:], 1):
+        h += word[8 * k : 8 * k + m] * factor
+    h = mixed(h)
     del word
     # The upper half of the hash, then the place: a window's least value holds its leftmost least place.
     least, width = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64), 1
@@ -207,8 +217,8 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     # Windows that lie inside a document.
     inside = np.zeros(n + 1, np.int32)
     long = ends - starts >= LENGTH
-    np.add.at(inside, starts[long], 1)
-    np.add.at(inside, ends[long] - LENGTH + 1, -1)
+    inside[starts[long]] += 1
+    inside[ends[long] - LENGTH + 1] -= 1
     inside = np.cumsum(inside[:windows]) > 0
     first = np.flatnonzero(inside & np.concatenate([[True], (place[1:] != place[:-1]) | ~inside[:-1]]))
     last = np.flatnonzero(inside & np.concatenate([(place[1:] != place[:-1]) | ~inside[1:], [True]]))
@@ -218,11 +228,11 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 
 
 def pieces(ids: list, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, starts, ends, row numbers) of about CHUNK bytes of documents at a time."""
+    """(bytes, starts, ends, row numbers) of about NEAR bytes of documents at a time."""
     at = 0
     while at < len(texts):
         to, n = at, 0
-        while to < len(texts) and (to == at or n + len(texts[to]) <= CHUNK):
+        while to < len(texts) and (to == at or n + len(texts[to]) <= NEAR):
             n += len(texts[to])
             to += 1
         sizes = np.array([len(t) for t in texts[at:to]], np.int64)
@@ -294,10 +304,31 @@ def _common_anchors(many: int):
     return run
 
 
-def _hash_runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start : start + size], by size and eight bytes at a time."""
+def _same_bytes(word: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the strings at a and at b, of the same sizes, are equal byte by byte. word: of words()."""
+    same, live = np.ones(len(a), bool), np.arange(len(a))
+    for k in range(0, int(sizes.max(initial=0)), 8):
+        live = live[sizes[live] > k]
+        at = np.minimum(k, sizes[live] - 8)  # the last eight bytes may overlap the ones before
+        equal = word[a[live] + at] == word[b[live] + at]
+        same[live[~equal]] = False
+        live = live[equal]
+    return same
+
+
+def _runs(word: np.ndarray, keys: np.ndarray, sizes: np.ndarray, content: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): strings ordered by key, size and hash, and where another string begins: hashes order them, bytes decide."""
+    order = np.lexsort((content, sizes, keys))
+    k, z, c, at = keys[order], sizes[order], content[order], starts[order]
+    new = np.ones(len(order), bool)
+    alike = np.flatnonzero((k[1:] == k[:-1]) & (z[1:] == z[:-1]) & (c[1:] == c[:-1])) + 1
+    new[alike] = ~_same_bytes(word, at[alike], at[alike - 1], z[alike])
+    return order, new
+
+
+def _hash_runs(word: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings of these sizes at starts, eight bytes at a time. word: of words()."""
     out = np.zeros(len(starts), np.uint64)
-    word = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(np.uint64).reshape(-1) if len(data) >= 8 else np.zeros(0, np.uint64)
     for size in np.unique(sizes):
         mine = np.flatnonzero(sizes == size)
         at = starts[mine]
@@ -323,13 +354,12 @@ class Strings:
         self.start = np.concatenate([group.first[few], group.first[hot] + nth])
         size = np.concatenate([group.last[few] - group.first[few] + LENGTH, np.full(len(hot), LENGTH)])
         doc = np.concatenate([group.doc[few], group.doc[hot]])
-        content = _hash_runs(group.all, self.start, size)
+        word = words(group.all)
+        content = _hash_runs(word, self.start, size)
         key = np.concatenate([group.key[few], content[len(few) :]])
-        # Equal strings of one group go once. Those with equal hashes are told apart by the second hash.
-        second = _hash_runs(group.all[::-1], len(group.all) - self.start - size, size) if len(self.start) else content
-        order = np.lexsort((self.start, second, content, size, key))
-        same = [x[order][1:] == x[order][:-1] for x in (key, size, content, second)]
-        new = np.concatenate([[True], ~np.logical_and.reduce(same)]) if len(order) else np.zeros(0, bool)
+        # Equal strings of one group go once.
+        order, new = _runs(word, key, size, content, self.start)
+        del word
         self.of = np.empty(len(order), np.int64)  # for each occurrence its string
         self.of[order] = np.cumsum(new) - 1
         head = order[new]
@@ -374,16 +404,12 @@ def _earliest(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.concatenate([unpack(r["sizes"]).astype(np.int64) for r in rows])
     first = np.concatenate([unpack(r["first"]).astype(np.int64) for r in rows])
     bodies = [np.frombuffer(zstandard.decompress(r["body"]), np.uint8) for r in rows]
-    content = []
-    for body, r in zip(bodies, rows, strict=True):  # one group's strings at a time
-        size = unpack(r["sizes"]).astype(np.int64)
-        content.append(_hash_runs(body, np.cumsum(size) - size, size))
-    content, data = np.concatenate(content), np.concatenate(bodies)
+    data = np.concatenate(bodies)
     del bodies
     starts = np.cumsum(sizes) - sizes
-    order = np.lexsort((content, sizes, keys))
-    k, z, c = keys[order], sizes[order], content[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (z[1:] != z[:-1]) | (c[1:] != c[:-1])])
+    word = words(data)
+    order, new = _runs(word, keys, sizes, _hash_runs(word, starts, sizes), starts)
+    del word
     kinds = np.cumsum(new) - 1  # equal strings
     least = np.minimum.reduceat(first[order], np.flatnonzero(new))
     head = order[new]
@@ -396,7 +422,7 @@ def _earliest(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     todo = np.flatnonzero(several)
     at = 0
     while at < len(todo):
-        to = min(at + (CHUNK >> 7), len(todo))
+        to = min(at + (CHUNK >> 5), len(todo))
         while to < len(todo) and own[todo[to]] == own[todo[to - 1]]:
             to += 1
         part = todo[at:to]
@@ -458,8 +484,8 @@ def _cut(with_bytes: bool):
             earliest = _gathered(least, offset[of], n)
             where = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
             hit = where[earliest < np.repeat(group.number[doc], n)]
-            np.add.at(covered, hit, 1)
-            np.add.at(covered, hit + LENGTH, -1)
+            covered[hit] += 1  # a window is in one string: no place comes twice
+            covered[hit + LENGTH] -= 1
         gone = np.cumsum(covered[:-1]) > 0
         rows = []
         for i, (doc_id, text, base, size) in enumerate(zip(group.ids, group.texts, group.base.tolist(), group.sizes.tolist(), strict=True)):
@@ -482,15 +508,15 @@ def without_repeats(docs: DataFrame, group_bytes: int = 5 << 20, many: int = MAN
     ``many`` occurrences sends its strings singly to the ranges of their own hashes, so no range gathers a hot passage.
     Null text is empty; texts under LENGTH bytes are left whole. Rows that repeat a doc_id are the same document: they do
     not count as earlier ones for each other. Without a doc_id a row comes last and is never the earlier one. An empty table
-    gives an empty result; other columns are not read. Strings are told apart by hashes of 64 bits besides the anchor's.
+    gives an empty result; other columns are not read; a text of any length is one value. Hashes order strings, bytes decide which are equal.
     """
     groups = group_count(docs, group_bytes)
     texts = dealt(docs, groups)
     requests = texts.groupBy("gid").applyInArrow(_ask(groups), REQUEST_SQL)
-    common = staged(requests.repartition(groups, "part").groupBy("part").applyInArrow(_common_anchors(many), ANSWER_SQL), "anchors")
-    mine = lambda x: x.repartition(groups, "gid").groupBy("gid")
+    common = staged(requests.repartitionById(groups, "part").groupBy("part").applyInArrow(_common_anchors(many), ANSWER_SQL), "anchors")
+    mine = lambda x: x.repartitionById(groups, "gid").groupBy("gid")
     strings = texts.groupBy("gid").cogroup(mine(common)).applyInArrow(_send(groups), STRINGS_SQL)
-    earliest = staged(strings.repartition(groups, "part").groupBy("part").applyInArrow(_answer_strings, ANSWER_SQL), "earliest")
+    earliest = staged(strings.repartitionById(groups, "part").groupBy("part").applyInArrow(_answer_strings, ANSWER_SQL), "earliest")
     return texts.groupBy("gid").cogroup(mine(common.unionByName(earliest))).applyInArrow(_cut(with_bytes), RESULT_SQL)
 
 
