@@ -68,12 +68,16 @@ def settings(spark: SparkSession, values: dict[str, str]):
 TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
+#: Of a Parquet page before compression: long enough for repeats among neighbouring texts to be found.
+PAGE_BYTES = 8 << 20
+
+
+def staged(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors. level: of compression."""
     spark = df.sparkSession
     path = stage_path(spark, name)
     with settings(spark, TIDY):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", PAGE_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,6 +15,7 @@ from .common import staged, text_of, trimmed
 
 BLOCK = 576  # bytes of an ADPCM block, and what payloads are padded to
 RATE, WIDE = 8000, 16000
+LEVEL = 9  # of compression of the tables, which are kept
 #: WAV format tags of the three codecs.
 TAGS = {"mulaw": 7, "alaw": 6, "ima_adpcm": 17}
 CODECS = tuple(TAGS)
@@ -77,16 +78,33 @@ def resampled(pcm: np.ndarray) -> np.ndarray:
 
 
 def predicted(wide: np.ndarray) -> bytes:
-    """16-bit PCM of an even number of samples in a form that compresses well and loses nothing: every second sample, then what the others differ by from the midpoints."""
-    return wide[0::2].astype("<i2").tobytes() + (wide[1::2] - midpoints(wide[0::2])).astype("<i2").tobytes()
+    """16-bit PCM of an even number of samples in a form that compresses well and loses nothing.
+
+    First every second sample: where they take 256 values or fewer (any table-coded audio) a palette and a byte for each, else as they are. Then what
+    the others differ by from the midpoints, if any does.
+    """
+    even = wide[0::2]
+    rest, palette = wide[1::2] - midpoints(even), np.unique(even)
+    if len(palette) > 256:
+        palette, body = palette[:0], even.astype("<i2")
+    else:
+        body = np.searchsorted(palette, even).astype(np.uint8)
+    return struct.pack("<IH", len(even), len(palette)) + palette.astype("<i2").tobytes() + body.tobytes() + (rest.astype("<i2").tobytes() if rest.any() else b"")
 
 
 def restored(stored: bytes) -> np.ndarray:
     """The PCM that predicted() stored."""
-    half = np.frombuffer(stored, "<i2").reshape(2, -1)
-    out = np.empty(half.size, np.int16)
-    out[0::2] = half[0]
-    out[1::2] = half[1] + midpoints(half[0])
+    n, colours = struct.unpack_from("<IH", stored)
+    at = 6 + 2 * colours
+    if colours:
+        even, at = np.frombuffer(stored, "<i2", colours, 6)[np.frombuffer(stored, np.uint8, n, at)], at + n
+    else:
+        even, at = np.frombuffer(stored, "<i2", n, at), at + 2 * n
+    out = np.empty(2 * n, np.int16)
+    out[0::2] = even
+    out[1::2] = midpoints(even)
+    if at < len(stored):
+        out[1::2] += np.frombuffer(stored, "<i2", n, at)
     return out
 
 
@@ -187,7 +205,7 @@ def described(codec: str, rate: int, wide: np.ndarray) -> str:
 
 def op8_media(docs: DataFrame) -> DataFrame:
     """Stores the WAVs as a table in the shared folder, reads them back, stores their resampled PCM as another, and describes what is read from that."""
-    pcm = staged(resampled_audio(staged(stored_audio(docs), "media")), "pcm")
+    pcm = staged(resampled_audio(staged(stored_audio(docs), "media", LEVEL)), "pcm", LEVEL)
     kept = PCM_COLUMNS[:-3]
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

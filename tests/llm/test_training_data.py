@@ -393,8 +393,8 @@ def test_media(docs):
 def test_media_stores_pcm(spark, docs, monkeypatch):
     tables = {}
 
-    def kept(df, name):
-        tables[name] = common.staged(df, name)
+    def kept(df, name, level):
+        tables[name] = common.staged(df, name, level)
         return tables[name]
 
     monkeypatch.setattr(media, "staged", kept)
