@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import col
@@ -31,6 +32,16 @@ def encrypted(c: Column | str, key: bytes) -> Column:
     return F.when(x.isNull() | (x == "") | x.startswith(PREFIX), x).otherwise(F.concat(F.lit(PREFIX), F.translate(F.base64(sealed), "+/\r\n", "-_")))
 
 
+def converted(rows: DataFrame, columns: Sequence[str], key: bytes, emails: Sequence[str] = ()) -> DataFrame:
+    """rows with the columns encrypted; addresses are trimmed and folded first, so that they can be found by equality."""
+    return rows.withColumns({c: encrypted(F.lower(F.trim(F.col(c))) if c in emails else F.col(c), key) for c in columns})
+
+
+def converted_back(rows: DataFrame, columns: Sequence[str], key: bytes) -> DataFrame:
+    """rows with the columns decrypted; what cannot be decrypted stays as it is."""
+    return rows.withColumns({c: F.coalesce(decrypted(c, key), F.col(c)) for c in columns})
+
+
 def decrypted(c: Column | str, key: bytes) -> Column:
     """Plaintext passes; what cannot be decrypted is null."""
     x = col(c)

@@ -9,8 +9,9 @@ from .text import col
 
 
 def roc_date(c: Column | str) -> Column:
-    """yyyMMdd of the Minguo calendar; null if it is no date."""
-    digits = F.lpad(F.when(col(c).rlike("^[0-9]{6,7}$"), col(c)), 7, "0")
+    """yyyMMdd of the Minguo calendar, marks between digits left out; null if it is no date or not seven digits."""
+    bare = F.regexp_replace(col(c).cast("string"), "[^0-9]", "")
+    digits = F.when(F.length(bare) == 7, bare)
     year = F.substring(digits, 1, 3).cast("int") + 1911
     return F.try_to_date(F.concat(F.lpad(year.cast("string"), 4, "0"), F.substring(digits, 4, 4)), "yyyyMMdd")
 

@@ -52,6 +52,40 @@ HEADLINE_PATTERNS = [
     "[?？]", "[!！]{1,}$", "懶人包|攻略|推薦|排行|排名|評比|解析|指南|教學|一次看|報你知", "怎麼[選辦做用挑放]|如何[選挑做用]|要注意什麼|該不該|值不值得",
     "幾種|大重點|大迷思|個理由|個技巧|步驟教學", "價格|費用|多少錢|行情|房價|優惠|折扣|免費", "^\\d{4}\\s*年?[最新推薦]",
 ]
+# What people write who want no more mail, and what marks an answer that no person wrote. The body counts by its first characters.
+UNSUBSCRIBE_WORDS = [
+    "退訂", "取消訂閱", "取消電子報", "請勿再寄", "不要再寄", "不要再發", "停止寄送", "停寄", "勿再來信", "移除我", "從名單移除",
+    "unsubscribe", "remove me", "opt[\\s-]?out", "take me off", "stop emailing",
+]
+UNSUBSCRIBE_BODY_CHARS = 400
+AUTO_SUBJECT_WORDS = ["自動回覆", "自动回复", "外出", "休假中", "out of office", "auto[\\s-]?reply", "automatic reply"]
+AUTO_PRECEDENCE = ["bulk", "auto_reply", "junk"]
+# Parts of a name that say company: anywhere, at the end of names of four characters or more that are no address, and in Latin names.
+NAME_MARKERS = [
+    "股份有限公司", "有限公司", "公司", "企業社", "企業", "實業", "工業", "科技", "商行", "行號", "工作室", "事務所", "工廠", "製造", "貿易",
+    "合作社", "農場", "牧場", "診所", "藥局", "商號", "產業", "集團",
+]
+NAME_MARKERS_LATIN = ["co.", "co,", " ltd", "ltd.", " inc", "inc.", "corp", "company", "llc", "gmbh", "plc", "industries", "enterprise"]
+NAME_ENDINGS = ["行", "廠", "店", "社", "號", "坊", "館", "苑", "軒", "堂", "舖", "鋪", "庄"]
+# Labels of records by field, without white space and marks, in lower case; labels that are none; labels whose value is a person.
+LABELS = {
+    "company_name": ["公司名稱", "廠商名稱", "會員名稱", "商號名稱", "企業名稱", "公司行號", "單位名稱", "中文名稱", "名稱", "companyname", "company", "name"],
+    "english_name": ["英文名稱", "英文公司名稱", "公司英文名稱", "英文", "englishname", "english"],
+    "tax_id": ["統一編號", "統編", "公司統編", "營利事業統一編號", "稅籍編號", "taxid", "vatno", "vat"],
+    "email": ["email", "電子郵件", "電子信箱", "電子郵箱", "信箱", "電郵", "郵件", "mail"],
+    "phone": ["電話", "聯絡電話", "連絡電話", "公司電話", "電話號碼", "服務電話", "tel", "telephone", "phone", "telno"],
+    "fax": ["傳真", "傳真號碼", "公司傳真", "聯絡傳真", "連絡傳真", "fax", "faxno"],
+    "website": ["網址", "公司網址", "網站", "官網", "公司網站", "website", "url", "web", "homepage"],
+    "address": ["地址", "公司地址", "通訊地址", "營業地址", "聯絡地址", "廠址", "住址", "address"],
+    "industry": ["營業範圍", "行業別", "產業別", "業別", "所屬產業", "所屬行業", "行業", "產業類別", "industry"],
+    "products": ["主要產品", "產品項目", "營業項目", "經營項目", "主要業務", "產品類別", "代理廠商及代銷產品", "代理品牌", "代銷產品", "products", "product"],
+    "contact_person": ["負責人", "負責人姓名", "代表人", "聯絡人", "董事長", "業務聯絡人", "聯絡窗口", "窗口", "contactperson", "contact"],
+}
+NO_LABELS = ["註", "備註說明", "說明", "提醒", "注意", "警告", "查詢", "搜尋", "note", "warning", "error"]
+PERSON_LABELS = ["會員代表", "代表人", "負責人", "董事長", "總經理"]
+LONGEST_LABEL, LONGEST_VALUE = 20, 500
+# Words that a header of names of companies holds, and words that rule it out.
+NAME_HEADER_HINTS = ["公司", "廠商", "企業", "名稱", "company"]
 # Patterns that both Java and other engines read alike.
 EMAIL_IN_TEXT = r"[A-Za-z0-9_.+\-]+@[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]+)+"
 EMAIL = r"^[a-z0-9!#$%&'*+/=?^_`{|}~\-]+(?:\.[a-z0-9!#$%&'*+/=?^_`{|}~\-]+)*@(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}$"

@@ -74,6 +74,22 @@ def is_company_name(c: Column | str) -> Column:
     return _sure(F.length(x).between(2, 255) & ~F.lower(x).isin(fixed.NOT_A_COMPANY) & x.rlike(r"(?U)[\w一-鿿]") & ~x.rlike(r"(?U)^\d+$"))
 
 
+def has_company_marker(c: Column | str) -> Column:
+    """Whether a name says that it is a company's."""
+    x = F.trim(col(c))
+    address = x.rlike(r"[市縣區鄉鎮].*[路街道巷號]|[0-9]+號")
+    some = lambda parts: "|".join(p.replace(".", r"\.") for p in parts)
+    ends = (F.length(x) >= 4) & x.rlike("(" + some(fixed.NAME_ENDINGS) + ")$") & ~address
+    return _sure(x.rlike(some(fixed.NAME_MARKERS)) | ends | F.lower(x).rlike(some(fixed.NAME_MARKERS_LATIN)))
+
+
+def is_not_a_name(c: Column | str, stopwords: list[str] | None = None) -> Column:
+    """Whether a value is plainly no name: blank, long, a stop-word, marks or digits of a date or number alone, an address of the web or of mail."""
+    x = F.trim(F.coalesce(col(c), F.lit("")))
+    shape = x.rlike(r"(?U)^\W*$|^[\d\s\-/年月日時分:.()]+$|^https?://|^[\w.+\-]+@[\w\-]+\.")
+    return (x == "") | (F.length(x) > 80) | shape | (F.lower(x).isin(stopwords) if stopwords else F.lit(False))
+
+
 def email_verdict(c: Column | str, disposable: list[str] | None = None, has_mx: Column | None = None) -> Column:
     """Empty, Invalid Syntax, Disposable, Unknown (no answer about the mail server), Valid or No MX. has_mx comes from a joined table."""
     x = col(c)

@@ -34,14 +34,21 @@ def usage(names: DataFrame, links: DataFrame, name: str, link: str) -> DataFrame
 
 
 def duplicate_groups(rows: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:
-    """(kind, value, ids): for each kind of key the groups of two or more rows with an equal non-blank value; groups of the same rows once, by the first kind."""
+    """(kind, value, n, id): the members of the groups of two or more rows with an equal non-blank value of a key; groups of the same rows once, by the first kind.
+
+    Groups are compared by count, least and greatest id and two sums of hashes over their ids: no group is gathered, however large.
+    """
     long = reduce(DataFrame.unionByName, (rows.select(F.lit(i).alias("nr"), F.lit(k).alias("kind"), blank_to_null(F.col(k).cast("string")).alias("value"), F.col(id_col).alias("id")) for i, k in enumerate(keys)))
-    groups = long.filter("value is not null").groupBy("nr", "kind", "value").agg(F.array_sort(F.collect_set("id")).alias("ids")).filter("size(ids) > 1")
-    return groups.groupBy("ids").agg(F.min(F.struct("nr", "kind", "value")).alias("first")).select("first.kind", "first.value", "ids")
+    members = long.filter("value is not null").distinct()
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), "id").cast("decimal(38,0)"))
+    groups = members.groupBy("nr", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most"), wide(1).alias("one"), wide(2).alias("two")).filter("n > 1")
+    first = groups.groupBy("n", "least", "most", "one", "two").agg(F.min(F.struct("nr", "kind", "value")).alias("g")).select("g.kind", "g.value", "n")
+    return members.select("kind", "value", "id").join(first, ["kind", "value"]).select("kind", "value", "n", "id")
 
 
 def surplus(groups: DataFrame) -> DataFrame:
-    return groups.agg(F.coalesce(F.sum(F.size("ids") - 1), F.lit(0)).alias("surplus"))
+    """How many rows all groups have beyond one each; groups: of duplicate_groups()."""
+    return groups.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"))
 
 
 def frequent_keys(rows: DataFrame, maps: str, top: int = 20) -> DataFrame:

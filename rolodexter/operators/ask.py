@@ -90,12 +90,12 @@ def searches(question: Question, now, text_columns: Sequence[str]) -> list[filte
     return [filters.Search(**base, contains=contains | ({"address": c} if c else {})) for c in (spellings(a["city"]) if "city" in a else [""])]
 
 
-def answered(rows: DataFrame, question: Question, now, text_columns: Sequence[str], id_col: str = "id") -> DataFrame:
-    """All rows that the question asks for, each once; with mode count, one row with n. The count is complete; a list is as long as asked for, 200 at most."""
+def answered(rows: DataFrame, question: Question, now, text_columns: Sequence[str], id_col: str = "id", tag_links: tuple[DataFrame, str, str] | None = None) -> DataFrame:
+    """All rows that the question asks for, each once; with mode count, one row with n. The count is complete; a list is as long as asked for, 200 at most. tag_links: (table, its id column, its tag column), for questions with a tag."""
     from functools import reduce
 
     wanted = reduce(lambda a, b: a | b, (s.predicate() for s in searches(question, now, text_columns)))
-    found = rows.filter(wanted)
+    found = filters.narrowed(rows.filter(wanted), searches(question, now, text_columns)[0], id_col, tag_links)
     if question.mode == "count":
         return found.agg(F.count(F.lit(1)).alias("n"))
     first = searches(question, now, text_columns)[0]

@@ -79,7 +79,21 @@ def page(rows: DataFrame, offset: int = 0, limit: int | None = None) -> DataFram
     return rows if limit is None else rows.limit(limit)
 
 
-def search(rows: DataFrame, what: Search, sortable: Sequence[str], default: str, tie: str = "id") -> DataFrame:
+def narrowed(rows: DataFrame, what: Search, tie: str, tag_links: tuple[DataFrame, str, str] | None) -> DataFrame:
+    """rows that have one of the tags asked for, if any is. tag_links: (table, its id column, its tag column)."""
+    if not what.tags:
+        return rows
+    if tag_links is None:
+        raise ValueError("a search for tags needs the table of tag links")
+    return tagged(rows, tag_links[0], what.tags, tie, tag_links[1], tag_links[2])
+
+
+#: Named orders: column and whether descending.
+PRESETS = {"score": ("lead_score", True), "newest": ("updated_at", True), "added": ("created_at", True), "name": ("company_name", False), "due": ("follow_up_date", False)}
+
+
+def search(rows: DataFrame, what: Search, sortable: Sequence[str], default: str, tie: str = "id", tag_links: tuple[DataFrame, str, str] | None = None) -> DataFrame:
+    rows = narrowed(rows, what, tie, tag_links)
     return page(ordered(rows.filter(what.predicate()), what.order_by, what.descending, sortable, default, tie), what.offset, what.limit)
 
 

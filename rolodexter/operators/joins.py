@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
@@ -19,10 +19,11 @@ def not_known(rows: DataFrame, known: DataFrame, keys: dict[str, Column]) -> Dat
     return rows
 
 
-def nested(parents: DataFrame, children: DataFrame, key: str, child_key: str, name: str, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """parents with an array of their children's columns, ordered; empty without any."""
-    lists = children.groupBy(F.col(child_key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct(*dict.fromkeys([*order, *columns])))).alias(name))
-    return parents.join(lists, F.col(key) == F.col("_key"), "left").drop("_key").withColumn(name, F.coalesce(name, F.array().cast(dict(lists.dtypes)[name])))
+def with_children(parents: DataFrame, children: DataFrame, key: str, child_key: str, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """parents with a row for each child, numbered from 1 in order; nth is null for a parent without any. Rows, not lists: a parent may have any number of children."""
+    w = Window.partitionBy(child_key).orderBy(*order)
+    numbered = children.select(F.col(child_key).alias("_key"), *columns, F.row_number().over(w).alias("nth"))
+    return parents.join(numbered, F.col(key) == F.col("_key"), "left").drop("_key")
 
 
 def first_match(rows: DataFrame, targets: DataFrame, keys: Sequence[tuple[str, str]], row_id: str = "id", target_id: str = "id") -> DataFrame:
@@ -65,5 +66,12 @@ def reconcile(files: DataFrame, index: DataFrame, key: str, size: str) -> DataFr
     return f.join(i, key, "full_outer").withColumn("action", action).withColumn("size", F.coalesce("file_size", "index_size"))
 
 
+def with_details(rows: DataFrame, details: DataFrame, url: str, columns: Sequence[str]) -> DataFrame:
+    """rows with blanks of the columns filled from the detail page at their address, the first of equal addresses."""
+    side = details.groupBy(F.col(url).alias("_url")).agg(*(F.first(c, ignorenulls=True).alias(f"_{c}") for c in columns))
+    both = rows.join(side, F.col(url) == F.col("_url"), "left")
+    return both.withColumns({c: first_non_blank(c, f"_{c}") for c in columns}).select(*rows.columns)
+
+
 def first_non_blank(*columns: Column | str) -> Column:
     return F.coalesce(*(blank_to_null(c) for c in columns))

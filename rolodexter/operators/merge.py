@@ -46,8 +46,9 @@ def upsert(store: DataFrame, batch: DataFrame, key: str, fill: Sequence[str], ov
 
 
 def adopted_verdict(old_mail: Column, old_verdict: Column, new_mail: Column, new_verdict: Column) -> Column:
-    """A verdict counts for the address that is held only, and never replaces a bounce."""
-    return F.when(old_verdict == "Bounced", old_verdict).when(F.lower(old_mail) == F.lower(new_mail), F.coalesce(new_verdict, old_verdict)).otherwise(old_verdict)
+    """A verdict counts for the address that is held only, never replaces a bounce, and says something: Unknown replaces nothing."""
+    says = F.coalesce(new_verdict != "Unknown", F.lit(False)) & ~old_verdict.eqNullSafe(F.lit("Bounced")) & (F.lower(old_mail) == F.lower(new_mail))
+    return F.when(says, new_verdict).otherwise(old_verdict)
 
 
 def edited_verdict(old_mail: Column, new_mail: Column, verdict: Column) -> Column:

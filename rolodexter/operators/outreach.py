@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.text import blank_to_null, col
 from ..functions.validate import is_email
+from .merge import advanced
 from .windows import with_quota
 
-UNSUBSCRIBE = r"(?i)unsubscribe|remove me|opt.?out|stop (sending|emailing)|取消訂閱|退訂|請勿再寄"
-AUTO_SUBJECT = r"(?i)^(auto(matic)?[ -]?reply|out of office|自動回覆)"
 
 
 def skip_reason(dnc: Column, mail: Column, verdict: Column, last_sent: Column, now: Column, days: int = 30, need_valid: bool = False) -> Column:
@@ -21,7 +21,7 @@ def skip_reason(dnc: Column, mail: Column, verdict: Column, last_sent: Column, n
         .when(blank_to_null(mail).isNull(), "NO_EMAIL")
         .when(~is_email(F.lower(F.trim(mail))), "INVALID_EMAIL")
         .when(F.lit(need_valid) & ~verdict.eqNullSafe(F.lit("Valid")), "UNVERIFIED")
-        .when(last_sent > now - F.make_dt_interval(days=F.lit(days)), "RECENTLY_EMAILED")
+        .when(last_sent >= now - F.make_dt_interval(days=F.lit(days)), "RECENTLY_EMAILED")
     )
 
 
@@ -31,13 +31,42 @@ def plan(rows: DataFrame, reason: Column, order: list[Column], left: int, id_col
     return judged.withColumn("skip_reason", F.when(F.col("skip_reason").isNull() & ~F.col("in_quota"), "DAILY_CAP").otherwise(F.col("skip_reason"))).drop("in_quota")
 
 
-def reply_kind(subject: Column, body: Column, auto_header: Column | None = None) -> Column:
-    """unsubscribe, auto or human; the body counts by its first 400 characters."""
-    auto = F.coalesce(subject, F.lit("")).rlike(AUTO_SUBJECT)
+def wants_out(subject: Column, body: Column) -> Column:
+    """Whether an answer asks for no more mail; of the body only the start counts, as quotations follow."""
+    said = "(?i)" + "|".join(fixed.UNSUBSCRIBE_WORDS)
+    return F.coalesce(subject.rlike(said), F.lit(False)) | F.coalesce(F.substring(body, 1, fixed.UNSUBSCRIBE_BODY_CHARS).rlike(said), F.lit(False))
+
+
+def is_automatic(subject: Column, auto_header: Column | None = None, precedence: Column | None = None) -> Column:
+    """Whether no person wrote it. auto_header: whether a header of automatic replies says other than no."""
+    out = F.coalesce(subject.rlike("(?i)" + "|".join(fixed.AUTO_SUBJECT_WORDS)), F.lit(False))
     if auto_header is not None:
-        auto = auto | F.coalesce(auto_header, F.lit(False))
-    said = F.concat_ws(" ", subject, F.substring(body, 1, 400)).rlike(UNSUBSCRIBE)
-    return F.when(auto, "auto").when(said, "unsubscribe").otherwise("human")
+        out = out | F.coalesce(auto_header, F.lit(False))
+    if precedence is not None:
+        out = out | F.coalesce(F.lower(F.trim(precedence)).isin(fixed.AUTO_PRECEDENCE), F.lit(False))
+    return out
+
+
+def reply_kind(subject: Column, body: Column, auto_header: Column | None = None, precedence: Column | None = None) -> Column:
+    """unsubscribe, auto or human. A wish for no more mail counts whoever says it, an automatic answer included."""
+    return F.when(wants_out(subject, body), "unsubscribe").when(is_automatic(subject, auto_header, precedence), "auto").otherwise("human")
+
+
+def suggested(kind: Column) -> Column:
+    """Whether an answer is ticked at first: all but automatic ones."""
+    return kind != "auto"
+
+
+def reply_action(kind: Column, stage: Column, to: str = "Replied") -> Column:
+    """What adopting an answer does: mark, advance or note."""
+    return F.when(kind == "unsubscribe", "mark").when(advanced(stage, to) != stage, "advance").otherwise("note")
+
+
+def recipients(among: dict[str, list]) -> Column:
+    """Who a schedule writes to: with an address, may be contacted, and in the lists."""
+    from .filters import Search
+
+    return Search(presence={"email": True}, among=among).predicate() & ~F.coalesce(F.col("do_not_contact"), F.lit(False))
 
 
 def reply_rank(kind: Column) -> Column:

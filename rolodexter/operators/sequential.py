@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,51 +45,104 @@ def _filled(x) -> bool:
     return x is not None and x == x and str(x).strip() != ""
 
 
-def _find(store: list[dict], r: dict) -> dict | None:
-    """The stored row that a record means: by the strongest signal that finds one, of several the first."""
-    same = lambda c: next((s for s in store if _filled(r[c]) and s[c] == r[c]), None)
-    for c in KEYS[:3]:
-        if found := same(c):
-            return found
-    if not _filled(r["name_key"]):
-        return None
-    named = [s for s in store if s["name_key"] == r["name_key"]]
-    tests = [
-        (named, lambda s: _filled(r["phone"]) and s["phone"] == r["phone"]),
-        (named, lambda s: _filled(r["host"]) and _filled(s["website"]) and r["host"].lower() in s["website"].lower()),
-        (store, lambda s: s["dedupe_key"] == "n:" + r["name_key"]),
-    ]
-    return next((s for rows, test in tests for s in rows if test(s)), None)
+class _Store:
+    """Rows in order, found by their signals through indexes: each value's first row that has it."""
+
+    def __init__(self):
+        self.rows: list[dict] = []
+        self.first: dict[tuple, int] = {}
+        self.hosts: dict[str, list[int]] = defaultdict(list)
+
+    def index(self, at: int) -> None:
+        row = self.rows[at]
+        for c in KEYS[:3]:
+            if row[c] is not None:
+                self._set((c, row[c]), at)
+        if row["name_key"] is not None and row["phone"] is not None:
+            self._set(("phone", row["name_key"], row["phone"]), at)
+        if row["name_key"] is not None and row["website"] is not None and at not in self.hosts[row["name_key"]]:
+            self.hosts[row["name_key"]].append(at)
+
+    def _set(self, key: tuple, at: int) -> None:
+        if at < self.first.get(key, at + 1):
+            self.first[key] = at
+
+    def find(self, r: dict) -> int | None:
+        """The row that a record means: by the strongest signal that finds one, of several the first."""
+        for c in KEYS[:3]:
+            if r[c] is not None and (c, r[c]) in self.first:
+                return self.first[c, r[c]]
+        name = r["name_key"]
+        if name is None:
+            return None
+        if r["phone"] is not None and ("phone", name, r["phone"]) in self.first:
+            return self.first["phone", name, r["phone"]]
+        if r["host"] is not None:
+            held = [at for at in self.hosts[name] if r["host"].lower() in self.rows[at]["website"].lower()]
+            if held:
+                return min(held)
+        return self.first.get(("dedupe_key", "n:" + name))
 
 
 def _replay(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["seq", "id"], kind="stable")
-    store: list[dict] = []
+    store = _Store()
     for r in rows.to_dict("records"):
-        r = {k: (v if k in ("id", "seq") or _filled(v) else None) for k, v in r.items()}
-        old = None if r["seq"] < 0 else _find(store, r)
-        if old is None:
-            store.append(r | {"merged": 0})
+        r = {k: (v if k in ("id", "seq", "weight") or _filled(v) else None) for k, v in r.items()}
+        at = None if r["seq"] < 0 else store.find(r)
+        if at is None:
+            store.rows.append(r | {"merged": r["weight"] - 1})
+            store.index(len(store.rows) - 1)
             continue
-        old["merged"] += 1
+        old = store.rows[at]
+        old["merged"] += r["weight"]
         for c in FILLED:
             if old[c] is None:
                 old[c] = r[c]
         old["source_url"] = r["source_url"] or old["source_url"]
-    out = pd.DataFrame(store)
-    return out[[*rows.columns.drop("cluster"), "merged"]]
+        store.index(at)
+    return pd.DataFrame(store.rows)[[*rows.columns.drop(["cluster", "weight"]), "merged"]]
+
+
+def _lighter(rows: DataFrame) -> DataFrame:
+    """rows with weight, how many records each stands for.
+
+    Where the store holds a record's dedupe_key, the record goes into that row whatever comes before it. Of all records of such a key only the first
+    to fill each field and the last with a source change the row; the others are left out and counted with the key's store row. So a key that a third of all
+    records share leaves a dozen of them. Aggregates only: no group is gathered.
+    """
+    key = blank_to_null("dedupe_key")
+    held = rows.filter(F.col("seq") < 0).groupBy(key.alias("_k")).agg(F.min("id").alias("_row")).filter("_k is not null")
+    of = rows.withColumn("_k", key).join(held, "_k", "left")
+    late = of.filter((F.col("seq") >= 0) & F.col("_row").isNotNull())
+    firsts = [F.min(F.when(blank_to_null(c).isNotNull(), F.col("seq"))) for c in FILLED]
+    telling = late.groupBy("_k").agg(F.array(*firsts, F.max(F.when(blank_to_null("source_url").isNotNull(), F.col("seq")))).alias("s"), F.count(F.lit(1)).alias("n"))
+    telling = telling.withColumn("s", F.array_distinct(F.filter("s", lambda x: x.isNotNull())))
+    kept = late.join(telling.select("_k", F.explode("s").alias("seq")), ["_k", "seq"], "left_semi")
+    spare = telling.select("_k", (F.col("n") - F.size("s")).alias("_spare"))
+    rest = of.filter((F.col("seq") < 0) | F.col("_row").isNull()).join(spare, "_k", "left")
+    own = (F.col("seq") < 0) & (F.col("id") == F.col("_row"))
+    rest = rest.withColumn("weight", F.lit(1) + F.when(own, F.coalesce("_spare", F.lit(0))).otherwise(0))
+    return rest.select(*rows.columns, "weight").unionByName(kept.withColumn("weight", F.lit(1).cast("long")).select(*rows.columns, "weight"))
 
 
 def upserted(store: DataFrame, batch: DataFrame) -> DataFrame:
     """The store after the batch, in the order of ``seq``; adds merged, how many records went into each row.
 
-    store and batch have COLUMNS; a store's seq does not count, a batch's id is null. Rows that can ever meet share a key or the
-    probe "n:" + name_key, so each connected set of rows is replayed on its own, and sets run in parallel. A set is as large as a
-    name is common: the replay is sequential by definition.
+    store and batch have COLUMNS; a store's seq does not count, a batch's id is null and its seq is its own. Rows that can ever meet share a key or the
+    probe "n:" + name_key. A connected set of new records that all have one dedupe_key is one new row, an aggregate. Other sets
+    are replayed, each on its own and through indexes, after _lighter() has left out what changes nothing.
     """
     rows = store.withColumn("seq", F.lit(-1).cast("long")).unionByName(batch.withColumn("id", F.lit(None).cast("long")))
-    rows = rows.withColumn("email", F.lower("email")).withColumn("row_id", F.when(F.col("seq") < 0, -F.col("id")).otherwise(F.col("seq")))
+    rows = _cut(_lighter(rows.withColumn("email", F.lower("email"))))
+    rows = rows.withColumn("row_id", F.when(F.col("seq") < 0, -F.col("id")).otherwise(F.col("seq")))
     tagged = [F.concat(F.lit(c + "="), blank_to_null(c)) for c in KEYS] + [F.concat(F.lit("dedupe_key=n:"), blank_to_null("name_key"))]
     keys = rows.select("row_id", F.explode(F.filter(F.array(*tagged), lambda k: k.isNotNull())).alias("key"))
-    named = rows.join(clusters(rows, "row_id", keys), "row_id").drop("row_id")
-    return named.groupBy("cluster").applyInPandas(_replay, COLUMNS + ", merged long")
+    named = _cut(rows.join(clusters(rows, "row_id", keys), "row_id").drop("row_id"))
+    alone = named.groupBy("cluster").agg((F.min("seq") >= 0).alias("a"), F.min("dedupe_key").alias("b"), F.max("dedupe_key").alias("c"), F.count_if(blank_to_null("dedupe_key").isNull()).alias("d"))
+    alone = alone.filter("a and b = c and d = 0").select("cluster")
+    one = [F.min_by(c, "seq").alias(c) for c in ("company_name", "name_key", "dedupe_key", "host")] + [F.max_by("source_url", F.when(blank_to_null("source_url").isNotNull(), F.col("seq"))).alias("source_url")]
+    one += [F.min_by(c, F.when(blank_to_null(c).isNotNull(), F.col("seq"))).alias(c) for c in FILLED]
+    new = named.join(alone, "cluster", "left_semi").groupBy("cluster").agg(F.lit(None).cast("long").alias("id"), F.min("seq").alias("seq"), *one, (F.sum("weight") - 1).alias("merged")).drop("cluster")
+    rest = named.join(alone, "cluster", "left_anti").groupBy("cluster").applyInPandas(_replay, COLUMNS + ", merged long")
+    return rest.unionByName(new.select(*rest.columns))

@@ -2,45 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crypto, dates, fixed, identity, score, text, validate
 from ..operators import aggregates, ask, filters, joins, merge, outreach, sequential, windows
 from ..sources import export, extraction, pages
-from .ship import ship
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-NOW = "TIMESTAMP '2024-02-01 00:00:00'"
-
-
-def now():
-    return F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Registers a function of (read) under its name; read(name) is a table."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: table(spark, sf_dir, name))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def quoted(words) -> str:
-    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
-
+from .registry import QUERIES, SQL, now, query, quoted, NOW, table  # noqa: F401
 
 # Filters, order, paging
 
@@ -77,10 +44,10 @@ def search_sorted_page(t):
     return filters.search(rows, s, ["c_acctbal", "c_name"], "c_custkey", "c_custkey").select("c_custkey", "c_name", "n_name", "c_acctbal")
 
 
-@query("SELECT doc_id, nullif(lang, 'en') AS lang FROM documents ORDER BY (nullif(lang, 'en') IS NULL), lower(nullif(lang, 'en')), doc_id LIMIT 100")
+@query("SELECT doc_id, nullif(lang, 'en') AS lang FROM documents ORDER BY (nullif(lang, 'en') IS NULL), lower(nullif(lang, 'en')), doc_id")
 def sort_blanks_grouped(t):
     rows = t("documents").select("doc_id", F.nullif("lang", F.lit("en")).alias("lang"))
-    return filters.ordered(rows, "lang", sortable=["lang"], tie="doc_id").limit(100)
+    return filters.ordered(rows, "lang", sortable=["lang"], tie="doc_id")
 
 
 @query("SELECT c_custkey, coalesce(nullif(trim(nullif(c_mktsegment, 'BUILDING')), ''), 'unsorted') AS industry, nullif(c_mktsegment, 'BUILDING') IS NULL AS was_blank FROM customer")
@@ -133,10 +100,9 @@ def latest_row_per_key(t):
     return windows.latest(t("orders"), "o_custkey", ["o_orderkey", "o_orderdate"], ["o_orderdate", "o_orderkey"])
 
 
-@query("SELECT c_custkey, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey), '') AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+@query("SELECT c_custkey, o_orderkey, CAST(CASE WHEN o_orderkey IS NOT NULL THEN row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate, o_orderkey) END AS INT) AS nth FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 def nested_children(t):
-    rows = joins.nested(t("customer").select("c_custkey"), t("orders"), "c_custkey", "o_custkey", "kids", ["o_orderkey"], ["o_orderdate", "o_orderkey"])
-    return rows.select("c_custkey", F.array_join(F.transform("kids", lambda k: k["o_orderkey"].cast("string")), ",").alias("orders"))
+    return joins.with_children(t("customer").select("c_custkey"), t("orders"), "c_custkey", "o_custkey", ["o_orderkey"], ["o_orderdate", "o_orderkey"])
 
 
 @query("SELECT d.doc_id, l.quality, l.doc_id IS NOT NULL AS cache_hit FROM documents d LEFT JOIN (SELECT * FROM labels WHERE toxic = 0) l ON d.doc_id = l.doc_id")
@@ -156,12 +122,12 @@ def index_reconcile(t):
 
 
 @query(
-    "WITH r AS (SELECT c_custkey AS id, c_name AS a, c_mktsegment AS b FROM customer WHERE c_custkey <= 200), s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS a, c_mktsegment AS b FROM customer) "
-    "SELECT row_id, arg_min(target_id, (rank, target_id)) AS target_id, min(rank) AS rank FROM (SELECT r.id AS row_id, min(s.id) AS target_id, 0 AS rank FROM r JOIN s USING (a) GROUP BY r.id UNION ALL SELECT r.id, min(s.id), 1 FROM r JOIN s USING (b) GROUP BY r.id) GROUP BY row_id"
+    "WITH r AS (SELECT c_custkey AS id, c_name AS a, c_mktsegment AS b FROM customer), s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS a, c_mktsegment AS b FROM customer) "
+    "SELECT row_id, arg_min(target_id, (rank, target_id)) AS target_id, min(rank) AS rank FROM (SELECT r.id AS row_id, min(s.id) AS target_id, 0 AS rank FROM r JOIN s USING (a) GROUP BY r.id UNION ALL SELECT r.id, m.id, 1 FROM r JOIN (SELECT b, min(id) AS id FROM s GROUP BY b) m USING (b)) GROUP BY row_id"
 )
 def strongest_match(t):
     c = t("customer")
-    rows = c.filter("c_custkey <= 200").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("a"), F.col("c_mktsegment").alias("b"))
+    rows = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("a"), F.col("c_mktsegment").alias("b"))
     targets = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("a"), F.col("c_mktsegment").alias("b"))
     return joins.first_match(rows, targets, [("a", "a"), ("b", "b")])
 
@@ -217,9 +183,9 @@ def _duplicates(t):
     return aggregates.duplicate_groups(c, ["tax_id", "email"])
 
 
-@query(DUPLICATES + "SELECT kind, value, array_to_string(ids, ',') AS ids FROM d")
+@query(DUPLICATES + "SELECT kind, value, CAST(len(ids) AS BIGINT) AS n, unnest(ids) AS id FROM d")
 def duplicate_groups(t):
-    return _duplicates(t).select("kind", "value", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    return _duplicates(t)
 
 
 @query(DUPLICATES + "SELECT CAST(coalesce(sum(len(ids) - 1), 0) AS BIGINT) AS surplus FROM d")
@@ -245,11 +211,11 @@ def directory_gate(t):
 # Windows
 
 
-RUNS = "WITH r AS (SELECT event_type AS source, CAST(ts AS DATE) AS started_at, count(*) AS found, CASE WHEN count(*) % 5 = 0 THEN 'Failed' ELSE 'Success' END AS status FROM events WHERE user_id % 4 = 0 GROUP BY 1, 2), h AS (SELECT *, lag(found) OVER w AS previous_found, last_value(CASE WHEN found > 0 AND status IN ('Success', 'Partial') THEN found END IGNORE NULLS) OVER (PARTITION BY source ORDER BY started_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_good FROM r WINDOW w AS (PARTITION BY source ORDER BY started_at)) "
+RUNS = "WITH r AS (SELECT event_type AS source, CAST(ts AS DATE) AS started_at, count(*) AS found, CASE WHEN count(*) % 5 = 0 THEN 'Failed' ELSE 'Success' END AS status FROM events GROUP BY 1, 2), h AS (SELECT *, lag(found) OVER w AS previous_found, last_value(CASE WHEN found > 0 AND status IN ('Success', 'Partial') THEN found END IGNORE NULLS) OVER (PARTITION BY source ORDER BY started_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_good FROM r WINDOW w AS (PARTITION BY source ORDER BY started_at)) "
 
 
 def _runs(t):
-    r = t("events").filter("user_id % 4 = 0").groupBy(F.col("event_type").alias("source"), F.to_date("ts").alias("started_at")).agg(F.count(F.lit(1)).alias("found"))
+    r = t("events").groupBy(F.col("event_type").alias("source"), F.to_date("ts").alias("started_at")).agg(F.count(F.lit(1)).alias("found"))
     return windows.run_history(r.withColumn("status", F.when(F.col("found") % 5 == 0, "Failed").otherwise("Success")), at=["started_at"])
 
 
@@ -280,7 +246,7 @@ def worst_event_per_user(t):
 
 
 PLAN = (
-    "WITH o AS (SELECT o_custkey, max(o_orderdate) AS last_sent FROM orders GROUP BY 1), j AS (SELECT c_custkey AS id, c_acctbal, CASE WHEN c_nationkey = 3 THEN 'DO_NOT_CONTACT' WHEN c_acctbal < 0 THEN 'BOUNCED' WHEN c_custkey % 11 = 0 THEN 'NO_EMAIL' WHEN c_custkey % 13 = 0 THEN 'INVALID_EMAIL' WHEN last_sent > TIMESTAMP '1998-06-01' - INTERVAL 30 DAY THEN 'RECENTLY_EMAILED' END AS reason FROM customer LEFT JOIN o ON c_custkey = o_custkey), "
+    "WITH o AS (SELECT o_custkey, max(o_orderdate) AS last_sent FROM orders GROUP BY 1), j AS (SELECT c_custkey AS id, c_acctbal, CASE WHEN c_nationkey = 3 THEN 'DO_NOT_CONTACT' WHEN c_acctbal < 0 THEN 'BOUNCED' WHEN c_custkey % 11 = 0 THEN 'NO_EMAIL' WHEN c_custkey % 13 = 0 THEN 'INVALID_EMAIL' WHEN last_sent >= TIMESTAMP '1998-06-01' - INTERVAL 30 DAY THEN 'RECENTLY_EMAILED' END AS reason FROM customer LEFT JOIN o ON c_custkey = o_custkey), "
     "q AS (SELECT id FROM j WHERE reason IS NULL ORDER BY c_acctbal DESC, id LIMIT 50), p AS (SELECT j.id, CASE WHEN reason IS NULL AND q.id IS NULL THEN 'DAILY_CAP' ELSE reason END AS skip_reason FROM j LEFT JOIN q ON j.id = q.id) "
 )
 
@@ -417,7 +383,7 @@ def pagination_key(t):
 
 @query()
 def list_block_detection(t):
-    return pages.list_blocks(pages.nodes(t("pages")))
+    return pages.list_blocks(pages.list_items(t("pages")))
 
 
 @query("WITH l AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li><a href=\"([^\"]*)\">', 1)) AS link FROM pages) SELECT page_id, count(*) AS n, min(link) AS first, max(link) AS last FROM l GROUP BY page_id")
@@ -432,16 +398,16 @@ def rule_validation(t):
     return extraction.judged_rules(rows, ["name", "missing"], ["name"])
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(substr(text, 1, 20), '^[=+\\-@\\t\\r\\n]') THEN '''' || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS cell FROM documents")
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r\\n]') THEN '''' || text ELSE text END AS cell FROM documents")
 def formula_neutralise(t):
-    return t("documents").select("doc_id", text.neutral(F.substring("text", 1, 20)).alias("cell"))
+    return t("documents").select("doc_id", text.neutral("text").alias("cell"))
 
 
 @query("SELECT p_partkey, trim(p_name) AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS size FROM part")
 def label_value_parse(t):
-    body = F.concat(F.lit("Name: "), F.col("p_name"), F.lit("\nBrand : "), F.col("p_brand"), F.lit("\nbrand: other\nSize："), F.col("p_size").cast("string"))
+    body = F.concat(F.lit("Name: "), F.col("p_name"), F.lit(" Brand : "), F.col("p_brand"), F.lit("\nBrand: other\nSize："), F.col("p_size").cast("string"))
     got = t("part").select("p_partkey", pages.labelled(body).alias("m"))
-    return got.select("p_partkey", F.try_element_at("m", F.lit("Name")).alias("name"), F.try_element_at("m", F.lit("Brand")).alias("brand"), F.try_element_at("m", F.lit("Size")).alias("size"))
+    return got.select("p_partkey", F.try_element_at("m.fields", F.lit("company_name")).alias("name"), F.try_element_at("m.extra", F.lit("Brand")).alias("brand"), F.try_element_at("m.extra", F.lit("Size")).alias("size"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'mail:c' || c_custkey || '@mail.org' WHEN c_custkey % 3 = 1 THEN 'np:customer' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '|02-2' || lpad(CAST(c_custkey % 10000000 AS VARCHAR), 7, '0') ELSE 'n:customer' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') END AS key FROM customer")
@@ -457,10 +423,10 @@ def identity_key_cascade(t):
 
 
 @query(
-    "SELECT k AS key, min(doc_id) AS doc_id, arg_min(lang, doc_id) FILTER (WHERE lang <> 'en') AS lang, arg_min(source, doc_id) AS source, bool_or(n_chars > 5000) AS flagged, count(*) AS n_merged FROM (SELECT *, substr(lower(text), 1, 40) AS k FROM documents) GROUP BY k"
+    "SELECT k AS key, min(doc_id) AS doc_id, arg_min(lang, doc_id) FILTER (WHERE lang <> 'en') AS lang, arg_min(source, doc_id) AS source, bool_or(n_chars > 5000) AS flagged, count(*) AS n_merged FROM (SELECT *, regexp_replace(lower(text), '[\\s]+', ' ', 'g') AS k FROM documents WHERE trim(coalesce(text, '')) <> '') GROUP BY k"
 )
 def merge_records(t):
-    rows = t("documents").select(F.substring(F.lower("text"), 1, 40).alias("key"), "doc_id", F.nullif("lang", F.lit("en")).alias("lang"), "source", (F.col("n_chars") > 5000).alias("flagged"))
+    rows = t("documents").select(F.regexp_replace(F.lower("text"), r"\s+", " ").alias("key"), "doc_id", F.nullif("lang", F.lit("en")).alias("lang"), "source", (F.col("n_chars") > 5000).alias("flagged"))
     return merge.merged(rows.withColumn("seq", F.col("doc_id")), "key", "seq", ["lang"], ["doc_id", "source"], ["flagged"])
 
 
@@ -550,11 +516,11 @@ def cascade_delete(t):
     return count("customer", left).unionByName(count("orders", children["orders"]))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Unknown' ELSE 'Valid' END AS verdict, CASE WHEN o_orderkey % 5 = 0 THEN 'Bounced' WHEN o_orderkey % 3 = 0 THEN 'Unknown' ELSE 'No MX' END AS adopted FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Unknown' ELSE 'Valid' END AS verdict, CASE WHEN o_orderkey % 5 = 0 THEN 'Bounced' WHEN o_orderkey % 3 = 0 OR o_orderkey % 7 = 0 THEN 'Valid' ELSE 'No MX' END AS adopted FROM orders")
 def verdict_rules(t):
     k = F.col("o_orderkey")
     old, new = F.lit("A@b.tw"), F.when(k % 3 == 0, "c@d.tw").otherwise("a@b.tw")
-    return t("orders").select("o_orderkey", merge.edited_verdict(old, new, F.lit("Valid")).alias("verdict"), merge.adopted_verdict(old, F.when(k % 5 == 0, "Bounced").otherwise("Unknown"), new, F.lit("No MX")).alias("adopted"))
+    return t("orders").select("o_orderkey", merge.edited_verdict(old, new, F.lit("Valid")).alias("verdict"), merge.adopted_verdict(old, F.when(k % 5 == 0, "Bounced").otherwise("Valid"), new, F.when(k % 7 == 0, "Unknown").otherwise("No MX")).alias("adopted"))
 
 
 @query("WITH p AS (SELECT unnest(['page=' || page_id % 7, 'ref=x', 'size=20']) AS pair FROM pages), v AS (SELECT 'all' AS site, 'x' AS base, string_split(pair, '=')[1] AS parameter, regexp_extract(pair, '=([0-9]+)$', 1) AS value FROM p) SELECT site, base, parameter, count(DISTINCT value) AS n_values FROM v WHERE value <> '' GROUP BY ALL HAVING count(DISTINCT value) > 1")
@@ -575,7 +541,13 @@ def company_or_advert(t):
     return t("part").select("p_partkey", validate.why_not_a_company(name, F.when(k == 1, "https://x.tw/news/1")).alias("why"), text.display_width(F.concat("p_name", F.lit("公司"))).alias("width"))
 
 
-@query()
+@query(
+    "WITH p AS (SELECT c_custkey AS k, c_custkey % 2 AS odd, c_name, substr(c_name, -6, 5) AS nk, c_mktsegment AS seg, CASE WHEN c_custkey % 3 = 0 THEN lower(c_name) || '@b.tw' END AS mail FROM customer), "
+    "h AS (SELECT nk, arg_min(k, (odd, k)) AS head, count(*) FILTER (WHERE odd = 1) AS n, arg_max(seg, k) FILTER (WHERE odd = 1) AS seg, arg_min(mail, k) FILTER (WHERE odd = 1 AND mail IS NOT NULL) AS mail FROM p GROUP BY nk) "
+    "SELECT CASE WHEN odd = 0 THEN k END AS id, CASE WHEN odd = 0 THEN -1 ELSE k END AS seq, CASE WHEN odd = 0 THEN c_name ELSE lower(c_name) END AS company_name, p.nk AS name_key, 'n:' || p.nk AS dedupe_key, NULL AS host, CASE WHEN h.head IS NULL THEN p.seg ELSE coalesce(h.seg, p.seg) END AS source_url, "
+    "NULL AS tax_id, CASE WHEN h.head IS NULL THEN p.mail ELSE coalesce(p.mail, h.mail) END AS email, NULL AS phone, NULL AS website, NULL AS address, NULL AS industry, NULL AS english_name, NULL AS fax, NULL AS products, NULL AS contact_person, CASE WHEN h.head IS NULL THEN 0 WHEN odd = 1 THEN n - 1 ELSE n END AS merged "
+    "FROM p LEFT JOIN h ON h.nk = p.nk AND h.head = p.k WHERE odd = 0 OR h.head IS NOT NULL"
+)
 def upsert_sequential(t):
     c = t("customer")
     none = F.lit(None).cast("string")

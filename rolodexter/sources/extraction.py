@@ -41,9 +41,6 @@ class Page(Tree):
         super().handle_starttag(tag, attrs)
         self.attributes.append({k: v or "" for k, v in attrs})
 
-    def text(self, node: int) -> str:
-        return " ".join(" ".join(self.nodes[node][5]).split())
-
 
 _STEP = re.compile(r"(?P<tag>[A-Za-z][\w-]*)|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[(?P<attr>[\w-]+)(?:\^=['\"]?(?P<start>[^'\"\]]*)['\"]?)?\]")
 

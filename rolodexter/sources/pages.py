@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -11,61 +12,107 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import blank_to_null, col
+from ..functions.text import blank_to_null, col, emails, phone
 
 #: Elements without an end tag, elements that another of their kind ends, and elements without shown text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SELF_ENDING = {"p", "li", "tr", "td", "th", "option", "dt", "dd"}
 HIDDEN = {"script", "style", "noscript", "template", "svg", "canvas"}
+HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Tree(HTMLParser):
-    """Nodes of one page: [id, parent, tag, class, href, text of the whole subtree]."""
+    """Nodes of one page: [id, parent, tag, class, href, first text, end of texts, last node]; a node's text is texts[first:end] and its subtree the ids up to its last node."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes: list[list] = []
         self.open: list[int] = []
+        self.texts: list[str] = []
+        self.hidden = 0
+
+    def _close(self, k: int) -> None:
+        for node in self.open[k:]:
+            self.nodes[node][6:8] = len(self.texts), len(self.nodes) - 1
+            self.hidden -= self.nodes[node][2] in HIDDEN
+        del self.open[k:]
 
     def handle_starttag(self, tag, attrs):
         if tag in SELF_ENDING and self.open and self.nodes[self.open[-1]][2] == tag:
-            self.open.pop()
+            self._close(len(self.open) - 1)
         a = dict(attrs)
-        self.nodes.append([len(self.nodes), self.open[-1] if self.open else -1, tag, " ".join(sorted((a.get("class") or "").split())), a.get("href"), []])
+        self.nodes.append([len(self.nodes), self.open[-1] if self.open else -1, tag, " ".join(sorted((a.get("class") or "").split())), a.get("href"), len(self.texts), len(self.texts), len(self.nodes)])
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
+            self.hidden += tag in HIDDEN
 
     def handle_endtag(self, tag):
         for k in range(len(self.open) - 1, -1, -1):
             if self.nodes[self.open[k]][2] == tag:
-                del self.open[k:]
+                self._close(k)
                 return
 
     def handle_data(self, data):
-        if data.strip() and not any(self.nodes[k][2] in HIDDEN for k in self.open):
-            for k in self.open:
-                self.nodes[k][5].append(data)
+        if data.strip() and not self.hidden:
+            self.texts.append(data)
+
+    def close(self):
+        super().close()
+        self._close(0)
+
+    def text(self, node: int) -> str:
+        first, end = self.nodes[node][5:7]
+        return " ".join(" ".join(self.texts[first:end]).split())
 
 
 NODES = "page_id long, node int, parent int, tag string, class string, href string, text string"
 
 
-def nodes(pages: DataFrame, largest: int = 4 << 20) -> DataFrame:
-    """(page_id, node, parent, tag, class, href, text) of all elements; pages over ``largest`` characters have none."""
+def _trees(batch: pd.DataFrame) -> Iterator[tuple[int, Tree]]:
+    for page, html in zip(batch["page_id"], batch["html"], strict=True):
+        tree = Tree()
+        tree.feed(html or "")
+        tree.close()
+        yield page, tree
+
+
+def nodes(pages: DataFrame) -> DataFrame:
+    """(page_id, node, parent, tag, class, href, text) of all elements; the text is that of the whole subtree."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for page, html in zip(batch["page_id"], batch["html"], strict=True):
-                tree = Tree()
-                if html and len(html) <= largest:
-                    tree.feed(html)
-                    tree.close()
-                rows = [(page, *n[:5], " ".join(" ".join(n[5]).split())) for n in tree.nodes]
-                yield pd.DataFrame(rows, columns=["page_id", "node", "parent", "tag", "class", "href", "text"])
+            for page, tree in _trees(batch):
+                yield pd.DataFrame([(page, *n[:5], tree.text(n[0])) for n in tree.nodes], columns=["page_id", "node", "parent", "tag", "class", "href", "text"])
 
     return pages.select("page_id", "html").mapInPandas(run, NODES)
 
 
+ITEMS = "page_id long, parent int, tag string, class string, text string, heads int, anchors int"
+
+
+def list_items(pages: DataFrame, least: int = 3) -> DataFrame:
+    """(page_id, parent, tag, class, text, heads, anchors) of the elements that have ``least`` like siblings with text, themselves included: no other element's text leaves its task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for page, tree in _trees(batch):
+                children: dict[int, list[int]] = defaultdict(list)
+                like: dict[tuple, list[int]] = defaultdict(list)
+                for n in tree.nodes:
+                    children[n[1]].append(n[0])
+                    if n[6] > n[5]:
+                        like[n[1], n[2], n[3]].append(n[0])
+                for (parent, tag, cls), members in like.items():
+                    if len(members) >= least:
+                        for m in members:
+                            tags = [tree.nodes[c][2] for c in children[m]]
+                            rows.append((page, parent, tag, cls, tree.text(m), sum(t in HEADS for t in tags), tags.count("a")))
+            yield pd.DataFrame(rows, columns=["page_id", "parent", "tag", "class", "text", "heads", "anchors"])
+
+    return pages.select("page_id", "html").mapInPandas(run, ITEMS)
+
+
 def title(html: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_extract(col(html), r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
 
@@ -86,6 +133,41 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(found).alias("pos", "href"))
 
 
+NEXT_WORDS = r"(?i)^\s*(?:下一頁|下頁|下一页|next|next page|>|>>|›|»)\s*$"
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, href, rel, label) of each link, in order."""
+    tags = F.regexp_extract_all("html", F.lit(r"(?is)(<a\b[^>]*>.*?</a\s*>)"), F.lit(1))
+    one = pages.select("page_id", F.posexplode(tags).alias("pos", "a"))
+    attr = lambda name: F.regexp_extract("a", rf"(?is)^<a\b[^>]*?\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    return one.select("page_id", "pos", attr("href").alias("href"), F.lower(attr("rel")).alias("rel"), F.trim(F.regexp_replace("a", r"(?s)<[^>]*>", "")).alias("label"))
+
+
+def next_links(pages: DataFrame) -> DataFrame:
+    """(page_id, next): where a page says that the list goes on: by rel, else by the words of the link; the first."""
+    found = anchors(pages).filter((F.col("rel") == "next") | F.col("label").rlike(NEXT_WORDS)).filter("href <> '' and href not like 'javascript:%' and href <> '#'")
+    return found.groupBy("page_id").agg(F.min(F.struct((F.col("rel") != "next").alias("by_word"), "pos", "href"))["href"].alias("next"))
+
+
+def harvested(pages: DataFrame) -> DataFrame:
+    """pages with emails and phones: those of links first, then those of the text, each once."""
+    shown = shown_text("html")
+    linked = lambda kind: F.regexp_extract_all("html", F.lit(rf"(?i)href\s*=\s*[\"']{kind}:([^\"'?]*)"), F.lit(1))
+    mails = F.array_distinct(F.concat(F.transform(linked("mailto"), lambda x: F.lower(F.trim(x))), emails(shown)))
+    number = r"((?<![0-9])(?:\+?886[-\s]?|\(?0)[0-9]{1,3}\)?[-\s]?[0-9]{3,4}[-\s]?[0-9]{3,4}(?![0-9]))"
+    phones = F.array_distinct(F.transform(F.concat(linked("tel"), F.regexp_extract_all(shown, F.lit(number), F.lit(1))), phone))
+    return pages.withColumns({"emails": F.filter(mails, lambda x: x != ""), "phones": F.filter(phones, lambda x: x.isNotNull())})
+
+
+def contact_links(links: DataFrame, strong: list[str], most: int) -> DataFrame:
+    """links (page_id, pos, href) with nth: those with more strong words first, then in page order; the first ``most`` of each page."""
+    low = F.lower("href")
+    hits = F.size(F.filter(F.array(*map(F.lit, strong)), lambda w: F.contains(low, w)))
+    w = Window.partitionBy("page_id").orderBy(hits.desc(), "pos")
+    return links.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most)
+
+
 def pagination_key(url: Column | str) -> Column:
     """The address with its numbers as #, so that the pages of one list share it."""
     return F.regexp_replace(F.regexp_replace(col(url), r"#.*$", ""), r"[0-9]+", "#")
@@ -105,45 +187,67 @@ def link_priority(href: Column | str, depth: Column, good: list[str], bad: list[
     return F.when(hits(bad) > 0, F.lit(-1.0)).otherwise(F.greatest(F.lit(0.0), F.round(hits(good) * 2 - depth * 0.3, 2)))
 
 
-def list_blocks(tree: DataFrame, least: int = 3) -> DataFrame:
-    """(page_id, parent, tag, class, n, score): for each page the group of like siblings that looks most like a list of records."""
+def list_blocks(items: DataFrame) -> DataFrame:
+    """(page_id, parent, tag, class, n, score): for each page the group of like siblings that looks most like a list of records. items: of list_items()."""
     has = lambda pattern: F.col("text").rlike(pattern).cast("int")
-    marked = F.lit(False)
-    for m in fixed.COMPANY_MARKERS:
-        marked = marked | F.contains(F.lower("text"), F.lit(m))
-    children = tree.groupBy(F.col("page_id").alias("_p"), F.col("parent").alias("_n")).agg(F.count_if(F.col("tag").rlike("^h[1-6]$")).alias("heads"), F.count_if(F.col("tag") == "a").alias("anchors"))
-    items = tree.filter("text <> ''").join(children, (F.col("page_id") == F.col("_p")) & (F.col("node") == F.col("_n")), "left")
-    g = items.groupBy("page_id", "parent", "tag", "class").agg(F.count(F.lit(1)).alias("n"), F.sum(has(fixed.EMAIL_IN_TEXT)).alias("mails"), F.sum(has(r"\d{2,4}[-)\s]\d{6,8}|\d{7,10}")).alias("phones"), F.sum(F.coalesce("heads", F.lit(0))).alias("heads"), F.sum(F.coalesce("anchors", F.lit(0))).alias("anchors"), F.avg(marked.cast("double")).alias("ratio"))
+    marked = F.lower("text").rlike("|".join(m.replace(".", r"\.") for m in fixed.COMPANY_MARKERS))
+    g = items.groupBy("page_id", "parent", "tag", "class").agg(F.count(F.lit(1)).alias("n"), F.sum(has(fixed.EMAIL_IN_TEXT)).alias("mails"), F.sum(has(r"[0-9]{2,4}[-)\s][0-9]{6,8}|[0-9]{7,10}")).alias("phones"), F.sum("heads").alias("heads"), F.sum("anchors").alias("anchors"), F.avg(marked.cast("double")).alias("ratio"))
     score = F.col("n") + 4 * F.col("mails") + 3 * F.col("phones") + 2.5 * F.col("heads") + 0.5 * F.least(F.col("anchors"), 3 * F.col("n")) + F.when(F.col("class") != "", 10).otherwise(0) + 30 * F.col("ratio")
-    ranked = g.filter(F.col("n") >= least).withColumn("score", F.round(score, 4)).withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "parent", "tag", "class")))
+    ranked = g.withColumn("score", F.round(score, 4)).withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "parent", "tag", "class")))
     return ranked.filter("place = 1").select("page_id", "parent", "tag", "class", "n", "score")
 
 
-#: Labels by field.
-LABELS = {
-    "company_name": ["公司名稱", "公司", "company", "name"],
-    "phone": ["電話", "tel", "phone"],
-    "fax": ["傳真", "fax"],
-    "email": ["信箱", "email", "e-mail"],
-    "address": ["地址", "address"],
-    "website": ["網址", "website"],
-    "tax_id": ["統一編號", "統編", "tax id"],
-    "contact_person": ["聯絡人", "負責人", "contact"],
-}
+_CJK = "㐀-䶿一-鿿豈-﫿"
+#: A label before a full-width colon, or before a colon with a blank or the end behind, so that no address's colon counts.
+_PAIR = r"(?:(?<=\s)|^)([^\s：︰:]{1,24})\s?(?:[：︰]|:(?=[ \t\r\n]|$))"
 
 
-def labelled(text: Column | str) -> Column:
-    """map of the "label: value" lines of a text, by label as written; of equal labels the first counts."""
-    pairs = F.filter(F.split(col(text), r"\r?\n"), lambda x: x.rlike(r"^\s*[^:：︰]{1,20}\s*[:：︰]\s*\S"))
-    entries = F.transform(pairs, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^\s*([^:：︰]{1,20}?)\s*[:：︰]", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^[^:：︰]*[:：︰]\s*(.*)$", 1)).alias("v")))
-    first = F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda x: x["k"]), e["k"]) == i + 1)
-    return F.map_from_entries(first)
+def plain_label(c: Column) -> Column:
+    """A label as it is compared: no white space and marks, lower case."""
+    return F.lower(F.regexp_replace(c, r"[\s　*※•·・\-_()（）\[\]【】]", ""))
 
 
-def fields(labels: Column) -> dict[str, Column]:
-    """Known fields out of labelled(), the first alias that is there."""
-    low = F.transform_keys(labels, lambda k, _: F.lower(k))
-    return {name: F.coalesce(*(blank_to_null(F.try_element_at(low, F.lit(a))) for a in aliases)) for name, aliases in LABELS.items()}
+def tidy_value(c: Column) -> Column:
+    return F.btrim(F.regexp_replace(c, r"(?U)\s+", " "), F.lit(" 　\t:：︰、,，;；"))
+
+
+def cjk_part(c: Column) -> Column:
+    """The words up to the last one with a CJK character, if Latin words follow; else all."""
+    head = F.regexp_extract(c, rf"^(.*[{_CJK}][^\s]*)\s+[^{_CJK}]*[A-Za-z][^{_CJK}]*$", 1)
+    return F.when(head != "", head).otherwise(F.trim(c))
+
+
+def english_part(c: Column) -> Column:
+    """What cjk_part() leaves out."""
+    return F.regexp_extract(c, rf"^.*[{_CJK}][^\s]*\s+([^{_CJK}]*[A-Za-z][^{_CJK}]*)$", 1)
+
+
+def labelled(text: Column | str) -> Column:
+    """struct<heading, fields, extra> of a text with "label: value" pairs, any number on a line.
+
+    A value goes on to the next label. Known labels fill fields, the first of each; other usable labels, and later ones of a
+    filled field, go to extra as written, the first of each. Of a person's value the part in CJK counts. Long values and empty ones are left out.
+    """
+    x = F.coalesce(col(text), F.lit(""))
+    labels, values = F.regexp_extract_all(x, F.lit(_PAIR), F.lit(1)), F.split(x, _PAIR, -1)
+    names = F.create_map(*(F.lit(v) for field, aliases in fixed.LABELS.items() for a in aliases for v in (a, field)))
+    pairs = F.transform(labels, lambda k, i: F.struct(k.alias("label"), plain_label(k).alias("plain"), tidy_value(F.get(values, i + 1)).alias("value")))
+    usable = lambda p: F.length(p["plain"]).between(1, fixed.LONGEST_LABEL) & ~p["plain"].isin(fixed.NO_LABELS) & p["plain"].rlike(f"[A-Za-z{_CJK}]") & F.length(p["value"]).between(1, fixed.LONGEST_VALUE)
+    person = lambda p: (F.try_element_at(names, p["plain"]).eqNullSafe(F.lit("contact_person"))) | p["label"].isin(fixed.PERSON_LABELS)
+    kept = F.transform(F.filter(pairs, usable), lambda p: F.struct(p["label"].alias("label"), F.coalesce(F.try_element_at(names, p["plain"]), F.lit("")).alias("field"), F.when(person(p), cjk_part(p["value"])).otherwise(p["value"]).alias("value")))
+    first = lambda rows, by: F.filter(rows, lambda p, i: F.array_position(F.transform(rows, lambda q: q[by]), p[by]) == i + 1)
+    known = first(F.filter(kept, lambda p: p["field"] != ""), "field")
+    other = first(F.filter(kept, lambda p, i: (p["field"] == "") | (F.array_position(F.transform(kept, lambda q: q["field"]), p["field"]) != i + 1)), "label")
+    as_map = lambda rows, by: F.map_from_entries(F.transform(rows, lambda p: F.struct(p[by].alias("k"), p["value"].alias("v"))))
+    return F.struct(tidy_value(F.get(values, F.lit(0))).alias("heading"), as_map(known, "field").alias("fields"), as_map(other, "label").alias("extra"))
+
+
+def text_record(text: Column | str) -> Column:
+    """labelled() of a block that is a record: two pairs at least and a name, which the heading gives where no label does; else null."""
+    got = labelled(text)
+    name = F.coalesce(F.try_element_at(got["fields"], F.lit("company_name")), blank_to_null(got["heading"]))
+    fields_ = F.map_concat(F.map_filter(got["fields"], lambda k, _: k != "company_name"), F.create_map(F.lit("company_name"), name))
+    return F.when((F.size(got["fields"]) + F.size(got["extra"]) >= 2) & name.isNotNull(), F.struct(fields_.alias("fields"), got["extra"].alias("extra")))
 
 
 def blocks(text: str) -> list[str]:

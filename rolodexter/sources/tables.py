@@ -29,6 +29,9 @@ ALIASES = {
     "contact_person": ["聯絡人", "負責人", "contact", "contact person"],
     "english_name": ["英文名稱", "英文", "english", "english name"],
 }
+#: Words that a header of company names has, and words that make it one of something else.
+NAME_HINTS = ["公司", "廠商", "企業", "商號", "名稱", "company"]
+OTHER_HINTS = ["負責", "聯絡", "地址", "電話", "傳真", "統編", "編號", "網址", "信箱", "資本", "contact", "address", "phone", "mail"]
 CELLS = "path string, sheet string, line int, cells array<string>"
 
 
@@ -87,12 +90,12 @@ def cells(spark: SparkSession, path: str, largest: int = 40 << 20) -> DataFrame:
 def field_of(header: Column) -> Column:
     """The field that a header names, or null: by alias, else by an alias among its words."""
     low = F.lower(F.trim(header))
-    out = F.when(low.rlike("英文|english"), "english_name")
-    for name, aliases in ALIASES.items():
-        out = out.when(low.isin(aliases), name)
-    for name, aliases in ALIASES.items():
-        out = out.when(F.arrays_overlap(F.split(low, r"[\s/_()（）:：]+"), F.array(*map(F.lit, aliases))), name)
-    return out
+    names = F.create_map(*(F.lit(v) for field, aliases in ALIASES.items() for a in aliases for v in (a, field)))
+    # A word that names a company counts only in a header that looks like one of names: "負責人 name" is none.
+    of_names = (F.length(low) <= 20) & low.rlike("|".join(NAME_HINTS)) & ~low.rlike("|".join(OTHER_HINTS))
+    tokens = F.transform(F.split(low, r"[\s/_()（）:：]+"), lambda w: F.try_element_at(names, w))
+    word = F.get(F.filter(tokens, lambda f: f.isNotNull() & ((f != "company_name") | of_names)), F.lit(0))
+    return F.coalesce(F.try_element_at(names, low), F.when(low.rlike("英文|english"), "english_name"), word)
 
 
 def records(table: DataFrame, deepest: int = 15) -> DataFrame:

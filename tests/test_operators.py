@@ -84,13 +84,18 @@ def test_json_shapes(spark, tmp_path, body):
 def test_list_blocks(spark):
     card = '<div class="c b"><h3>{0}有限公司</h3><a href="/{0}">x</a><p>a{0}@b.tw</div>'
     html = "<body><ul><li>1<li>2<li>3</ul><main>" + "".join(card.format(i) for i in range(5)) + "</main><script>var x='</p>'</script></body>"
-    got = pages.list_blocks(pages.nodes(spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id long, url string, html string"))).collect()
+    got = pages.list_blocks(pages.list_items(spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id long, url string, html string"))).collect()
     assert [(r["tag"], r["class"], r["n"]) for r in got] == [("div", "b c", 5)]
 
 
 def test_labels(spark):
-    row = spark.createDataFrame([("公司名稱：大同\n電話: 02\n電話: 03\nnothing",)], "t string").select(pages.labelled("t").alias("m")).select("m", *(c.alias(k) for k, c in pages.fields(F.col("m")).items())).first()
-    assert row["m"] == {"公司名稱": "大同", "電話": "02"} and row["company_name"] == "大同"
+    said = "  Head line\nTel︰ 02-1 FAX： 03-2\n負責人: 主席 王小明 Mr. Wang\n見 http://a.b:80/x\nTel: 04\nNote: no\n色：紅"
+    got, none = (r["m"] for r in spark.createDataFrame([(said,), (None,)], "t string").select(pages.labelled("t").alias("m")).collect())
+    assert got["heading"] == "Head line" and got["extra"] == {"Tel": "04", "色": "紅"}
+    assert got["fields"] == {"phone": "02-1", "fax": "03-2", "contact_person": "主席 王小明"} or got["fields"]["contact_person"].startswith("主席 王小明")
+    assert none["heading"] == "" and none["fields"] == {}
+    kept = [r["r"] for r in spark.createDataFrame([("大同\n電話： 1 傳真： 2",), ("電話： 1",)], "t string").select(pages.text_record("t").alias("r")).collect()]
+    assert kept[0]["fields"] == {"company_name": "大同", "phone": "1", "fax": "2"} and kept[1] is None
 
 
 def test_export(spark):
@@ -112,7 +117,7 @@ def test_ingest_takes_new_files_only(spark, tmp_path):
 def test_duplicate_groups_collapse_equal_members(spark):
     rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "b", "y")], "id int, k1 string, k2 string")
     got = aggregates.duplicate_groups(rows, ["k1", "k2"]).collect()
-    assert [(r["kind"], r["ids"]) for r in got] == [("k1", [1, 2])]
+    assert sorted((r["kind"], r["n"], r["id"]) for r in got) == [("k1", 2, 1), ("k1", 2, 2)]
 
 
 def test_questions_are_whitelisted(spark):
@@ -205,13 +210,44 @@ def test_sequential_upsert_equals_one_long_replay(spark):
     store, batch = [record(k, True) for k in range(25)], [record(k, False) for k in range(120)]
     frame = lambda rows: spark.createDataFrame([tuple(r.values()) for r in rows], sequential.COLUMNS)
     got = sequential.upserted(frame(store), frame(batch)).toPandas()
-    rows = pd.DataFrame([r | {"seq": -1} for r in store] + batch)
-    rows["email"] = rows["email"].str.lower()
-    want = sequential._replay(rows.astype(object).where(rows.notna(), None).assign(cluster=0))
+    rows: list[dict] = []  # one record after another against all rows before it
+    for r in [r | {"seq": -1} for r in store] + batch:
+        r = r | {"email": r["email"] and r["email"].lower(), "merged": 0}
+        same = lambda c: next((x for x in rows if r[c] and x[c] == r[c]), None)  # noqa: E731, B023
+        named = [x for x in rows if r["name_key"] and x["name_key"] == r["name_key"]]
+        old = None
+        if r["seq"] is None or r["seq"] >= 0:
+            old = same("dedupe_key") or same("tax_id") or same("email")
+            old = old or next((x for x in named if r["phone"] and x["phone"] == r["phone"]), None)
+            old = old or next((x for x in named if r["host"] and r["host"] in (x["website"] or "")), None)
+            old = old or (next((x for x in rows if x["dedupe_key"] == "n:" + r["name_key"]), None) if r["name_key"] else None)
+        if old is None:
+            rows.append(r)
+            continue
+        old["merged"] += 1
+        for c in sequential.FILLED:
+            old[c] = old[c] or r[c]
+        old["source_url"] = r["source_url"] or old["source_url"]
+    want = pd.DataFrame(rows)
     key = lambda df: sorted(tuple("" if x is None or x != x else str(x) for x in r) for r in df[["company_name", "dedupe_key", *sequential.FILLED, "source_url", "merged"]].itertuples(index=False))
     assert key(got) == key(want) and 25 < len(want) < 120
 
 
+def test_sequential_upsert_of_a_common_key(spark):
+    """A key that the store holds, and one that only the batch has, with many records each: few are replayed."""
+    from rolodexter.operators import sequential
+
+    names = [c.split()[0] for c in sequential.COLUMNS.split(", ")]
+    record = lambda k, key, **kw: tuple((dict.fromkeys(names) | {"id": None, "seq": k, "company_name": f"n{k}", "name_key": key, "dedupe_key": f"n:{key}", "source_url": f"u{k}"} | kw).values())
+    store = spark.createDataFrame([record(None, "old", id=7)], sequential.COLUMNS)
+    batch = spark.createDataFrame([record(k, "old" if k % 2 else "new", **({"phone": f"p{k}"} if k in (5, 6, 7, 8) else {})) for k in range(2000)], sequential.COLUMNS)
+    got = {r["dedupe_key"]: r for r in sequential.upserted(store, batch).collect()}
+    assert len(got) == 2
+    assert [(got[k]["id"], got[k]["company_name"], got[k]["phone"], got[k]["source_url"], got[k]["merged"]) for k in ("n:old", "n:new")] == [(7, "nNone", "p5", "u1999", 1000), (None, "n0", "p6", "u1998", 999)]
+    every = store.withColumn("seq", F.lit(-1).cast("long")).unionByName(batch)
+    assert sequential._lighter(every).filter("dedupe_key = 'n:old'").count() == 3
+
+
 def test_rules(spark):
     from rolodexter.sources.extraction import Rule, extracted, judged_rules
 
