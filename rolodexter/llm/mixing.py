@@ -123,12 +123,15 @@ def mix(docs: DataFrame, **kw) -> DataFrame:
     names = docs.columns
     id_, source, tie, nr, copies, its_id, its_source, its_tie, its_nr = fresh(names, "id", "of", "tie", "nr", "copies", "its_id", "its_of", "its_tie", "its_nr")
     taken = mixed(docs, **kw).select(F.col("doc_id").alias(its_id), F.col("source").alias(its_source), F.col("tie").alias(its_tie), F.col("copies").cast("int").alias(copies))
-    taken = taken.withColumn(its_nr, F.row_number().over(Window.partitionBy(its_id, its_source, its_tie).orderBy(copies))).filter(F.col(copies) > 0)
+    taken = taken.withColumn(its_nr, F.row_number().over(Window.partitionBy(its_id, its_source, its_tie).orderBy(copies)))
+    taken = staged(taken, "taken")
     rows = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(source, F.col("source").cast("string")).withColumn(tie, F.xxhash64(text_of()))
-    rows = rows.withColumn(nr, F.row_number().over(Window.partitionBy(id_, source, tie).orderBy(F.lit(0))))
-    same = F.col(id_).eqNullSafe(F.col(its_id)) & F.col(source).eqNullSafe(F.col(its_source)) & (F.col(tie) == F.col(its_tie)) & (F.col(nr) == F.col(its_nr))
+    same = F.col(id_).eqNullSafe(F.col(its_id)) & F.col(source).eqNullSafe(F.col(its_source)) & (F.col(tie) == F.col(its_tie))
+    if not taken.filter(F.col(its_nr) > 1).isEmpty():  # else every row is told by id, source and text, and texts need no second shuffle
+        rows = rows.withColumn(nr, F.row_number().over(Window.partitionBy(id_, source, tie).orderBy(F.lit(0))))
+        same = same & (F.col(nr) == F.col(its_nr))
     (again,) = fresh([*names, copies], "again")
-    return rows.join(taken, same).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*names)
+    return rows.join(taken.filter(F.col(copies) > 0), same).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*names)
 
 
 def op4_mixing(docs: DataFrame) -> DataFrame:
