@@ -52,6 +52,23 @@ def write_csv(rows: DataFrame, path: str) -> None:
     hardened(rows).write.option("header", True).option("encoding", "UTF-8").mode("overwrite").csv(path)
 
 
+def with_credit(rows: DataFrame, credit: str) -> DataFrame:
+    """rows of text and one more: the credit in its first column, the others empty."""
+    line = rows.sparkSession.range(1).select(*(F.lit(credit if k == 0 else "").alias(c) for k, c in enumerate(rows.columns)))
+    return rows.unionByName(line)
+
+
+def tail(lines: DataFrame, n: int, pos: str = "pos") -> DataFrame:
+    """The last n lines, as a top-n."""
+    return lines.orderBy(F.desc(pos)).limit(n)
+
+
+def backups(files: DataFrame, path: str) -> DataFrame:
+    """files with kind and at, out of names that end in _kind_yyyyMMdd_HHmmss and a suffix; others are left out."""
+    part = lambda k: F.regexp_extract(path, r"_([a-z]+)_([0-9]{8}_[0-9]{6})\.[A-Za-z0-9]+$", k)
+    return files.withColumns({"kind": part(1), "at": F.try_to_timestamp(F.nullif(part(2), F.lit("")), F.lit("yyyyMMdd_HHmmss")).cast("timestamp_ntz")}).filter("at is not null")
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
