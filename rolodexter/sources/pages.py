@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -228,26 +229,50 @@ def labelled(text: Column | str) -> Column:
     A value goes on to the next label. Known labels fill fields, the first of each; other usable labels, and later ones of a
     filled field, go to extra as written, the first of each. Of a person's value the part in CJK counts. Long values and empty ones are left out.
     """
-    x = F.coalesce(col(text), F.lit(""))
-    labels, values = F.regexp_extract_all(x, F.lit(_PAIR), F.lit(1)), F.split(x, _PAIR, -1)
     names = F.create_map(*(F.lit(v) for field, aliases in fixed.LABELS.items() for a in aliases for v in (a, field)))
-    pairs = F.transform(labels, lambda k, i: F.struct(k.alias("label"), plain_label(k).alias("plain"), tidy_value(F.get(values, i + 1)).alias("value")))
-    usable = lambda p: F.length(p["plain"]).between(1, fixed.LONGEST_LABEL) & ~p["plain"].isin(fixed.NO_LABELS) & p["plain"].rlike(f"[A-Za-z{_CJK}]") & F.length(p["value"]).between(1, fixed.LONGEST_VALUE)
-    person = lambda p: (F.try_element_at(names, p["plain"]).eqNullSafe(F.lit("contact_person"))) | p["label"].isin(fixed.PERSON_LABELS)
-    kept = F.transform(F.filter(pairs, usable), lambda p: F.struct(p["label"].alias("label"), F.coalesce(F.try_element_at(names, p["plain"]), F.lit("")).alias("field"), F.when(person(p), cjk_part(p["value"])).otherwise(p["value"]).alias("value")))
-    first = lambda rows, by: F.filter(rows, lambda p, i: F.array_position(F.transform(rows, lambda q: q[by]), p[by]) == i + 1)
-    known = first(F.filter(kept, lambda p: p["field"] != ""), "field")
-    other = first(F.filter(kept, lambda p, i: (p["field"] == "") | (F.array_position(F.transform(kept, lambda q: q["field"]), p["field"]) != i + 1)), "label")
     as_map = lambda rows, by: F.map_from_entries(F.transform(rows, lambda p: F.struct(p[by].alias("k"), p["value"].alias("v"))))
-    return F.struct(tidy_value(F.get(values, F.lit(0))).alias("heading"), as_map(known, "field").alias("fields"), as_map(other, "label").alias("extra"))
+
+    def cut(x: Column) -> Column:
+        return F.struct(F.regexp_extract_all(x, F.lit(_PAIR), F.lit(1)).alias("labels"), F.split(x, _PAIR, -1).alias("values"))
+
+    def paired(c: Column) -> Column:
+        pairs = F.transform(c["labels"], lambda k, i: F.struct(k.alias("label"), plain_label(k).alias("plain"), tidy_value(F.get(c["values"], i + 1)).alias("value")))
+        usable = lambda p: F.length(p["plain"]).between(1, fixed.LONGEST_LABEL) & ~p["plain"].isin(fixed.NO_LABELS) & p["plain"].rlike(f"[A-Za-z{_CJK}]") & F.length(p["value"]).between(1, fixed.LONGEST_VALUE)
+        named = F.transform(F.filter(pairs, usable), lambda p: F.struct(p["label"].alias("label"), F.coalesce(F.try_element_at(names, p["plain"]), F.lit("")).alias("field"), p["value"].alias("value")))
+        person = lambda p: (p["field"] == "contact_person") | p["label"].isin(fixed.PERSON_LABELS)
+        rows = F.transform(named, lambda p: F.struct(p["label"].alias("label"), p["field"].alias("field"), F.when(person(p), cjk_part(p["value"])).otherwise(p["value"]).alias("value")))
+        return F.struct(tidy_value(F.get(c["values"], F.lit(0))).alias("heading"), rows.alias("rows"))
+
+    def with_keys(c: Column) -> Column:
+        return F.struct(c["heading"].alias("heading"), c["rows"].alias("rows"), F.transform(c["rows"], lambda p: p["field"]).alias("by_field"))
+
+    def parted(c: Column) -> Column:
+        first = lambda p, i: F.array_position(c["by_field"], p["field"]) == i + 1
+        known = F.filter(c["rows"], lambda p, i: (p["field"] != "") & first(p, i))
+        other = F.filter(c["rows"], lambda p, i: (p["field"] == "") | ~first(p, i))
+        return F.struct(c["heading"].alias("heading"), as_map(known, "field").alias("fields"), other.alias("other"), F.transform(other, lambda p: p["label"]).alias("by_label"))
+
+    def whole(c: Column) -> Column:
+        extra = F.filter(c["other"], lambda p, i: F.array_position(c["by_label"], p["label"]) == i + 1)
+        return F.struct(c["heading"].alias("heading"), c["fields"].alias("fields"), as_map(extra, "label").alias("extra"))
+
+    return reduce(_let, (cut, paired, with_keys, parted, whole), F.coalesce(col(text), F.lit("")))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def text_record(text: Column | str) -> Column:
     """labelled() of a block that is a record: two pairs at least and a name, which the heading gives where no label does; else null."""
-    got = labelled(text)
-    name = F.coalesce(F.try_element_at(got["fields"], F.lit("company_name")), blank_to_null(got["heading"]))
-    fields_ = F.map_concat(F.map_filter(got["fields"], lambda k, _: k != "company_name"), F.create_map(F.lit("company_name"), name))
-    return F.when((F.size(got["fields"]) + F.size(got["extra"]) >= 2) & name.isNotNull(), F.struct(fields_.alias("fields"), got["extra"].alias("extra")))
+
+    def record(got: Column) -> Column:
+        name = F.coalesce(F.try_element_at(got["fields"], F.lit("company_name")), blank_to_null(got["heading"]))
+        fields_ = F.map_concat(F.map_filter(got["fields"], lambda k, _: k != "company_name"), F.create_map(F.lit("company_name"), name))
+        return F.when((F.size(got["fields"]) + F.size(got["extra"]) >= 2) & name.isNotNull(), F.struct(fields_.alias("fields"), got["extra"].alias("extra")))
+
+    return _let(labelled(text), record)
 
 
 def blocks(text: str) -> list[str]:
