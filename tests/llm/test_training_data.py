@@ -211,7 +211,7 @@ def test_pivoting_is_unbiased():
 
     total = np.zeros(9)
     for seed in range(600):
-        rows = pd.DataFrame({"doc_id": range(9), "source": "a", "size": [5, 9, 2, 7, 4, 1, 8, 3, 6], "part": np.linspace(0.1, 0.9, 9), "bucket": 0, "done": False})
+        rows = pd.DataFrame({"doc_id": range(9), "source": "a", "tie": 0, "size": [5, 9, 2, 7, 4, 1, 8, 3, 6], "part": np.linspace(0.1, 0.9, 9), "bucket": 0, "done": False})
         out = mixing._pivot(rows, seed, 0)
         assert (~out["done"]).sum() <= 1
         assert math.isclose((out["size"] * out["part"]).sum(), (rows["size"] * rows["part"]).sum())
