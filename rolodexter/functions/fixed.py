@@ -88,6 +88,7 @@ LONGEST_LABEL, LONGEST_VALUE = 20, 500
 NAME_HEADER_HINTS = ["公司", "廠商", "企業", "名稱", "company"]
 # Patterns that both Java and other engines read alike.
 EMAIL_IN_TEXT = r"[A-Za-z0-9_.+\-]+@[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]+)+"
+PHONE_IN_TEXT = r"(?:\+886[\s-]?|\(0\d{1,2}\)|0)\d{1,3}[\s)-]?\d{3,4}[\s-]?\d{3,4}"
 EMAIL = r"^[a-z0-9!#$%&'*+/=?^_`{|}~\-]+(?:\.[a-z0-9!#$%&'*+/=?^_`{|}~\-]+)*@(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}$"
 WEBSITE = r"^https?://(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}(?::[0-9]{1,5})?(?:/[^\s]*)?$"
 PHONE = r"^\+?[0-9\-]{7,20}(?:#[0-9]{1,6})?$"

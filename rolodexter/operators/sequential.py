@@ -17,7 +17,7 @@ FILLED = ["tax_id", "email", "phone", "website", "address", "industry", "english
 COLUMNS = "id long, seq long, company_name string, name_key string, dedupe_key string, host string, source_url string, " + ", ".join(f"{c} string" for c in FILLED)
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Checkpointed in the shared folder, so that the plan does not grow with the rounds."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -29,12 +29,12 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def clusters(rows: DataFrame, row_id: str, keys: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(row_id, cluster): rows that share keys, directly or through others. keys: (row_id, key). Labels spread through keys by joins and minima until none changes."""
-    links = _cut(keys.select(row_id, "key").distinct())
-    labels = _cut(rows.select(row_id, F.col(row_id).alias("cluster")))
+    links = cut(keys.select(row_id, "key").distinct())
+    labels = cut(rows.select(row_id, F.col(row_id).alias("cluster")))
     for _ in range(most_rounds):
         low = links.join(labels, row_id).groupBy("key").agg(F.min("cluster").alias("low"))
         offered = links.join(low, "key").groupBy(row_id).agg(F.min("low").alias("low"))
-        new = _cut(labels.join(offered, row_id, "left").select(row_id, F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"), (F.coalesce("low", "cluster") < F.col("cluster")).alias("changed")))
+        new = cut(labels.join(offered, row_id, "left").select(row_id, F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"), (F.coalesce("low", "cluster") < F.col("cluster")).alias("changed")))
         labels = new.select(row_id, "cluster")
         if new.filter("changed").isEmpty():
             return labels
@@ -134,11 +134,11 @@ def upserted(store: DataFrame, batch: DataFrame) -> DataFrame:
     are replayed, each on its own and through indexes, after _lighter() has left out what changes nothing.
     """
     rows = store.withColumn("seq", F.lit(-1).cast("long")).unionByName(batch.withColumn("id", F.lit(None).cast("long")))
-    rows = _cut(_lighter(rows.withColumn("email", F.lower("email"))))
+    rows = cut(_lighter(rows.withColumn("email", F.lower("email"))))
     rows = rows.withColumn("row_id", F.when(F.col("seq") < 0, -F.col("id")).otherwise(F.col("seq")))
     tagged = [F.concat(F.lit(c + "="), blank_to_null(c)) for c in KEYS] + [F.concat(F.lit("dedupe_key=n:"), blank_to_null("name_key"))]
     keys = rows.select("row_id", F.explode(F.filter(F.array(*tagged), lambda k: k.isNotNull())).alias("key"))
-    named = _cut(rows.join(clusters(rows, "row_id", keys), "row_id").drop("row_id"))
+    named = cut(rows.join(clusters(rows, "row_id", keys), "row_id").drop("row_id"))
     alone = named.groupBy("cluster").agg((F.min("seq") >= 0).alias("a"), F.min("dedupe_key").alias("b"), F.max("dedupe_key").alias("c"), F.count_if(blank_to_null("dedupe_key").isNull()).alias("d"))
     alone = alone.filter("a and b = c and d = 0").select("cluster")
     one = [F.min_by(c, "seq").alias(c) for c in ("company_name", "name_key", "dedupe_key", "host")] + [F.max_by("source_url", F.when(blank_to_null("source_url").isNotNull(), F.col("seq"))).alias("source_url")]

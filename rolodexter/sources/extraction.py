@@ -58,7 +58,7 @@ def _fits(page: Page, node: int, step: str) -> bool:
 def selected(page: Page, selector: str, scope: int = -1) -> list[int]:
     """Nodes below scope that a selector names, in page order."""
     steps, out = selector.split(), []
-    for node in range(len(page.nodes)):
+    for node in range(scope + 1, page.nodes[scope][7] + 1 if scope >= 0 else len(page.nodes)):
         if not _fits(page, node, steps[-1]):
             continue
         at, left, inside = page.nodes[node][1], len(steps) - 2, scope < 0

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, validate
 from ..functions.text import blank_to_null, col, emails, phone
 
 #: Elements without an end tag, elements that another of their kind ends, and elements without shown text.
@@ -20,6 +20,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 SELF_ENDING = {"p", "li", "tr", "td", "th", "option", "dt", "dd"}
 HIDDEN = {"script", "style", "noscript", "template", "svg", "canvas"}
 HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that are never a record; members of a list with and without a class, its longest member's characters, the least mean and the greatest ratio to it.
+NO_RECORD = {"option", "optgroup", "script", "style", "template", "noscript", "meta", "link", "br", "hr", "source", "track", "param"}
+LEAST_ITEMS, LEAST_PLAIN_ITEMS, LONGEST_ITEM, SHORTEST_MEAN, WIDEST_SPREAD = 3, 5, 3000, 12, 8
 
 
 class Tree(HTMLParser):
@@ -88,28 +91,26 @@ def nodes(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, NODES)
 
 
-ITEMS = "page_id long, parent int, tag string, class string, text string, heads int, anchors int"
+ITEMS = "page_id long, parent int, tag string, class string, node int, text string, heads int, anchors int"
 
 
 def list_items(pages: DataFrame, least: int = 3) -> DataFrame:
-    """(page_id, parent, tag, class, text, heads, anchors) of the elements that have ``least`` like siblings with text, themselves included: no other element's text leaves its task."""
+    """(page_id, parent, tag, class, node, text, heads, anchors) of the elements that have ``least`` like siblings, themselves included, some of them with text: no other element's text leaves its task. heads: whether it has a heading; anchors: its links."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for page, tree in _trees(batch):
-                children: dict[int, list[int]] = defaultdict(list)
                 like: dict[tuple, list[int]] = defaultdict(list)
                 for n in tree.nodes:
-                    children[n[1]].append(n[0])
-                    if n[6] > n[5]:
+                    if n[1] >= 0 and n[2] not in NO_RECORD:
                         like[n[1], n[2], n[3]].append(n[0])
                 for (parent, tag, cls), members in like.items():
-                    if len(members) >= least:
+                    if len(members) >= least and any(tree.nodes[m][6] > tree.nodes[m][5] for m in members):
                         for m in members:
-                            tags = [tree.nodes[c][2] for c in children[m]]
-                            rows.append((page, parent, tag, cls, tree.text(m), sum(t in HEADS for t in tags), tags.count("a")))
-            yield pd.DataFrame(rows, columns=["page_id", "parent", "tag", "class", "text", "heads", "anchors"])
+                            tags = [n[2] for n in tree.nodes[m + 1 : tree.nodes[m][7] + 1]]
+                            rows.append((page, parent, tag, cls, m, tree.text(m), int(not HEADS.isdisjoint(tags)), tags.count("a")))
+            yield pd.DataFrame(rows, columns=["page_id", "parent", "tag", "class", "node", "text", "heads", "anchors"])
 
     return pages.select("page_id", "html").mapInPandas(run, ITEMS)
 
@@ -189,12 +190,19 @@ def link_priority(href: Column | str, depth: Column, good: list[str], bad: list[
 
 
 def list_blocks(items: DataFrame) -> DataFrame:
-    """(page_id, parent, tag, class, n, score): for each page the group of like siblings that looks most like a list of records. items: of list_items()."""
-    has = lambda pattern: F.col("text").rlike(pattern).cast("int")
-    marked = F.lower("text").rlike("|".join(m.replace(".", r"\.") for m in fixed.COMPANY_MARKERS))
-    g = items.groupBy("page_id", "parent", "tag", "class").agg(F.count(F.lit(1)).alias("n"), F.sum(has(fixed.EMAIL_IN_TEXT)).alias("mails"), F.sum(has(r"[0-9]{2,4}[-)\s][0-9]{6,8}|[0-9]{7,10}")).alias("phones"), F.sum("heads").alias("heads"), F.sum("anchors").alias("anchors"), F.avg(marked.cast("double")).alias("ratio"))
+    """(page_id, parent, tag, class, n, score): for each page the group of like siblings that looks most like a list of records, the first of equals. items: of list_items().
+
+    Groups without a class need two more members; a page's frame (a long element), scraps and groups of very uneven length are none.
+    """
+    marked = validate.has_company_marker("text").cast("double")
+    n, size = F.count(F.lit(1)), F.length("text")
+    g = items.groupBy("page_id", "parent", "tag", "class").agg(
+        n.alias("n"), F.sum(F.regexp_count("text", F.lit(fixed.EMAIL_IN_TEXT))).alias("mails"), F.sum(F.regexp_count("text", F.lit(fixed.PHONE_IN_TEXT))).alias("phones"), F.sum("heads").alias("heads"),
+        F.sum("anchors").alias("anchors"), F.avg(marked).alias("ratio"), F.max(size).alias("longest"), F.avg(size).alias("mean"), F.min("node").alias("first"),
+    )
+    fit = g.filter((F.col("n") >= F.when(F.col("class") == "", LEAST_PLAIN_ITEMS).otherwise(LEAST_ITEMS)) & (F.col("longest") <= LONGEST_ITEM) & (F.col("mean") >= SHORTEST_MEAN) & (F.col("longest") <= F.col("mean") * WIDEST_SPREAD))
     score = F.col("n") + 4 * F.col("mails") + 3 * F.col("phones") + 2.5 * F.col("heads") + 0.5 * F.least(F.col("anchors"), 3 * F.col("n")) + F.when(F.col("class") != "", 10).otherwise(0) + 30 * F.col("ratio")
-    ranked = g.withColumn("score", F.round(score, 4)).withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "parent", "tag", "class")))
+    ranked = fit.withColumn("score", F.round(score, 4)).withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "first")))
     return ranked.filter("place = 1").select("page_id", "parent", "tag", "class", "n", "score")
 
 
