@@ -113,7 +113,7 @@ def discovery_notes(t):
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 END AS first, CASE o_orderkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 END AS last FROM orders")
-def option_ranges(t):
+def menu_ranges(t):
     values, labels = F.array(*map(F.lit, ["01", "02", "03", "10"])), F.array(*map(F.lit, ["01 Rice", "02 Fruit", "03 Fish", "10 Other"]))
     said = pick(C("o_orderkey"), " fish", "0", "none")
     return t("orders").select("o_orderkey", discovery.option_at(values, labels, said).cast("int").alias("first"), discovery.option_at(values, labels, said, last=True).cast("int").alias("last"))
