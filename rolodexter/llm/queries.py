@@ -15,6 +15,7 @@ from .near_dedup import OP6_SQL, op6_near_dedup
 from .secrets import op5_secrets
 from .sharding import op10_sharding
 from .suffix_dedup import OP3_SQL, op3_suffix_dedup
+from .whitening import embeddings, op12_whitening
 
 #: The public vocabulary file; at the same place on driver and executors.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +31,7 @@ QUERIES = {
     "op8_media_columns": lambda s, d: op8_media(documents(s, d)),
     "op9_lm_scoring": lambda s, d: op9_lm_scoring(documents(s, d)),
     "op10_sharding": lambda s, d: op10_sharding(documents(s, d)),
+    "op12_whitening": lambda s, d: op12_whitening(embeddings(s, d)),
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op6_near_dedup": OP6_SQL}
