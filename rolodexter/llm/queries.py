@@ -31,7 +31,7 @@ QUERIES = {
     "op8_media_columns": lambda s, d: op8_media(documents(s, d)),
     "op9_lm_scoring": lambda s, d: op9_lm_scoring(documents(s, d)),
     "op10_sharding": lambda s, d: op10_sharding(documents(s, d)),
-    "op12_whitening": lambda s, d: op12_whitening(embeddings(s, d)),
+    "op12_embedding_whitening": lambda s, d: op12_whitening(embeddings(s, d)),
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op6_near_dedup": OP6_SQL}
