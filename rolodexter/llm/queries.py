@@ -14,6 +14,7 @@ from .mixing import op4_mixing
 from .near_dedup import OP6_SQL, op6_near_dedup
 from .secrets import op5_secrets
 from .sharding import op10_sharding
+from .simhash import op11_simhash
 from .suffix_dedup import OP3_SQL, op3_suffix_dedup
 from .whitening import embeddings, op12_whitening
 
@@ -31,6 +32,7 @@ QUERIES = {
     "op8_media_columns": lambda s, d: op8_media(documents(s, d)),
     "op9_lm_scoring": lambda s, d: op9_lm_scoring(documents(s, d)),
     "op10_sharding": lambda s, d: op10_sharding(documents(s, d)),
+    "op11_simhash_near_dedup": lambda s, d: op11_simhash(documents(s, d)),
     "op12_embedding_whitening": lambda s, d: op12_whitening(embeddings(s, d)),
 }
 
