@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from .alignment import op13_alignment
 from .bpe import op2_bpe
 from .common import documents
 from .exact_dedup import OP1_SQL, op1_exact_dedup
@@ -20,6 +21,7 @@ from .whitening import embeddings, op12_whitening
 
 #: The public vocabulary file; at the same place on driver and executors.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES = {
     "op1_exact_dedup": lambda s, d: op1_exact_dedup(documents(s, d)),
@@ -34,6 +36,7 @@ QUERIES = {
     "op10_sharding": lambda s, d: op10_sharding(documents(s, d)),
     "op11_simhash_near_dedup": lambda s, d: op11_simhash(documents(s, d)),
     "op12_embedding_whitening": lambda s, d: op12_whitening(embeddings(s, d)),
+    "op13_tokenizer_alignment": lambda s, d: op13_alignment(documents(s, d), BYTE_BPE, PIECES),
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op6_near_dedup": OP6_SQL}
