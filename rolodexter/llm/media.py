@@ -9,7 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import staged, text_of, trimmed
 
@@ -19,7 +21,9 @@ LEVEL = 9  # of compression of the tables, which are kept
 #: WAV format tags of the three codecs.
 TAGS = {"mulaw": 7, "alaw": 6, "ima_adpcm": 17}
 CODECS = tuple(TAGS)
-PCM_COLUMNS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "rate", "pcm"]
+#: Coded bytes of a stored piece: whole blocks, about a MB.
+PIECE = BLOCK * 1820
+PCM_COLUMNS = ["row", "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "rate", "piece", "pcm"]
 #: The IMA ADPCM step sizes and index changes.
 STEPS = np.array(
     [7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767],
@@ -77,37 +81,6 @@ def resampled(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
-def predicted(wide: np.ndarray) -> bytes:
-    """16-bit PCM of an even number of samples in a form that compresses well and loses nothing.
-
-    First every second sample: where they take 256 values or fewer (any table-coded audio) a palette and a byte for each, else as they are. Then what
-    the others differ by from the midpoints, if any does.
-    """
-    even = wide[0::2]
-    rest, palette = wide[1::2] - midpoints(even), np.unique(even)
-    if len(palette) > 256:
-        palette, body = palette[:0], even.astype("<i2")
-    else:
-        body = np.searchsorted(palette, even).astype(np.uint8)
-    return struct.pack("<IH", len(even), len(palette)) + palette.astype("<i2").tobytes() + body.tobytes() + (rest.astype("<i2").tobytes() if rest.any() else b"")
-
-
-def restored(stored: bytes) -> np.ndarray:
-    """The PCM that predicted() stored."""
-    n, colours = struct.unpack_from("<IH", stored)
-    at = 6 + 2 * colours
-    if colours:
-        even, at = np.frombuffer(stored, "<i2", colours, 6)[np.frombuffer(stored, np.uint8, n, at)], at + n
-    else:
-        even, at = np.frombuffer(stored, "<i2", n, at), at + 2 * n
-    out = np.empty(2 * n, np.int16)
-    out[0::2] = even
-    out[1::2] = midpoints(even)
-    if at < len(stored):
-        out[1::2] += np.frombuffer(stored, "<i2", n, at)
-    return out
-
-
 def to_wav(payload: bytes, codec: str) -> bytes:
     """payload: the coded bytes, a multiple of BLOCK."""
     align, samples = (BLOCK, len(payload) // BLOCK * (2 * (BLOCK - 4) + 1)) if codec == "ima_adpcm" else (1, len(payload))
@@ -151,65 +124,101 @@ def stored_audio(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(trimmed(store), "doc_id long, n_bytes long, media binary")
 
 
-def decoded(media: list[bytes]) -> Iterator[tuple[str, bytes, np.ndarray]]:
-    """(codec, coded bytes, PCM at 8 kHz) of each WAV; ADPCM blocks of all of them are decoded together, a few MB at a time."""
+def decoded(parts: list[tuple[str, bytes]]) -> Iterator[np.ndarray]:
+    """PCM at 8 kHz of each (codec, coded bytes); ADPCM blocks of all of them are decoded together, a few MB at a time."""
     mulaw, alaw = mulaw_table(), alaw_table()
     at = 0
-    while at < len(media):
+    while at < len(parts):
         to, n = at, 0
-        while to < len(media) and (to == at or n + len(media[to]) < 4 << 20):
-            n += len(media[to])
+        while to < len(parts) and (to == at or n + len(parts[to][1]) < 4 << 20):
+            n += len(parts[to][1])
             to += 1
-        parts = [from_wav(x) for x in media[at:to]]
-        blocks = [np.frombuffer(p, np.uint8).reshape(-1, BLOCK) for c, p in parts if c == "ima_adpcm"]
+        blocks = [np.frombuffer(p, np.uint8).reshape(-1, BLOCK) for c, p in parts[at:to] if c == "ima_adpcm"]
         adpcm = decode_adpcm(np.concatenate(blocks)) if blocks else np.empty((0, 0), np.int16)
         row = 0
-        for codec, payload in parts:
+        for codec, payload in parts[at:to]:
             if codec == "ima_adpcm":
                 n = len(payload) // BLOCK
-                yield codec, payload, adpcm[row : row + n].reshape(-1)
+                yield adpcm[row : row + n].reshape(-1)
                 row += n
             else:
-                yield codec, payload, (mulaw if codec == "mulaw" else alaw)[np.frombuffer(payload, np.uint8)]
+                yield (mulaw if codec == "mulaw" else alaw)[np.frombuffer(payload, np.uint8)]
         at = to
 
 
-def resampled_audio(media: DataFrame) -> DataFrame:
-    """The WAVs of stored_audio() as 16-bit PCM at 16 kHz, for storing: doc_id, n_bytes, the sizes and checksums of payload and WAV, codec, rate, pcm as of predicted().
+def pieces(codec: str, payload: bytes, piece_bytes: int) -> Iterator[tuple[str, bytes, int, int]]:
+    """(codec, coded bytes, samples before the piece, its samples) for pieces of a payload. A piece comes with a block on either side, for the filter."""
+    each = 2 * (BLOCK - 4) + 1 if codec == "ima_adpcm" else BLOCK
+    for k in range(0, len(payload), piece_bytes):
+        left = min(k, BLOCK)
+        yield codec, payload[k - left : k + piece_bytes + BLOCK], left // BLOCK * each, len(payload[k : k + piece_bytes]) // BLOCK * each
+
 
-    Rows leave in pieces of about a MB of WAVs. A value of the table holds under 2 GB: eight times the bytes of a text whose codec is ADPCM.
+def resampled_audio(media: DataFrame, piece_bytes: int = PIECE) -> DataFrame:
+    """The WAVs of stored_audio() as 16-bit PCM at 16 kHz (little-endian samples, as they are): a row for each piece of piece_bytes coded bytes.
+
+    With each: the number of its WAV's row and its own, doc_id, n_bytes, the sizes and checksums of payload and WAV, codec and rate. No value and no batch grows
+    with a text's length. Rows are numbered by task, so write the result before rows are put together again.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows, n = [], 0
-            wavs = batch["media"].tolist()
-            for doc_id, n_bytes, wav, (codec, payload, pcm) in zip(batch["doc_id"], batch["n_bytes"], wavs, decoded(wavs), strict=True):
-                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(wav), hashlib.sha256(wav).hexdigest(), codec, WIDE, predicted(resampled(pcm))))
-                n += len(wav)
-                if n >= 1 << 20:
-                    yield pd.DataFrame(rows, columns=PCM_COLUMNS)
-                    rows, n = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=PCM_COLUMNS)
-
-    return media.mapInPandas(trimmed(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, rate int, pcm binary")
-
+            for row in batch.itertuples():
+                codec, payload = from_wav(row.media)
+                about = (number, row.doc_id, row.n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(row.media), hashlib.sha256(row.media).hexdigest(), codec, WIDE)
+                number += 1
+                for k, piece in enumerate(pieces(codec, payload, piece_bytes)):
+                    yield about, k, piece
+
+    def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, n = [], 0
+
+        def emptied() -> pd.DataFrame:
+            rows = []
+            for (about, k, (_, _, before, size)), pcm in zip(waiting, decoded([(p[0], p[1]) for _, _, p in waiting]), strict=True):
+                rows.append((*about, k, resampled(pcm)[2 * before : 2 * (before + size)].astype("<i2").tobytes()))
+            return pd.DataFrame(rows, columns=PCM_COLUMNS)
+
+        for one in run(batches):
+            waiting.append(one)
+            n += len(one[2][1])
+            if n >= 1 << 20:
+                yield emptied()
+                waiting, n = [], 0
+        if waiting:
+            yield emptied()
+
+    return media.mapInPandas(trimmed(together), "row long, doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, rate int, piece int, pcm binary")
+
+
+def described(pcm: DataFrame) -> DataFrame:
+    """(doc_id, sizes, checksums, feature) of each WAV in a written resampled_audio(): codec, rate, samples, peak, mean square, sign changes and checksum of its PCM.
+
+    A piece is described by itself; the pieces of a WAV, a few numbers each, are put together in order. The checksum is the PCM's CRC-32; of several pieces that of their CRCs as
+    joined hexadecimal digits.
+    """
+    kept = PCM_COLUMNS[:-2]
 
-def described(codec: str, rate: int, wide: np.ndarray) -> str:
-    """Codec, samples, peak, mean square, sign changes and checksum."""
-    loud = wide.astype(np.int64)
-    changes = int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
-    return f"{codec}/{rate}: samples={len(wide)} peak={int(np.abs(loud).max())} power={int(loud @ loud) // len(wide)} crossings={changes} crc={zlib.crc32(wide.astype('<i2').tobytes()):08x}"
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for stored in batch["pcm"]:
+                wide = np.frombuffer(stored, "<i2")
+                loud = wide.astype(np.int64)
+                rows.append((len(wide), int(np.abs(loud).max()), int(loud @ loud), int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0))), bool(wide[0] < 0), bool(wide[-1] < 0), f"{zlib.crc32(stored):08x}"))
+            yield pd.concat([batch[[*kept, "piece"]].reset_index(drop=True), pd.DataFrame(rows, columns=["samples", "peak", "power", "turns", "opens", "ends", "crc"])], axis=1)
+
+    own = pcm.mapInPandas(trimmed(run), "row long, doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, rate int, piece int, samples long, peak long, power long, turns long, opens boolean, ends boolean, crc string")
+    whole = own.groupBy(*kept).agg(F.sum("samples").alias("samples"), F.max("peak").alias("peak"), F.sum("power").alias("power"), F.sum("turns").alias("turns"), F.array_sort(F.collect_list(F.struct("piece", "opens", "ends", "crc"))).alias("pieces"))
+    border = lambda k: F.when(F.col("pieces")[k]["opens"] != F.col("pieces")[k - 1]["ends"], 1).otherwise(0)
+    borders = F.when(F.size("pieces") > 1, F.aggregate(F.transform(F.sequence(F.lit(1), F.size("pieces") - 1), border), F.lit(0), lambda n, v: n + v)).otherwise(0)
+    joined = F.array_join(F.transform("pieces", lambda p: p["crc"]), "")
+    crc = F.when(F.size("pieces") > 1, F.lpad(F.lower(F.hex(F.crc32(F.encode(joined, "UTF-8")))), 8, "0")).otherwise(joined)
+    feature = F.format_string("%s/%d: samples=%d peak=%d power=%d crossings=%d crc=%s", "codec", "rate", "samples", "peak", F.floor(F.expr("power div samples")), F.col("turns") + borders, crc)
+    return whole.select(*kept[1:-2], feature.alias("feature"))
 
 
 def op8_media(docs: DataFrame) -> DataFrame:
     """Stores the WAVs as a table in the shared folder, reads them back, stores their resampled PCM as another, and describes what is read from that."""
-    pcm = staged(resampled_audio(staged(stored_audio(docs), "media", LEVEL)), "pcm", LEVEL)
-    kept = PCM_COLUMNS[:-3]
-
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[kept].assign(feature=[described(c, r, restored(x)) for c, r, x in zip(batch["codec"], batch["rate"], batch["pcm"], strict=True)])
-
-    return pcm.mapInPandas(trimmed(describe), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return described(staged(resampled_audio(staged(stored_audio(docs), "media", LEVEL)), "pcm", LEVEL))
