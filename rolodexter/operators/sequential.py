@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections import defaultdict
 
 import pandas as pd
@@ -10,35 +9,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
+from .connected import clusters
+from .staging import stage
 
 KEYS = ["dedupe_key", "tax_id", "email", "name_key"]
 FILLED = ["tax_id", "email", "phone", "website", "address", "industry", "english_name", "fax", "products", "contact_person"]
-#: Columns of store and batch; ids of the store are positive, new rows get none.
-COLUMNS = "id long, seq long, company_name string, name_key string, dedupe_key string, host string, source_url string, " + ", ".join(f"{c} string" for c in FILLED)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpointed in the shared folder, so that the plan does not grow with the rounds."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rolodexter-"))
-    return df.checkpoint()
-
-
-def clusters(rows: DataFrame, row_id: str, keys: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(row_id, cluster): rows that share keys, directly or through others. keys: (row_id, key). Labels spread through keys by joins and minima until none changes."""
-    links = cut(keys.select(row_id, "key").distinct())
-    labels = cut(rows.select(row_id, F.col(row_id).alias("cluster")))
-    for _ in range(most_rounds):
-        low = links.join(labels, row_id).groupBy("key").agg(F.min("cluster").alias("low"))
-        offered = links.join(low, "key").groupBy(row_id).agg(F.min("low").alias("low"))
-        new = cut(labels.join(offered, row_id, "left").select(row_id, F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"), (F.coalesce("low", "cluster") < F.col("cluster")).alias("changed")))
-        labels = new.select(row_id, "cluster")
-        if new.filter("changed").isEmpty():
-            return labels
-    raise RuntimeError("clusters did not settle")
+#: Columns of store and batch; ids of the store are positive, new rows get none. extra is filled key by key; contacts are the persons of a company.
+COLUMNS = (
+    "id long, seq long, company_name string, name_key string, dedupe_key string, host string, source_url string, " + ", ".join(f"{c} string" for c in FILLED)
+    + ", extra map<string,string>, email_verdict string, contacts array<struct<name:string,email:string,phone:string,is_primary:boolean>>"
+)
+NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
+#: Records of one connected set that a round replays, and rows that a task replays.
+SLICE_ROWS, TASK_ROWS = 20_000, 50_000
+
+
+def complete(df: DataFrame) -> DataFrame:
+    """df with all of COLUMNS, null where it has none."""
+    types = dict(c.split() for c in COLUMNS.split(", "))
+    return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast(types[c]).alias(c) for c in NAMES))
 
 
 def _filled(x) -> bool:
@@ -84,14 +73,28 @@ class _Store:
         return self.first.get(("dedupe_key", "n:" + name))
 
 
+def _with_person(row: dict, r: dict) -> None:
+    """The person that a record names becomes a contact of the row unless it has one of that name."""
+    name = (r["contact_person"] or "").strip()
+    if name and all((c["name"] or "").strip() != name for c in row["contacts"]):
+        row["contacts"] = [*row["contacts"], {"name": name, "email": r["email"], "phone": r["phone"], "is_primary": not row["contacts"]}]
+
+
 def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["seq", "id"], kind="stable")
-    store = _Store()
+    """Rows of the store in order, then the records by seq. Sets that share no key don't touch each other, so any number of them may come together."""
+    new = rows["id"].isna()
+    rows = rows.assign(id=(-rows["row_id"]).astype("Int64").mask(new), new=new, at=rows["row_id"].where(new, -rows["row_id"])).sort_values(["pending", "new", "at"], kind="stable").drop(columns=["new", "at"])
+    store, whole = _Store(), ("id", "seq", "weight", "pending", "merged", "row_id", "extra", "contacts")
     for r in rows.to_dict("records"):
-        r = {k: (v if k in ("id", "seq", "weight") or _filled(v) else None) for k, v in r.items()}
-        at = None if r["seq"] < 0 else store.find(r)
+        r = {k: (v if k in whole or _filled(v) else None) for k, v in r.items()}
+        r["extra"], r["contacts"] = dict(r["extra"] or {}), list(r["contacts"] if r["contacts"] is not None else [])
+        at = store.find(r) if r["pending"] else None
         if at is None:
-            store.rows.append(r | {"merged": r["weight"] - 1})
+            r["merged"] += r["weight"]
+            if r["pending"]:
+                r["merged"] -= 1
+                _with_person(r, r)
+            store.rows.append(r)
             store.index(len(store.rows) - 1)
             continue
         old = store.rows[at]
@@ -99,50 +102,100 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
         for c in FILLED:
             if old[c] is None:
                 old[c] = r[c]
+        for k, v in r["extra"].items():
+            if _filled(v) and not _filled(old["extra"].get(k)):
+                old["extra"][k] = v
         old["source_url"] = r["source_url"] or old["source_url"]
+        if r["email_verdict"] not in (None, "Unknown") and r["email"] is not None and r["email"] == old["email"] and old["email_verdict"] != "Bounced":
+            old["email_verdict"] = r["email_verdict"]
+        _with_person(old, r)
         store.index(at)
-    return pd.DataFrame(store.rows)[[*rows.columns.drop(["cluster", "weight"]), "merged"]]
+    return pd.DataFrame(store.rows, columns=[*NAMES, "merged"])
 
 
-def _lighter(rows: DataFrame) -> DataFrame:
-    """rows with weight, how many records each stands for.
+def _targets(state: DataFrame, pending: DataFrame) -> DataFrame:
+    """pending with target: the row of the store that a record goes into whatever comes before it, null where that cannot be told.
 
-    Where the store holds a record's dedupe_key, the record goes into that row whatever comes before it. Of all records of such a key only the first
-    to fill each field and the last with a source change the row; the others are left out and counted with the key's store row. So a key that a third of all
-    records share leaves a dozen of them. Aggregates only: no group is gathered.
+    It can where the store holds the record's dedupe_key. It can too where the store holds its e-mail, and nothing stronger can ever find another row for
+    any record with that e-mail: their dedupe_keys are not held and come with held e-mails only, so that no row of that key arises; their tax ids
+    are not held and come with this e-mail only.
+    """
+    order = F.struct(F.col("id").isNull(), F.coalesce("id", "seq"))
+    value = lambda c: blank_to_null(c)
+    held = lambda c, name: state.groupBy(value(c).alias(f"_{c}")).agg(F.min_by("row_id", order).alias(name)).filter(F.col(f"_{c}").isNotNull())
+    p = pending
+    for c, name in (("dedupe_key", "_by_key"), ("email", "_by_mail"), ("tax_id", "_by_tax")):
+        p = p.join(held(c, name), value(c) == F.col(f"_{c}"), "left")
+    by = lambda c, e, name: p.filter(value(c).isNotNull()).groupBy(value(c).alias(f"_of_{c}")).agg(e.alias(name))
+    safe_key = by("dedupe_key", F.every(F.col("_by_mail").isNotNull()), "_key_safe")
+    same = F.coalesce(F.min(value("email")) == F.max(value("email")), F.lit(False)) & (F.count(value("email")) == F.count(F.lit(1)))
+    safe_tax = by("tax_id", same & F.every(F.col("_by_tax").isNull()), "_tax_safe")
+    p = p.join(safe_key, value("dedupe_key") == F.col("_of_dedupe_key"), "left").join(safe_tax, value("tax_id") == F.col("_of_tax_id"), "left")
+    plain = F.col("_by_key").isNull() & F.coalesce("_key_safe", F.lit(True)) & F.coalesce("_tax_safe", F.lit(True))
+    safe_mail = p.filter(F.col("_by_mail").isNotNull()).groupBy(value("email").alias("_of_email")).agg(F.every(plain).alias("_mail_safe"))
+    p = p.join(safe_mail, value("email") == F.col("_of_email"), "left")
+    return p.select(*pending.columns, F.coalesce("_by_key", F.when(F.col("_mail_safe"), F.col("_by_mail"))).alias("target"))
+
+
+def _lighter(state: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state, pending) without the records that change nothing; their number is added to the weight of their row.
+
+    Of the records that go into one row for certain, those count that are the first to fill a field, a key of extra or to name a person, the last with
+    a source, and for each address the last verdict and the first bounce. So a key or an e-mail that a third of all records share leaves a few of them. Aggregates only: no group is gathered.
     """
-    key = blank_to_null("dedupe_key")
-    held = rows.filter(F.col("seq") < 0).groupBy(key.alias("_k")).agg(F.min("id").alias("_row")).filter("_k is not null")
-    of = rows.withColumn("_k", key).join(held, "_k", "left")
-    late = of.filter((F.col("seq") >= 0) & F.col("_row").isNotNull())
-    firsts = [F.min(F.when(blank_to_null(c).isNotNull(), F.col("seq"))) for c in FILLED]
-    telling = late.groupBy("_k").agg(F.array(*firsts, F.max(F.when(blank_to_null("source_url").isNotNull(), F.col("seq")))).alias("s"), F.count(F.lit(1)).alias("n"))
-    telling = telling.withColumn("s", F.array_distinct(F.filter("s", lambda x: x.isNotNull())))
-    kept = late.join(telling.select("_k", F.explode("s").alias("seq")), ["_k", "seq"], "left_semi")
-    spare = telling.select("_k", (F.col("n") - F.size("s")).alias("_spare"))
-    rest = of.filter((F.col("seq") < 0) | F.col("_row").isNull()).join(spare, "_k", "left")
-    own = (F.col("seq") < 0) & (F.col("id") == F.col("_row"))
-    rest = rest.withColumn("weight", F.lit(1) + F.when(own, F.coalesce("_spare", F.lit(0))).otherwise(0))
-    return rest.select(*rows.columns, "weight").unionByName(kept.withColumn("weight", F.lit(1).cast("long")).select(*rows.columns, "weight"))
-
-
-def upserted(store: DataFrame, batch: DataFrame) -> DataFrame:
-    """The store after the batch, in the order of ``seq``; adds merged, how many records went into each row.
-
-    store and batch have COLUMNS; a store's seq does not count, a batch's id is null and its seq is its own. Rows that can ever meet share a key or the
-    probe "n:" + name_key. A connected set of new records that all have one dedupe_key is one new row, an aggregate. Other sets
-    are replayed, each on its own and through indexes, after _lighter() has left out what changes nothing.
+    of = stage(_targets(state, pending), "targets")
+    late = of.filter("target is not null")
+    said = F.when(F.col("email").isNotNull() & F.coalesce(F.col("email_verdict") != "Unknown", F.lit(False)), F.col("email_verdict"))
+    entry = lambda kind, key, first: F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.lit(first).alias("first"))
+    tells = [F.when(blank_to_null(c).isNotNull(), entry(c, F.lit(""), True)) for c in FILLED]
+    tells += [F.when(blank_to_null("contact_person").isNotNull(), entry("person", F.trim("contact_person"), True)), F.when(blank_to_null("source_url").isNotNull(), entry("source", F.lit(""), False))]
+    tells += [F.when(said.isNotNull(), entry("verdict", F.col("email"), False)), F.when(said == "Bounced", entry("bounce", F.col("email"), True))]
+    keys = F.transform(F.map_keys(F.map_filter(F.coalesce("extra", F.create_map().cast("map<string,string>")), lambda _, v: F.coalesce(F.trim(v) != "", F.lit(False)))), lambda k: entry("extra", k, True))
+    told = late.select("target", "seq", F.explode(F.concat(F.filter(F.array(*tells), lambda x: x.isNotNull()), keys)).alias("t"))
+    telling = told.groupBy("target", "t").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).select("target", F.when(F.col("t.first"), F.col("a")).otherwise(F.col("b")).alias("seq")).distinct()
+    kept = late.join(telling, ["target", "seq"], "left_semi")
+    spare = late.join(telling, ["target", "seq"], "left_anti").groupBy(F.col("target").alias("row_id")).agg(F.count(F.lit(1)).alias("_spare"))
+    heavier = state.join(spare, "row_id", "left").withColumn("weight", F.col("weight") + F.coalesce("_spare", F.lit(0))).select(*state.columns)
+    return heavier, of.filter("target is null").unionByName(kept).drop("target")
+
+
+def _sliced(rows: DataFrame, slice_rows: int) -> DataFrame:
+    """rows with turn: whether a round replays them. Of a set with over slice_rows records those up to a quantile of their seq, which holds slice_rows or a thousandth of them."""
+    sizes = rows.filter("pending").groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("seq", [k / 1000 for k in range(1, 1001)], 10000).alias("_q"))
+    upto = F.when(F.col("_n") > slice_rows, F.element_at("_q", F.greatest(F.lit(1), F.floor(slice_rows * 1000 / F.col("_n"))).cast("int")))
+    limits = sizes.select("cluster", F.lit(True).alias("_any"), upto.alias("_upto"))
+    return rows.join(limits, "cluster", "left").withColumn("turn", F.coalesce("_any", F.lit(False)) & (~F.col("pending") | F.col("_upto").isNull() | (F.col("seq") <= F.col("_upto")))).drop("_any")
+
+
+def upserted(store: DataFrame, batch: DataFrame, slice_rows: int = SLICE_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The store after the batch, in the order of ``seq``: COLUMNS and merged, how many records went into each row.
+
+    store and batch have columns of COLUMNS; a store's seq does not count, a batch's id is null and its seq is its own. A record finds its row by dedupe_key, tax id, e-mail,
+    name and phone, name and host, or a row known by its name only. Blank fields and keys of extra are filled, the source is the latest, a verdict counts for the address that is held and never replaces a bounce,
+    and a new person becomes a contact. Rows that can ever meet share a key or the probe "n:" + name_key; such sets are replayed, many in one task, after _lighter() has
+    left out what changes nothing. A set with more than slice_rows records is replayed in rounds, each of which makes most of the rest light; so no task gets more than
+    task_rows and a slice. Only records of one name that all are new rows need a round for each slice.
     """
-    rows = store.withColumn("seq", F.lit(-1).cast("long")).unionByName(batch.withColumn("id", F.lit(None).cast("long")))
-    rows = cut(_lighter(rows.withColumn("email", F.lower("email"))))
-    rows = rows.withColumn("row_id", F.when(F.col("seq") < 0, -F.col("id")).otherwise(F.col("seq")))
-    tagged = [F.concat(F.lit(c + "="), blank_to_null(c)) for c in KEYS] + [F.concat(F.lit("dedupe_key=n:"), blank_to_null("name_key"))]
-    keys = rows.select("row_id", F.explode(F.filter(F.array(*tagged), lambda k: k.isNotNull())).alias("key"))
-    named = cut(rows.join(clusters(rows, "row_id", keys), "row_id").drop("row_id"))
-    alone = named.groupBy("cluster").agg((F.min("seq") >= 0).alias("a"), F.min("dedupe_key").alias("b"), F.max("dedupe_key").alias("c"), F.count_if(blank_to_null("dedupe_key").isNull()).alias("d"))
-    alone = alone.filter("a and b = c and d = 0").select("cluster")
-    one = [F.min_by(c, "seq").alias(c) for c in ("company_name", "name_key", "dedupe_key", "host")] + [F.max_by("source_url", F.when(blank_to_null("source_url").isNotNull(), F.col("seq"))).alias("source_url")]
-    one += [F.min_by(c, F.when(blank_to_null(c).isNotNull(), F.col("seq"))).alias(c) for c in FILLED]
-    new = named.join(alone, "cluster", "left_semi").groupBy("cluster").agg(F.lit(None).cast("long").alias("id"), F.min("seq").alias("seq"), *one, (F.sum("weight") - 1).alias("merged")).drop("cluster")
-    rest = named.join(alone, "cluster", "left_anti").groupBy("cluster").applyInPandas(_replay, COLUMNS + ", merged long")
-    return rest.unionByName(new.select(*rest.columns))
+    row_id = F.when(F.col("id").isNotNull(), -F.col("id")).otherwise(F.col("seq"))
+    shape = lambda df, pending: df.withColumns({"email": F.lower("email"), "pending": F.lit(pending), "weight": F.lit(int(pending)).cast("long"), "row_id": row_id})
+    state = shape(complete(store).withColumn("merged", F.lit(0).cast("long")), False)
+    pending = shape(complete(batch).withColumns({"id": F.lit(None).cast("long"), "merged": F.lit(0).cast("long")}), True)
+    while True:
+        state, pending = _lighter(state, pending)
+        rows = stage(state.unionByName(pending), "records")
+        tagged = [F.concat(F.lit(c + "="), blank_to_null(c)) for c in KEYS] + [F.concat(F.lit("dedupe_key=n:"), blank_to_null("name_key"))]
+        keys = rows.select("row_id", "pending", F.explode(F.filter(F.array(*tagged), lambda k: k.isNotNull())).alias("key"))
+        named = stage(_sliced(rows.join(clusters(rows, "row_id", keys.drop("pending")), "row_id"), slice_rows), "sliced")
+        large = named.filter("_upto is not null").select("cluster").distinct()
+        waiting, turn = not large.isEmpty(), named.filter("turn")
+        if waiting:  # of a large set only the rows that share a key with the slice can be met
+            slices = turn.filter("pending").join(large, "cluster", "left_semi").select("row_id")
+            met = keys.filter("not pending").join(keys.join(slices, "row_id", "left_semi").select("key").distinct(), "key", "left_semi").select("row_id").distinct()
+            turn = turn.join(large, "cluster", "left_anti").unionByName(turn.filter("pending").join(large, "cluster", "left_semi")).unionByName(turn.filter("not pending").join(large, "cluster", "left_semi").join(met, "row_id", "left_semi"))
+        tasks = max(2, -(-turn.count() // task_rows))
+        out = stage(turn.withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(tasks))).drop("turn", "_upto", "cluster").groupBy("task").applyInPandas(_replay, COLUMNS + ", merged long"), "replayed")
+        rest = named.join(turn.select("row_id"), "row_id", "left_anti")
+        out = out.unionByName(rest.filter("not pending").withColumn("merged", F.col("merged") + F.col("weight")).select(*out.columns))
+        if not waiting:
+            return out
+        state, pending = shape(out, False).select(*state.columns), rest.filter("pending").select(*pending.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, validate
 from ..functions.text import blank_to_null
-from ..operators.sequential import cut
+from ..operators.staging import stage
 from . import pages as listing
 from .extraction import LEAST_DISTINCT, LEAST_HITS, Page, name_score, selected
 
@@ -427,9 +427,9 @@ def notes(pages: DataFrame, scopes: DataFrame, fields: DataFrame, details: DataF
 
 def records_of(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The blocks of pages, drilled, and their item_nodes(). Both are checkpointed: all guesses read them, and none parses pages again."""
-    outer = cut(listing.list_blocks(listing.list_items(pages)))
-    blocks = cut(drilled(outer, cut(item_nodes(pages, outer))))
-    return blocks, cut(item_nodes(pages, blocks))
+    outer = stage(listing.list_blocks(listing.list_items(pages)))
+    blocks = stage(drilled(outer, stage(item_nodes(pages, outer))))
+    return blocks, stage(item_nodes(pages, blocks))
 
 
 def discovered(pages: DataFrame) -> dict[str, DataFrame]:

@@ -237,15 +237,123 @@ def test_sequential_upsert_of_a_common_key(spark):
     """A key that the store holds, and one that only the batch has, with many records each: few are replayed."""
     from rolodexter.operators import sequential
 
-    names = [c.split()[0] for c in sequential.COLUMNS.split(", ")]
-    record = lambda k, key, **kw: tuple((dict.fromkeys(names) | {"id": None, "seq": k, "company_name": f"n{k}", "name_key": key, "dedupe_key": f"n:{key}", "source_url": f"u{k}"} | kw).values())
+    record = lambda k, key, **kw: tuple((dict.fromkeys(sequential.NAMES) | {"id": None, "seq": k, "company_name": f"n{k}", "name_key": key, "dedupe_key": f"n:{key}", "source_url": f"u{k}"} | kw).values())
     store = spark.createDataFrame([record(None, "old", id=7)], sequential.COLUMNS)
     batch = spark.createDataFrame([record(k, "old" if k % 2 else "new", **({"phone": f"p{k}"} if k in (5, 6, 7, 8) else {})) for k in range(2000)], sequential.COLUMNS)
-    got = {r["dedupe_key"]: r for r in sequential.upserted(store, batch).collect()}
-    assert len(got) == 2
-    assert [(got[k]["id"], got[k]["company_name"], got[k]["phone"], got[k]["source_url"], got[k]["merged"]) for k in ("n:old", "n:new")] == [(7, "nNone", "p5", "u1999", 1000), (None, "n0", "p6", "u1998", 999)]
-    every = store.withColumn("seq", F.lit(-1).cast("long")).unionByName(batch)
-    assert sequential._lighter(every).filter("dedupe_key = 'n:old'").count() == 3
+    for slice_rows in (20_000, 50):
+        got = {r["dedupe_key"]: r for r in sequential.upserted(store, batch, slice_rows).collect()}
+        assert len(got) == 2
+        assert [(got[k]["id"], got[k]["company_name"], got[k]["phone"], got[k]["source_url"], got[k]["merged"]) for k in ("n:old", "n:new")] == [(7, "nNone", "p5", "u1999", 1000), (None, "n0", "p6", "u1998", 999)]
+
+
+def plain_upsert(store, batch):
+    """One record after another against all rows before it."""
+    rows: list[dict] = []
+    for r in [r | {"seq": -1} for r in store] + batch:
+        stored = r["seq"] == -1
+        r = r | {"email": r["email"] and r["email"].lower(), "merged": 0, "extra": dict(r["extra"] or {}), "contacts": list(r["contacts"] or [])}
+        same = lambda c: next((x for x in rows if r[c] and x[c] == r[c]), None)  # noqa: E731, B023
+        named = [x for x in rows if r["name_key"] and x["name_key"] == r["name_key"]]
+        old = None
+        if not stored:
+            old = same("dedupe_key") or same("tax_id") or same("email")
+            old = old or next((x for x in named if r["phone"] and x["phone"] == r["phone"]), None)
+            old = old or next((x for x in named if r["host"] and r["host"] in (x["website"] or "")), None)
+            old = old or (next((x for x in rows if x["dedupe_key"] == "n:" + r["name_key"]), None) if r["name_key"] else None)
+        into = old or r
+        if old is None:
+            rows.append(r)
+        else:
+            old["merged"] += 1
+            for c in ["tax_id", "email", "phone", "website", "address", "industry", "english_name", "fax", "products", "contact_person"]:
+                old[c] = old[c] or r[c]
+            for k, v in r["extra"].items():
+                if v and not old["extra"].get(k):
+                    old["extra"][k] = v
+            old["source_url"] = r["source_url"] or old["source_url"]
+            if r["email_verdict"] not in (None, "Unknown") and r["email"] and r["email"] == old["email"] and old["email_verdict"] != "Bounced":
+                old["email_verdict"] = r["email_verdict"]
+        if not stored and r["contact_person"] and r["contact_person"] not in [c["name"] for c in into["contacts"]]:
+            into["contacts"].append({"name": r["contact_person"], "email": r["email"], "phone": r["phone"], "is_primary": not into["contacts"]})
+    return rows
+
+
+def shown(rows):
+    """Rows of a store, comparable."""
+    out = []
+    for r in rows:
+        people = [tuple((c if isinstance(c, dict) else c.asDict()).values()) for c in r["contacts"] or []]
+        out.append(tuple(str(r[c]) for c in ["id", "company_name", "dedupe_key", "tax_id", "email", "phone", "website", "source_url", "email_verdict", "merged"]) + (str(sorted((r["extra"] or {}).items())), str(people)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed, slice_rows, task_rows", [(1, 20_000, 50_000), (2, 40, 60), (3, 60, 1000)])
+def test_upsert_in_slices_equals_one_after_another(spark, seed, slice_rows, task_rows):
+    """Maps, verdicts and contacts too; one e-mail and one key that a third of all records share, in the store or not."""
+    import random
+
+    from rolodexter.operators import sequential
+
+    rng = random.Random(seed)
+    pick = lambda pool, p: rng.choice(pool) if rng.random() < p else None
+
+    def record(k, stored):
+        name = rng.choice("abcdefghijklmnopqrstuvw") * rng.randint(1, 2)
+        r = dict.fromkeys(sequential.NAMES) | {"id": k + 1 if stored else None, "seq": None if stored else k, "company_name": name, "name_key": pick([name], 0.8)}
+        r |= {"tax_id": pick([str(x) for x in range(12)], 0.15), "email": pick(["hot@b.tw"] * 6 + [f"{x}@b.tw" for x in "ABCDEF"], 0.6), "phone": pick(["p1", "p2"], 0.4), "host": pick(["h1.tw", "h2.tw"], 0.3), "source_url": pick([f"u{k}"], 0.8)}
+        r |= {"contact_person": pick(["Lin", "Wu", "Ho"], 0.3), "extra": pick([{"a": f"{k}", "b": ""}, {"b": f"{k}"}, {"c": None}], 0.5), "email_verdict": pick(["Valid", "Unknown", "Bounced", "Invalid"], 0.5)}
+        r["website"] = r["host"] and f"https://{r['host']}"
+        r["dedupe_key"] = f"tax:{r['tax_id']}" if r["tax_id"] else f"np:{r['name_key']}|{r['phone']}" if r["phone"] else f"k:{k}" if rng.random() < 0.4 else "n:hot" if rng.random() < 0.5 else f"n:{name}"
+        if stored and seed % 2:
+            r["email"] = r["email"] and r["email"].replace("hot", "cold")
+        return r
+
+    store, batch = [record(k, True) for k in range(20)], [record(k, False) for k in range(160)]
+    frame = lambda rows: spark.createDataFrame([tuple(r.values()) for r in rows], sequential.COLUMNS)
+    got = sequential.upserted(frame(store), frame(batch), slice_rows, task_rows).collect()
+    assert shown(r.asDict() for r in got) == shown(plain_upsert(store, batch))
+
+
+def test_common_mail_leaves_few_records(spark):
+    """Records of one held e-mail, each with a key of its own, are counted, not replayed."""
+    from rolodexter.operators import sequential
+
+    record = lambda k, **kw: tuple((dict.fromkeys(sequential.NAMES) | {"id": None, "seq": k, "company_name": "x", "email": "hot@b.tw", "dedupe_key": f"k:{k}"} | kw).values())
+    ready = lambda df, pending: sequential.complete(df).withColumns({"pending": F.lit(pending), "weight": F.lit(int(pending)).cast("long"), "merged": F.lit(0).cast("long"), "row_id": F.coalesce(-F.col("id"), "seq")})
+    state = ready(spark.createDataFrame([record(None, id=7, dedupe_key="mail:hot@b.tw")], sequential.COLUMNS), False)
+    batch = ready(spark.createDataFrame([record(k, phone=f"p{k}", source_url="u", tax_id="9" if k == 5 else None) for k in range(500)], sequential.COLUMNS), True)
+    heavier, left = sequential._lighter(state, batch)
+    assert [r["weight"] for r in heavier.collect()] == [497] and sorted(r["seq"] for r in left.collect()) == [0, 5, 499]
+
+
+@pytest.mark.parametrize("shape", ["chain", "shuffled chain", "stars", "mixed"])
+def test_clusters_by_contraction(spark, shape):
+    import random
+
+    from rolodexter.operators.connected import clusters, contracted
+
+    rng = random.Random(9)
+    n = 5000 if "chain" in shape else 300
+    names = list(range(n))
+    if shape == "shuffled chain":
+        rng.shuffle(names)
+    links = [(names[i], names[i + 1]) for i in range(n - 1)] if "chain" in shape else [(i, i % 7) for i in range(n)] if shape == "stars" else [(rng.randrange(n), rng.randrange(n)) for _ in range(200)]
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    edges = spark.createDataFrame(links + [(1, 1), (None, 2)], "u long, v long")
+    got = {r["x"]: r["root"] for r in contracted(edges).collect()}
+    assert got == {x: find(x) for x in {y for e in links for y in e if e[0] != e[1]}}
+    keys = spark.createDataFrame([(k, x) for k, e in enumerate(links) for x in e] + [(None, 3), (None, 4)], "key long, id long")
+    assert {r["id"]: r["cluster"] for r in clusters(spark.range(n), "id", keys).collect()} == {x: find(x) for x in range(n)}
 
 
 def test_rules(spark):
