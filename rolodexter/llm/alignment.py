@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
@@ -27,10 +29,20 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: Fixed value: how byte-level vocabularies cut a text before merging.
+BYTE_LEVEL_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts with a run as long without, or of, white space are left to the tokenizers library, whose time does not grow with the square of a run.
+LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
+
+
 class ByteBpe:
-    """A byte-level BPE of the tokenizers library; strings of special tokens are plain text."""
+    """A byte-level BPE of the tokenizers library; strings of special tokens are plain text.
+
+    Where the file says no more than the usual cuts and merges in the order of their ids, tiktoken encodes with the file's own tokens: it gives the same ids several times faster.
+    """
 
     def __init__(self, path: str):
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -41,8 +53,22 @@ class ByteBpe:
         self.bytes = [b""] * self.tokenizer.get_vocab_size()
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = bytes(to_byte[c] for c in token) if all(c in to_byte for c in token) else token.encode()
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        model, cut = told["model"], told.get("pre_tokenizer") or {}
+        vocab = model.get("vocab", {})
+        parts = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+        plain = not told.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not model.get("dropout") and not model.get("ignore_merges")
+        plain = plain and len(vocab) >= 256 + len(parts) and all(vocab.get("".join(m)) == 256 + k for k, m in enumerate(parts))
+        ranks = {self.bytes[i]: i for i in range(256 + len(parts))} if plain else {}
+        self.fast = Encoding("own", pat_str=BYTE_LEVEL_CUTS, mergeable_ranks=ranks, special_tokens={}) if plain and len(ranks) == 256 + len(parts) else None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        if self.fast is not None:
+            return [self.library([t])[0] if LONG_RUN.search(t) else self.fast.encode_ordinary(" " + t) for t in texts]
+        return self.library(texts)
+
+    def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
@@ -61,19 +87,20 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-def written(ids: np.ndarray, ends: np.ndarray) -> str:
-    """Decimal ids, each followed by its character of ``ends`` (0 for none)."""
-    shown = np.empty((len(ids), 11), np.uint8)
-    rest, keep = ids.astype(np.int64), np.ones((len(ids), 11), bool)
-    for k in range(9, -1, -1):
-        shown[:, k] = rest % 10 + 48
-        keep[:, k] = (rest > 0) | (k == 9)
-        rest = rest // 10
-        if not rest.any():
-            keep[:, :k] = False
-            break
-    shown[:, 10], keep[:, 10] = ends, ends > 0
-    return shown[keep].tobytes().decode()
+def digits(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(characters, which of them count) of every number up to ``most`` in decimal, and a place for what follows it."""
+    width = len(str(most))
+    rest = np.arange(most + 1)[:, None] // 10 ** np.arange(width - 1, -1, -1)[None, :]
+    shown, keep = np.zeros((most + 1, width + 1), np.uint8), np.ones((most + 1, width + 1), bool)
+    shown[:, :-1], keep[:, :-2] = rest % 10 + 48, rest[:, :-1] > 0
+    return shown, keep
+
+
+def written(ids: np.ndarray, ends: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> str:
+    """Decimal ids, each followed by its character of ``ends``, the last one by none."""
+    shown = table[0][ids]
+    shown[:, -1] = ends
+    return shown[table[1][ids]].tobytes()[:-1].decode()
 
 
 class Alignment:
@@ -82,11 +109,12 @@ class Alignment:
     def __init__(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray):
         self.a, self.b = a, b
         ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
-        cuts = np.intersect1d(ends_a, ends_b)
-        self.n_groups, self.group_a, self.group_b = len(cuts), np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        common = ends_b[np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)] == ends_a
+        cuts = ends_a[common]
+        self.n_groups, self.group_a, self.group_b = len(cuts), np.cumsum(common) - common, np.searchsorted(cuts, ends_b)
         self.n_a, self.n_b = np.bincount(self.group_a, minlength=len(cuts)), np.bincount(self.group_b, minlength=len(cuts))
 
-    def text(self) -> str:
+    def text(self, table: tuple[np.ndarray, np.ndarray]) -> str:
         """``a1,a2|b1;a3|b2,b3``: the ids of each group, side by side."""
         n = len(self.a) + len(self.b)
         ids, ends = np.empty(n, np.int64), np.full(n, ord(","), np.uint8)
@@ -95,8 +123,7 @@ class Alignment:
         close = np.cumsum(self.n_a + self.n_b)
         ends[close - self.n_b - 1] = ord("|")
         ends[close - 1] = ord(";")
-        ends[-1:] = 0
-        return written(ids, ends)
+        return written(ids, ends, table)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """(distinct packed pairs a << 32 | b that share a group, how often each is linked). Of a large group its distinct ids are paired, with how often they occur."""
@@ -159,6 +186,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = ByteBpe(path_a), Pieces(path_b)
         size_a, size_b = (np.array([len(x) for x in side.bytes]) for side in (one, two))
+        table = digits(max(len(size_a), len(size_b)) - 1)
         none = (0, 0, 0, "", pack(np.zeros(0, np.int64)), pack(np.zeros(0, np.int64)))
 
         def align(text: str, a: list[int], b: list[int]) -> tuple:
@@ -167,7 +195,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 return none
             both = Alignment(np.array(a, np.int64), np.array(b, np.int64), size_a, size_b)
             keys, times = both.pairs()
-            return len(a), len(b), both.n_groups, both.text(), pack(keys), pack(times)
+            return len(a), len(b), both.n_groups, both.text(table), pack(keys), pack(times)
 
         try:
             for batch in batches:

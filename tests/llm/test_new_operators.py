@@ -285,6 +285,18 @@ def test_pairs_of_large_groups(seed):
     assert times.sum() == 91 * 91 and len(keys) == 4
 
 
+def test_byte_level_encoders_agree():
+    """Every code point, long runs, and random texts: the fast way gives the library's ids."""
+    bpe = alignment.ByteBpe(queries.BYTE_BPE)
+    assert bpe.fast is not None
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f" a{c}b {c} 1{c}2  {c}!{c}\n{c}" for c in every[k : k + 64]) for k in range(0, len(every), 64)]
+    rng = random.Random(6)
+    texts += ["".join(rng.choice(["the", " ", "\t", "\n", "'s", "é", "日", "😀", "1", "_", "A", "\u00a0", "\u2003"]) for _ in range(rng.randint(0, 200))) for _ in range(2000)]
+    texts += ["A" * 5000, " " * 5000 + "x", "ab" * 1500 + " c"]
+    assert bpe.encode(texts) == bpe.library(texts)
+
+
 def test_shards_are_sorted_and_looked_up(spark, docs):
     rows = alignment.aligned(docs, queries.BYTE_BPE, queries.PIECES).cache()
     shards = alignment.count_shards(rows, 1 << 16)
