@@ -10,6 +10,8 @@ COMPANY_MARKERS = [
     "股份有限公司", "有限公司", "無限公司", "兩合公司", "企業社", "實業社", "工業社", "商號", "行號", "工作室", "合作社", "產銷班", "事務所",
     "co., ltd", "co.,ltd", "co ltd", "company limited", "corporation", "corp.", "inc.", "ltd.", "llc", "gmbh",
 ]
+# Legal forms in brackets within a name.
+BRACKETED_FORM = r"[（(]\s*(股|有|無)\s*[)）]"
 # Area codes, longest first.
 AREA_CODES = ["0836", "0826", "089", "082", "049", "037", "02", "03", "04", "05", "06", "07", "08"]
 # Query parameters that only track visits, by prefix.
@@ -84,10 +86,20 @@ LABELS = {
 NO_LABELS = ["註", "備註說明", "說明", "提醒", "注意", "警告", "查詢", "搜尋", "note", "warning", "error"]
 PERSON_LABELS = ["會員代表", "代表人", "負責人", "董事長", "總經理"]
 LONGEST_LABEL, LONGEST_VALUE = 20, 500
+# CJK characters; a label before a full-width colon, or before a colon with a blank or the end behind; marks that labels are compared without.
+CJK = "㐀-䶿一-鿿豈-﫿"
+LABEL = r"(?:(?<=\s)|^)([^\s：︰:]{1,24})\s?(?:[：︰]|:(?=[ \t\r\n]|$))"
+LABEL_MARKS = r"[\s　*※•·・\-_()（）\[\]【】]"
+# Classes that rows take turns with, or that mark a place in a list: they tell nothing about what an element is.
+ALTERNATING_CLASSES = ["odd", "even", "alt", "altrow", "alternate", "stripe", "striped", "row-odd", "row-even", "first", "last", "active"]
+# What a link to the next page of a list says.
+NEXT_PAGE_WORDS = ["下一頁", "下一页", "下頁", "次頁", "更多", "next", "next page", ">", ">>", "›", "»"]
 # Words that a header of names of companies holds, and words that rule it out.
 NAME_HEADER_HINTS = ["公司", "廠商", "企業", "名稱", "company"]
 # Patterns that both Java and other engines read alike.
 EMAIL_IN_TEXT = r"[A-Za-z0-9_.+\-]+@[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]+)+"
+# A telephone number in running text: area codes in brackets may hold blanks, and an extension belongs to it.
+PHONE_WITH_EXTENSION = r"(?<![0-9])(?:\+886[\s-]?|\(\s*0[0-9]{1,3}\s*\)\s*|0)[0-9]{1,3}[\s-]?[0-9]{3,4}[\s-]?[0-9]{3,4}(?:\s*(?:#|轉|分機)\s*[0-9]{1,6})?(?![0-9])"
 PHONE_IN_TEXT = r"(?:\+886[\s-]?|\(0\d{1,2}\)|0)\d{1,3}[\s)-]?\d{3,4}[\s-]?\d{3,4}"
 EMAIL = r"^[a-z0-9!#$%&'*+/=?^_`{|}~\-]+(?:\.[a-z0-9!#$%&'*+/=?^_`{|}~\-]+)*@(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}$"
 WEBSITE = r"^https?://(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}(?::[0-9]{1,5})?(?:/[^\s]*)?$"

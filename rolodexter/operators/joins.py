@@ -66,9 +66,11 @@ def reconcile(files: DataFrame, index: DataFrame, key: str, size: str) -> DataFr
     return f.join(i, key, "full_outer").withColumn("action", action).withColumn("size", F.coalesce("file_size", "index_size"))
 
 
-def with_details(rows: DataFrame, details: DataFrame, url: str, columns: Sequence[str]) -> DataFrame:
-    """rows with blanks of the columns filled from the detail page at their address, the first of equal addresses."""
-    side = details.groupBy(F.col(url).alias("_url")).agg(*(F.first(c, ignorenulls=True).alias(f"_{c}") for c in columns))
+def with_details(rows: DataFrame, details: DataFrame, url: str, columns: Sequence[str], order: str = "seq", most: int | None = None) -> DataFrame:
+    """rows with blanks of the columns filled from the detail pages at their address: of each column the first value by ``order`` that is not blank. most: of an address only its first so many pages count."""
+    if most is not None:
+        details = details.withColumn("_place", F.row_number().over(Window.partitionBy(url).orderBy(order))).filter(F.col("_place") <= most)
+    side = details.groupBy(F.col(url).alias("_url")).agg(*(F.min_by(c, F.when(blank_to_null(c).isNotNull(), F.col(order))).alias(f"_{c}") for c in columns))
     both = rows.join(side, F.col(url) == F.col("_url"), "left")
     return both.withColumns({c: first_non_blank(c, f"_{c}") for c in columns}).select(*rows.columns)
 

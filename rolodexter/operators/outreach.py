@@ -97,16 +97,39 @@ def unsubscribed(companies: DataFrame, requests: DataFrame, mail: str = "email",
     return out.withColumn("do_not_contact", F.coalesce(F.col("do_not_contact"), F.lit(False)) | F.col("_ask").isNotNull()).drop("_ask")
 
 
+#: What stands for a field that a company lacks, the start of an address that is its city, and elements that make a template markup.
+TEMPLATE_DEFAULTS = {"company_name": "貴公司", "contact_person": "您好", "industry": "貴產業"}
+CITY = r"^[^0-9]{2,3}[縣市]"
+MARKUP = r"(?i)<(?:p|br|div|span|b|i|u|strong|em|a|ul|ol|li|h[1-6]|table|html|body|font|img)\b[^>]*>"
+
+
+def escaped(c: Column) -> Column:
+    """Text as it stands in markup."""
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(raw), F.lit(entity))
+    return c
+
+
+def template_values(columns: dict[str, Column | str]) -> dict[str, Column]:
+    """Values for rendered(): blanks get their stand-in, and a missing city is the start of the address."""
+    named = {k: blank_to_null(v) for k, v in columns.items()}
+    if "address" in named:
+        start = F.regexp_extract(F.trim(col(columns["address"])), CITY, 0)
+        named["city"] = F.coalesce(named.get("city", F.lit(None).cast("string")), F.when(start != "", start))
+    return {k: F.coalesce(v, F.lit(TEMPLATE_DEFAULTS.get(k, ""))) for k, v in named.items()}
+
+
 def rendered(template: str, values: dict[str, Column | str]) -> Column:
-    """A template with {placeholders} as one expression; values are not rendered again. Unknown placeholders are an error."""
+    """A template with {placeholders} as one expression; values are not rendered again, and are escaped where the template is markup. Unknown placeholders are an error."""
     import re
 
-    out = []
+    out, markup = [], re.search(MARKUP, template) is not None
     for k, part in enumerate(re.split(r"\{(\w+)\}", template)):
         if k % 2:
             if part not in values:
                 raise ValueError(f"unknown placeholder: {part}")
-            out.append(F.coalesce(col(values[part]).cast("string"), F.lit("")))
+            said = F.coalesce(col(values[part]).cast("string"), F.lit(""))
+            out.append(escaped(said) if markup else said)
         elif part:
             out.append(F.lit(part))
     return F.concat(*out) if out else F.lit("")

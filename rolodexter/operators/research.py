@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, text, validate
+from ..functions import dates, fixed, text, validate
 from ..functions.text import blank_to_null, col
 
 #: What a cell that says nothing holds; fields of digits, and marks between digits.
@@ -59,7 +59,7 @@ def usable_person(value: Column | str) -> Column:
 
 def usable_phone(value: Column | str) -> Column:
     """The first part of a value that is a telephone number, normalised; else the whole value if it is one."""
-    shaped = F.regexp_extract_all(F.coalesce(col(value), F.lit("")), F.lit(r"((?<![0-9])(?:\+?886[-\s]?|\(?0)[0-9]{1,3}\)?[-\s]?[0-9]{3,4}[-\s]?[0-9]{3,4}(?![0-9]))"), F.lit(1))
+    shaped = F.regexp_extract_all(F.coalesce(col(value), F.lit("")), F.lit(fixed.PHONE_WITH_EXTENSION), F.lit(0))
     tried = F.concat(shaped, F.array(col(value)))
     numbers = F.transform(tried, text.phone)
     return F.get(F.filter(numbers, lambda x: x.isNotNull() & validate.is_phone(x)), F.lit(0))

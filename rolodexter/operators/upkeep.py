@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, text
 from ..functions.text import blank_to_null, col
+from .staging import stage
 
 # Records
 
@@ -79,10 +80,16 @@ def matched_by_name(companies: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def added(rows: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
-    """rows and new ones, which get ids beyond the greatest in their own order by ``seq``; a new row's other columns go by name."""
-    most = rows.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_most"))
-    numbered = new.withColumn(id_col, F.row_number().over(Window.orderBy("seq")).cast("long")).join(F.broadcast(most)).withColumn(id_col, F.col(id_col) + F.col("_most"))
-    return rows.unionByName(numbered.drop("_most", "seq"), allowMissingColumns=True)
+    """rows and new ones, which get ids beyond the greatest in their own order by ``seq``; a new row's other columns go by name.
+
+    New rows are numbered within ranges of seq; what a range starts from is the sum of those before it, of which there are as many as partitions. No task sorts all of them.
+    """
+    most = rows.agg(F.max(id_col)).first()[0] or 0
+    ranged = stage(new.repartitionByRange("seq").withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_part").count()
+    starts = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count") + most).alias("_start"))
+    numbered = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy("seq"))).join(starts, "_part").withColumn(id_col, (F.col("_start") + F.col("_nth")).cast("long"))
+    return rows.unionByName(numbered.drop("_part", "_nth", "_start", "seq"), allowMissingColumns=True)
 
 
 def edited(rows: DataFrame, changes: DataFrame, columns: Sequence[str], id_col: str = "id") -> DataFrame:

@@ -38,6 +38,8 @@ def run_history(runs: DataFrame, source: str = "source", at: Sequence[str] = ("s
     return runs.withColumn("previous_found", F.lag(found).over(w)).withColumn("last_good", F.last(real, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
 
 
-def health(found: Column, invalid: Column, last_good: Column, judged: Column, drop: float = 0.4) -> Column:
-    """A warning about a run, or null: everything rejected, nothing after something, or a steep drop. judged: whether the run is to be judged at all."""
-    return F.when(~judged, None).when((found > 0) & (invalid >= found), "all rejected").when((found == 0) & (last_good > 0), "nothing found").when(found < last_good * drop, "steep drop")
+def health(found: Column, invalid: Column, last_good: Column, judged: Column, resumed: Column | None = None, stored: Column | None = None, drop: float = 0.4) -> Column:
+    """A warning about a run, or null: everything rejected, nothing after something, or a steep drop. judged: whether the run ended well; a resumed run does the rest only, so it is not held against the last one, but may have had everything rejected. stored: records that were new or merged."""
+    nothing = F.lit(True) if stored is None else stored == 0
+    whole = F.lit(True) if resumed is None else ~F.coalesce(resumed, F.lit(False))
+    return F.when(~judged, None).when((found > 0) & nothing & (invalid >= found), "all rejected").when(whole & (found == 0) & (last_good > 0), "nothing found").when(whole & (found < last_good * drop), "steep drop")

@@ -181,3 +181,11 @@ def backup_catalogue(t):
 @query("SELECT p_partkey, 'Dear ' || p_name || ', no {brand}' AS said FROM part")
 def rendered_templates(t):
     return t("part").select("p_partkey", outreach.rendered("Dear {name}, no {brand}", {"name": "p_name", "brand": F.lit("{brand}")}).alias("said"))
+
+
+@query("SELECT s_suppkey, '<p>' || replace(replace(s_name || ' & <' || s_suppkey || '>', '&', '&amp;'), '<', '&lt;').replace('>', '&gt;') || ', 您好, 台北市</p>' AS said FROM supplier")
+def templates_in_markup(t):
+    """Values are escaped where the template is markup; a missing person has a stand-in, a city comes from the address."""
+    k = C("s_suppkey").cast("string")
+    values = outreach.template_values({"company_name": F.concat(C("s_name"), F.lit(" & <"), k, F.lit(">")), "contact_person": F.lit(" "), "address": F.concat(F.lit("台北市大安區"), k, F.lit("號"))})
+    return t("supplier").select("s_suppkey", outreach.rendered("<p>{company_name}, {contact_person}, {city}</p>", values).alias("said"))

@@ -227,7 +227,7 @@ def previous_and_last_good_run(t):
 @query(RUNS + "SELECT source, started_at, CASE WHEN status = 'Failed' THEN NULL WHEN found > 0 AND 0 >= found THEN 'all rejected' WHEN found = 0 AND last_good > 0 THEN 'nothing found' WHEN found < last_good * 0.8 THEN 'steep drop' END AS warning FROM h")
 def health_drop(t):
     c = F.col
-    return _runs(t).select("source", "started_at", windows.health(c("found"), F.lit(0), c("last_good"), c("status") != "Failed", 0.8).alias("warning"))
+    return _runs(t).select("source", "started_at", windows.health(c("found"), F.lit(0), c("last_good"), c("status") != "Failed", drop=0.8).alias("warning"))
 
 
 @query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS p FROM events) WHERE p <= 5")
@@ -349,6 +349,13 @@ def url_host(t):
     return t("pages").select("page_id", text.website_host("url").alias("host"))
 
 
+def sql_unescaped(x: str) -> str:
+    """SQL: the entities that the pages hold, by plain replacement."""
+    for entity, said in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{said}')"
+    return x
+
+
 @query(
     "WITH p AS (SELECT page_id, regexp_extract(url, '^(https?)://([^/?#]*)([^?#]*)', 1) AS s, lower(regexp_extract(url, '^(https?)://([^/?#]*)([^?#]*)', 2)) AS h, regexp_replace(regexp_extract(url, '^(https?)://([^/?#]*)([^?#]*)', 3), '/+$', '') AS p, array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_|fbclid|gclid|mc_cid|mc_eid|_ga)')), '&') AS q FROM pages) "
     "SELECT page_id, s || '://' || h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM p"
@@ -357,12 +364,12 @@ def url_normalised(t):
     return t("pages").select("page_id", text.website("url").alias("url"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, lower(regexp_extract(substr(html, 1, 4096), '(?i)charset\\s*=\\s*[\"'']?([A-Za-z0-9_\\-]+)', 1)) AS charset FROM pages")
+@query("SELECT page_id, trim(regexp_replace(" + sql_unescaped("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + ", '\\s+', ' ', 'g')) AS title, lower(regexp_extract(substr(html, 1, 4096), '(?i)charset\\s*=\\s*[\"'']?([A-Za-z0-9_\\-]+)', 1)) AS charset FROM pages")
 def page_title_and_charset(t):
     return t("pages").select("page_id", pages.title("html").alias("title"), pages.charset("html").alias("charset"))
 
 
-LINKS = "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)) AS href FROM pages) "
+LINKS = "WITH l AS (SELECT page_id, " + sql_unescaped("unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1))") + " AS href FROM pages) "
 
 
 @query(LINKS + "SELECT page_id, href, count(*) AS n FROM l GROUP BY 1, 2")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, files, fixed, text, validate
 from ..operators import aggregates, ask, filters, joins, merge, outreach, research, upkeep, windows
-from ..sources import extraction, pages, tables
+from ..sources import extraction, mail, pages, tables
 from .registry import now, query, quoted
 
 C = F.col
@@ -87,10 +87,10 @@ def text_block_records(t):
     return t("part").select("p_partkey", F.try_element_at(pages.text_record(said)["fields"], F.lit("company_name")).alias("name"))
 
 
-@query("SELECT p_partkey, " + sql_pick("p_partkey", "company_name", "contact_person", "english_name", "phone") + " AS field FROM part")
+@query("SELECT p_partkey, " + sql_pick("p_partkey", "company_name", "contact_person", "english_name", "phone", "company_name", "company_name", "products", "phone", "company_name", "none", "remark") + " AS field FROM part")
 def header_fields(t):
-    headers = pick(C("p_partkey"), "公司名稱 Company", "負責人 name", "Company Name (English)", "TEL")
-    return t("part").select("p_partkey", tables.field_of(headers).alias("field"))
+    headers = pick(C("p_partkey"), "公司名稱 Company", "負責人 name", "Company Name (English)", "TEL", "公司行號", "客戶名稱", "主要產品", "電 話", "工廠名稱", "東海精機股份有限公司", "備註")
+    return t("part").select("p_partkey", F.coalesce(tables.field_of(headers), F.lit("none")).alias("field"))
 
 
 @query("SELECT r_regionkey, 'SINCE 25-Jan-2024' AS since FROM region")
@@ -107,12 +107,13 @@ def stage_history(t):
     return upkeep.stage_changes(rows, F.lit("Replied"), now())[1].select("company_id", "kind", "body")
 
 
-BOUNCED = "WITH c AS (SELECT c_custkey AS id, 'C' || c_custkey % 500 || '@B.tw' AS email FROM customer), b AS (SELECT 'c' || s_suppkey || '@b.tw' AS address, s_suppkey % 2 = 0 AS hard FROM supplier WHERE s_suppkey < 500) "
+BOUNCED = "WITH c AS (SELECT c_custkey AS id, 'C' || c_custkey % 500 || '@B.tw' AS email FROM customer), b AS (SELECT 'c' || s_suppkey % 1000 || '@b.tw' AS address, bool_or(s_suppkey % 2 = 0) AS hard FROM supplier GROUP BY 1) "
 
 
 def _bounces(t):
     rows = t("customer").select(C("c_custkey").alias("id"), F.concat(F.lit("C"), (C("c_custkey") % 500).cast("string"), F.lit("@B.tw")).alias("email"), F.lit("Valid").alias("email_verdict"))
-    b = t("supplier").filter("s_suppkey < 500").select(F.concat(F.lit("c"), C("s_suppkey").cast("string"), F.lit("@b.tw")).alias("address"), (C("s_suppkey") % 2 == 0).alias("hard"), F.lit("5.1.1").alias("reason"))
+    b = t("supplier").select(F.concat(F.lit("c"), (C("s_suppkey") % 1000).cast("string"), F.lit("@b.tw")).alias("address"), (C("s_suppkey") % 2 == 0).alias("hard"), C("s_suppkey").cast("string").alias("uid"), F.lit("").alias("code"), F.lit("5.1.1").alias("reason"))
+    b = mail.worst(b).select("address", "hard", "reason")
     return upkeep.bounces_applied(rows, b, now())
 
 
@@ -426,17 +427,40 @@ def company_markers(t):
 
 @query("SELECT c_custkey, name, segment FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'detail ' || c_custkey END AS name, coalesce(CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END, CASE WHEN c_custkey % 5 < 4 THEN 'from page' END) AS segment FROM customer)")
 def detail_pages_merged(t):
-    """A list's rows with what their detail pages add to blanks; every fifth row has no page."""
+    """A list's rows with what their detail pages add to blanks, the first that is not blank in order; every fifth row has no page."""
     k = C("c_custkey")
     rows = t("customer").select("c_custkey", F.when(k % 2 == 0, C("c_name")).otherwise(F.when(k % 5 == 4, F.concat(F.lit("detail "), k.cast("string"))).otherwise(" ")).alias("name"), F.when(k % 3 > 0, C("c_mktsegment")).alias("segment"), F.concat(F.lit("/d/"), k.cast("string")).alias("url"))
-    details = t("customer").filter("c_custkey % 5 < 4").select(F.concat(F.lit("/d/"), k.cast("string")).alias("url"), F.concat(F.lit("detail "), k.cast("string")).alias("name"), F.lit("from page").alias("segment"))
-    return joins.with_details(rows, details, "url", ["name", "segment"]).select("c_custkey", "name", "segment")
+    details = t("customer").filter("c_custkey % 5 < 4").select(F.concat(F.lit("/d/"), k.cast("string")).alias("url"), F.concat(F.lit("detail "), k.cast("string")).alias("name"), F.lit("from page").alias("segment"), F.lit(2).alias("seq"))
+    blank = details.withColumns({"name": F.lit(" "), "segment": F.lit(""), "seq": F.lit(1)})
+    later = details.withColumns({"name": F.lit("later"), "segment": F.lit("later"), "seq": F.lit(3)})
+    return joins.with_details(rows, blank.unionByName(later).unionByName(details), "url", ["name", "segment"]).select("c_custkey", "name", "segment")
 
 
-@query("SELECT page_id, '/p/' || (page_id + 1) AS next FROM pages")
+@query("SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/p/' || (page_id + 1) || '?a=1&b=2' AS next FROM pages WHERE page_id % 4 < 3")
 def next_links(t):
-    html = F.concat(F.lit('<nav><a href="/p/0">Home</a> <a class="x" href="/p/'), (C("page_id") + 1).cast("string"), F.lit('">下一頁</a><a href="/z">Next steps</a></nav>'))
-    return pages.next_links(t("pages").select("page_id", html.alias("html"))).select("page_id", "next")
+    """Links are resolved against the page's own address; places of the page itself and scripts are none."""
+    k = C("page_id")
+    words = pick(k, "下一頁", "更多", "次頁", "Next steps")
+    html = F.concat(F.lit('<nav><a href="#p2">next</a><a href="/p/0">Home</a> <a class="x" href="/p/'), (k + 1).cast("string"), F.lit('?a=1&amp;b=2">'), words, F.lit('</a><a href="/z">Next steps</a><a href="JavaScript:go(2)">&gt;&gt;</a></nav>'))
+    return pages.next_links(t("pages").select("page_id", "url", html.alias("html"))).select("page_id", "next")
+
+
+@query("SELECT page_id, '02-2740' || lpad(page_id::VARCHAR, 4, '0') || '#210' AS first, '04-22' || lpad(page_id::VARCHAR, 6, '0') AS second, 'info' || page_id || '@firm.tw' AS email FROM pages")
+def contacts_in_running_text(t):
+    """Blanks in brackets, extensions, an entity for the at sign, and a tax id before a postcode, which is no number."""
+    k = lambda n: F.lpad(C("page_id").cast("string"), n, "0")
+    html = F.concat(F.lit("<p>30878408 110臺北市 (02 )2740"), k(4), F.lit("轉210</p><p>04-22"), k(6), F.lit("</p><p>info"), C("page_id").cast("string"), F.lit("&#64;firm.tw</p>"))
+    got = pages.harvested(t("pages").select("page_id", html.alias("html")))
+    return got.select("page_id", F.get("phones", F.lit(0)).alias("first"), F.get("phones", F.lit(1)).alias("second"), F.get("emails", F.lit(0)).alias("email"))
+
+
+@query("SELECT page_id, 'div' AS tag, 'card' AS class, 8 + page_id % 5 AS n FROM pages")
+def striped_lists(t):
+    """Rows that take turns with classes are one list, and beat a menu of six."""
+    k = C("page_id")
+    menu = F.lit('<ul class="menu">' + "".join(f'<li class="m"><a href="/{i}">加入會員專區 {i}</a></li>' for i in range(6)) + "</ul>")
+    rows = F.array_join(F.transform(F.sequence(F.lit(1), (8 + k % 5).cast("int")), lambda i: F.concat(F.lit('<div class="card '), F.when(i % 2 == 0, "even").otherwise("odd"), F.when(i == 1, " first").otherwise(""), F.lit('"><h3>大同'), i.cast("string"), F.lit("有限公司</h3><p>02-2700123"), (i % 10).cast("string"), F.lit("</p></div>"))), "")
+    return pages.list_blocks(pages.list_items(t("pages").select("page_id", F.concat(F.lit("<body>"), menu, rows, F.lit("</body>")).alias("html")))).select("page_id", "tag", "class", "n")
 
 
 @query("SELECT page_id, 'link' || page_id || '@b.tw' AS email, '02-27235678' AS phone FROM pages")

@@ -77,7 +77,7 @@ def _classes(page: Page, node: int) -> list[str]:
 def _css(page: Page, node: int) -> str:
     """tag.class with the first class that names something, else the tag."""
     tag = page.nodes[node][2]
-    named = [c for c in _classes(page, node) if len(c) > 1 and not c.isdigit() and not re.fullmatch(LAYOUT_CLASS, c)]
+    named = [c for c in _classes(page, node) if len(c) > 1 and not c.isdigit() and not re.fullmatch(LAYOUT_CLASS, c) and c.lower() not in fixed.ALTERNATING_CLASSES]
     return f"{tag}.{named[0]}" if named else tag
 
 
@@ -323,7 +323,7 @@ def controls(pages: DataFrame) -> DataFrame:
         a, tag = page.attributes[node], page.nodes[node][2]
         if a.get("id", "").strip():
             return f"#{a['id'].strip()}"
-        named = [c for c in _classes(page, node) if len(c) > 1 and not re.fullmatch(LAYOUT_CLASS, c)]
+        named = [c for c in _classes(page, node) if len(c) > 1 and not re.fullmatch(LAYOUT_CLASS, c) and c.lower() not in fixed.ALTERNATING_CLASSES]
         own = f"{tag}.{max(named, key=lambda c: (any(w in c.lower() for w in SUBMIT_WORDS), len(c)))}" if named else tag
         for anchor in (None, *(_anchor(page, k) for k in up(page, node))):
             wider = f"{anchor} {own}" if anchor else own

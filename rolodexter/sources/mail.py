@@ -21,6 +21,26 @@ CODE = re.compile(r"\b([245])\.(\d{1,3})\.(\d{1,3})\b")
 DELIVERED = {"delivered", "relayed", "expanded"}
 
 
+def read(part: email.message.Message) -> str:
+    """The text of a part; an unknown charset is read as Latin-1, as is what the declared one cannot read."""
+    data = part.get_payload(decode=True) or b""
+    try:
+        return data.decode(part.get_content_charset() or "utf-8")
+    except (LookupError, UnicodeDecodeError):
+        return data.decode("utf-8", "replace") if not part.get_content_charset() else data.decode("latin-1")
+
+
+def header(message: email.message.Message, name: str) -> str:
+    """A header's text; words in an unknown charset are read as Latin-1."""
+    out = []
+    for said, charset in email.header.decode_header(str(message.get(name) or "")):
+        try:
+            out.append(said if isinstance(said, str) else said.decode(charset or "utf-8"))
+        except (LookupError, UnicodeDecodeError):
+            out.append(said.decode("latin-1"))
+    return " ".join("".join(out).split())
+
+
 def _recipients(message: email.message.Message) -> Iterator[tuple[str, bool, str, str]]:
     """(address, hard, code, reason) of each failed recipient of a delivery report."""
     for part in message.walk():
@@ -36,7 +56,7 @@ def _recipients(message: email.message.Message) -> Iterator[tuple[str, bool, str
 
 def _mentioned(message: email.message.Message) -> Iterator[tuple[str, bool, str, str]]:
     """The same out of the plain text of a report without a status part; the caller keeps addresses that were written to only."""
-    body = "\n".join(p.get_payload(decode=True).decode(p.get_content_charset() or "utf-8", "replace") for p in message.walk() if p.get_content_type() == "text/plain" and p.get_payload(decode=True))
+    body = "\n".join(read(p) for p in message.walk() if p.get_content_type() == "text/plain" and not p.is_multipart())
     code = CODE.search(body)
     line = next((x for x in body.splitlines() if code and code[0] in x), "")
     for who in dict.fromkeys(x.lower() for x in re.findall(fixed.EMAIL_IN_TEXT, body)):
@@ -52,8 +72,8 @@ def bounces(messages: DataFrame, sent: DataFrame) -> DataFrame:
             rows = []
             for uid, raw in zip(batch["uid"], batch["raw"], strict=True):
                 m = email.message_from_bytes(raw or b"", policy=email.policy.compat32)
-                subject = str(email.header.make_header(email.header.decode_header(m.get("Subject") or "")))
-                sender, kind = (m.get("From") or "").lower(), m.get_content_type()
+                subject = header(m, "Subject")
+                sender, kind = header(m, "From").lower(), m.get_content_type()
                 if re.search("mailer-daemon|postmaster", sender) or kind == "multipart/report" or re.search(r"undeliver|delivery status|returned mail|退信", subject, re.IGNORECASE):
                     reported = any(p.get_content_type() == "message/delivery-status" for p in m.walk())
                     found = list(_recipients(m) if reported else _mentioned(m))

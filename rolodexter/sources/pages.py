@@ -7,13 +7,15 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed, validate
-from ..functions.text import blank_to_null, col, emails, phone
+from ..functions.text import blank_to_null, col, emails, phone, unescaped
 
 #: Elements without an end tag, elements that another of their kind ends, and elements without shown text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -25,6 +27,11 @@ NO_RECORD = {"option", "optgroup", "script", "style", "template", "noscript", "m
 LEAST_ITEMS, LEAST_PLAIN_ITEMS, LONGEST_ITEM, SHORTEST_MEAN, WIDEST_SPREAD = 3, 5, 3000, 12, 8
 
 
+def shared_classes(said: str | None) -> str:
+    """The classes that members of a list share, sorted: those that rows only take turns with are left out."""
+    return " ".join(sorted(c for c in (said or "").split() if c.lower() not in fixed.ALTERNATING_CLASSES))
+
+
 class Tree(HTMLParser):
     """Nodes of one page: [id, parent, tag, class, href, first text, end of texts, last node]; a node's text is texts[first:end] and its subtree the ids up to its last node."""
 
@@ -45,7 +52,7 @@ class Tree(HTMLParser):
         if tag in SELF_ENDING and self.open and self.nodes[self.open[-1]][2] == tag:
             self._close(len(self.open) - 1)
         a = dict(attrs)
-        self.nodes.append([len(self.nodes), self.open[-1] if self.open else -1, tag, " ".join(sorted((a.get("class") or "").split())), a.get("href"), len(self.texts), len(self.texts), len(self.nodes)])
+        self.nodes.append([len(self.nodes), self.open[-1] if self.open else -1, tag, shared_classes(a.get("class")), a.get("href"), len(self.texts), len(self.texts), len(self.nodes)])
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
             self.hidden += tag in HIDDEN
@@ -116,7 +123,7 @@ def list_items(pages: DataFrame, least: int = 3) -> DataFrame:
 
 
 def title(html: Column | str) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_extract(col(html), r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    return F.trim(F.regexp_replace(unescaped(F.regexp_extract(col(html), r"(?is)<title[^>]*>(.*?)</title>", 1)), r"\s+", " "))
 
 
 def charset(html: Column | str) -> Column:
@@ -126,16 +133,33 @@ def charset(html: Column | str) -> Column:
 
 def shown_text(html: Column | str) -> Column:
     out = F.regexp_replace(col(html), r"(?is)<!--.*?-->|<(script|style|noscript|template|svg|canvas)\b.*?</\1\s*>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(out, r"(?s)<[^>]*>", " ")), r"(?U)\s+", " "))
 
 
 def links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, href) of each link, in order."""
     found = F.regexp_extract_all("html", F.lit(r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
-    return pages.select("page_id", F.posexplode(found).alias("pos", "href"))
+    return pages.select("page_id", F.posexplode(found).alias("pos", "href")).withColumn("href", unescaped("href"))
+
+
+NEXT_WORDS = r"(?i)^\s*(?:" + "|".join(re.escape(w) for w in fixed.NEXT_PAGE_WORDS) + r")\s*$"
+
+
+@F.pandas_udf(T.StringType())
+def _resolved(bases: pd.Series, links: pd.Series) -> pd.Series:
+    def one(base: str | None, link: str | None) -> str | None:
+        try:
+            return None if link is None else urljoin(base or "", link)
+        except ValueError:  # no address at all
+            return None
+
+    return pd.Series([one(b, x) for b, x in zip(bases, links, strict=True)], dtype=object)
 
 
-NEXT_WORDS = r"(?i)^\s*(?:下一頁|下頁|下一页|next|next page|>|>>|›|»)\s*$"
+def resolved(base: Column | str, link: Column | str) -> Column:
+    """The absolute address of a link on a page at ``base``; absolute links stay in the JVM's expression, what cannot be resolved is null."""
+    whole = col(link).rlike("^[A-Za-z][A-Za-z0-9+.-]*://")
+    return F.when(whole, col(link)).otherwise(_resolved(col(base), F.when(~whole, col(link))))
 
 
 def anchors(pages: DataFrame) -> DataFrame:
@@ -143,22 +167,25 @@ def anchors(pages: DataFrame) -> DataFrame:
     tags = F.regexp_extract_all("html", F.lit(r"(?is)(<a\b[^>]*>.*?</a\s*>)"), F.lit(1))
     one = pages.select("page_id", F.posexplode(tags).alias("pos", "a"))
     attr = lambda name: F.regexp_extract("a", rf"(?is)^<a\b[^>]*?\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
-    return one.select("page_id", "pos", attr("href").alias("href"), F.lower(attr("rel")).alias("rel"), F.trim(F.regexp_replace("a", r"(?s)<[^>]*>", "")).alias("label"))
+    label = unescaped(F.regexp_replace("a", r"(?s)<[^>]*>", ""))
+    return one.select("page_id", "pos", F.trim(unescaped(attr("href"))).alias("href"), F.lower(attr("rel")).alias("rel"), F.trim(F.regexp_replace(label, r"(?U)\s+", " ")).alias("label"))
 
 
 def next_links(pages: DataFrame) -> DataFrame:
-    """(page_id, next): where a page says that the list goes on: by rel, else by the words of the link; the first."""
-    found = anchors(pages).filter((F.col("rel") == "next") | F.col("label").rlike(NEXT_WORDS)).filter("href <> '' and href not like 'javascript:%' and href <> '#'")
-    return found.groupBy("page_id").agg(F.min(F.struct((F.col("rel") != "next").alias("by_word"), "pos", "href"))["href"].alias("next"))
+    """(page_id, next): where a page says that the list goes on, as an absolute address: by rel, else by the words of the link; the first. Places of the page itself and scripts are none. pages with url; without, links stay as they are."""
+    found = anchors(pages).filter((F.col("rel") == "next") | F.col("label").rlike(NEXT_WORDS)).filter("href <> '' and lower(href) not like 'javascript:%' and href not like '#%'")
+    first = found.groupBy("page_id").agg(F.min(F.struct((F.col("rel") != "next").alias("by_word"), "pos", "href"))["href"].alias("next"))
+    if "url" not in pages.columns:
+        return first
+    return first.join(pages.select("page_id", "url"), "page_id").select("page_id", resolved("url", "next").alias("next"))
 
 
 def harvested(pages: DataFrame) -> DataFrame:
     """pages with emails and phones: those of links first, then those of the text, each once."""
     shown = shown_text("html")
-    linked = lambda kind: F.regexp_extract_all("html", F.lit(rf"(?i)href\s*=\s*[\"']{kind}:([^\"'?]*)"), F.lit(1))
+    linked = lambda kind: F.regexp_extract_all(unescaped("html"), F.lit(rf"(?i)href\s*=\s*[\"']{kind}:([^\"'?]*)"), F.lit(1))
     mails = F.array_distinct(F.concat(F.transform(linked("mailto"), lambda x: F.lower(F.trim(x))), emails(shown)))
-    number = r"((?<![0-9])(?:\+?886[-\s]?|\(?0)[0-9]{1,3}\)?[-\s]?[0-9]{3,4}[-\s]?[0-9]{3,4}(?![0-9]))"
-    phones = F.array_distinct(F.transform(F.concat(linked("tel"), F.regexp_extract_all(shown, F.lit(number), F.lit(1))), phone))
+    phones = F.array_distinct(F.transform(F.concat(linked("tel"), F.regexp_extract_all(shown, F.lit(fixed.PHONE_WITH_EXTENSION), F.lit(0))), phone))
     return pages.withColumns({"emails": F.filter(mails, lambda x: x != ""), "phones": F.filter(phones, lambda x: x.isNotNull())})
 
 
@@ -206,14 +233,12 @@ def list_blocks(items: DataFrame) -> DataFrame:
     return ranked.filter("place = 1").select("page_id", "parent", "tag", "class", "n", "score")
 
 
-_CJK = "㐀-䶿一-鿿豈-﫿"
-#: A label before a full-width colon, or before a colon with a blank or the end behind, so that no address's colon counts.
-_PAIR = r"(?:(?<=\s)|^)([^\s：︰:]{1,24})\s?(?:[：︰]|:(?=[ \t\r\n]|$))"
+_CJK = fixed.CJK
 
 
 def plain_label(c: Column) -> Column:
     """A label as it is compared: no white space and marks, lower case."""
-    return F.lower(F.regexp_replace(c, r"[\s　*※•·・\-_()（）\[\]【】]", ""))
+    return F.lower(F.regexp_replace(c, fixed.LABEL_MARKS, ""))
 
 
 def tidy_value(c: Column) -> Column:
@@ -241,7 +266,7 @@ def labelled(text: Column | str) -> Column:
     as_map = lambda rows, by: F.map_from_entries(F.transform(rows, lambda p: F.struct(p[by].alias("k"), p["value"].alias("v"))))
 
     def cut(x: Column) -> Column:
-        return F.struct(F.regexp_extract_all(x, F.lit(_PAIR), F.lit(1)).alias("labels"), F.split(x, _PAIR, -1).alias("values"))
+        return F.struct(F.regexp_extract_all(x, F.lit(fixed.LABEL), F.lit(1)).alias("labels"), F.split(x, fixed.LABEL, -1).alias("values"))
 
     def paired(c: Column) -> Column:
         pairs = F.transform(c["labels"], lambda k, i: F.struct(k.alias("label"), plain_label(k).alias("plain"), tidy_value(F.get(c["values"], i + 1)).alias("value")))

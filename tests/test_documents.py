@@ -85,7 +85,7 @@ def test_snapshots(spark, tmp_path):
 
 def test_best_sheet_and_preview(spark):
     cells = spark.createDataFrame(
-        [("f", "s1", 0, ["公司", "備註"]), ("f", "s1", 1, ["甲", "x"]), ("f", "s2", 0, ["公司", "電話"]), ("f", "s2", 1, ["乙", "1"]), ("f", "s2", 2, ["丙", "2"])], tables.CELLS
+        [("f", "s1", 0, ["公司", "欄位"]), ("f", "s1", 1, ["甲", "x"]), ("f", "s2", 0, ["公司", "電話"]), ("f", "s2", 1, ["乙", "1"]), ("f", "s2", 2, ["丙", "2"])], tables.CELLS
     )
     best = documents.best_sheet(tables.records(cells))
     assert {r["sheet"] for r in best.collect()} == {"s2"}

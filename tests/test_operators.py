@@ -66,12 +66,12 @@ def test_rendered_values_are_not_rendered_again(spark):
 
 
 def test_delimited_and_workbook(spark, tmp_path):
-    (tmp_path / "a.csv").write_bytes("名冊,,\n公司名稱;電話;備考\n".replace(";", ",").encode("cp950") + "大同公司,02-1,好\n,,\n聲寶\n".encode("cp950"))
+    (tmp_path / "a.csv").write_bytes("名冊,,\n公司名稱;電話;備考\n".replace(";", ",").encode("cp950") + "東嶼公司,02-1,好\n,,\n聲寶\n".encode("cp950"))
     sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>company</t></is></c><c r="C1" t="inlineStr"><is><t>email</t></is></c></row><row r="2"><c r="A2" t="inlineStr"><is><t>Acme</t></is></c><c r="C2" t="inlineStr"><is><t>a@b.tw</t></is></c></row></sheetData></worksheet>'
     with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
         z.writestr("xl/worksheets/sheet1.xml", sheet)
     got = tables.records(tables.cells(spark, f"file://{tmp_path}")).orderBy("path", "line").collect()
-    assert [r["fields"] for r in got] == [{"company_name": "大同公司", "phone": "02-1"}, {"company_name": "聲寶"}, {"company_name": "Acme", "email": "a@b.tw"}]
+    assert [r["fields"] for r in got] == [{"company_name": "東嶼公司", "phone": "02-1"}, {"company_name": "聲寶"}, {"company_name": "Acme", "email": "a@b.tw"}]
     assert got[0]["extra"] == {"備考 3": "好"}
 
 
@@ -89,13 +89,13 @@ def test_list_blocks(spark):
 
 
 def test_labels(spark):
-    said = "  Head line\nTel︰ 02-1 FAX： 03-2\n負責人: 主席 王小明 Mr. Wang\n見 http://a.b:80/x\nTel: 04\nNote: no\n色：紅"
+    said = "  Head line\nTel︰ 02-1 FAX： 03-2\n負責人: 主席 林水秀 Mr. Wang\n見 http://a.b:80/x\nTel: 04\nNote: no\n色：紅"
     got, none = (r["m"] for r in spark.createDataFrame([(said,), (None,)], "t string").select(pages.labelled("t").alias("m")).collect())
     assert got["heading"] == "Head line" and got["extra"] == {"Tel": "04", "色": "紅"}
-    assert got["fields"] == {"phone": "02-1", "fax": "03-2", "contact_person": "主席 王小明"} or got["fields"]["contact_person"].startswith("主席 王小明")
+    assert got["fields"] == {"phone": "02-1", "fax": "03-2", "contact_person": "主席 林水秀"} or got["fields"]["contact_person"].startswith("主席 林水秀")
     assert none["heading"] == "" and none["fields"] == {}
-    kept = [r["r"] for r in spark.createDataFrame([("大同\n電話： 1 傳真： 2",), ("電話： 1",)], "t string").select(pages.text_record("t").alias("r")).collect()]
-    assert kept[0]["fields"] == {"company_name": "大同", "phone": "1", "fax": "2"} and kept[1] is None
+    kept = [r["r"] for r in spark.createDataFrame([("東嶼\n電話： 1 傳真： 2",), ("電話： 1",)], "t string").select(pages.text_record("t").alias("r")).collect()]
+    assert kept[0]["fields"] == {"company_name": "東嶼", "phone": "1", "fax": "2"} and kept[1] is None
 
 
 def test_export(spark):
@@ -184,8 +184,8 @@ def test_replies_find_their_company(spark):
 def test_signature(spark):
     from rolodexter.sources import mail
 
-    row = spark.createDataFrame([("Hi\n--\nWang\nSales Manager\nAcme Co., Ltd.\nTel: 02-27231234\nwww.acme.tw",)], "b string").select(mail.signature("b").alias("s")).first()["s"]
-    assert row.asDict() == {"company": "Acme Co., Ltd.", "title": "Sales Manager", "phone": "02-27231234", "url": "www.acme.tw"}
+    row = spark.createDataFrame([("Hi\n--\nWang\nSales Manager\nAcme Co., Ltd.\nTel: 02-25816407\nwww.acme.tw",)], "b string").select(mail.signature("b").alias("s")).first()["s"]
+    assert row.asDict() == {"company": "Acme Co., Ltd.", "title": "Sales Manager", "phone": "02-25816407", "url": "www.acme.tw"}
 
 
 def test_sequential_upsert_equals_one_long_replay(spark):
@@ -371,7 +371,7 @@ def test_rules(spark):
 def test_site_contacts(spark):
     from rolodexter.sources.extraction import site_contacts
 
-    rows = spark.createDataFrame([("https://www.firm.tw/a", "wang@firm.tw info@firm.tw x@other.tw"), ("http://b.tw", "8eb368c655b84e029ed79ad7a5c1718e@sentry.io z@mail.tw")], "url string, text string")
+    rows = spark.createDataFrame([("https://www.firm.tw/a", "wang@firm.tw info@firm.tw x@other.tw"), ("http://b.tw", "0f3c5a7b9d1e4c2f8a6b0d4e7f9c1b35@sentry.io z@mail.tw")], "url string, text string")
     assert {r["host"]: r["email"] for r in site_contacts(rows, "url", "text").collect()} == {"firm.tw": "info@firm.tw", "b.tw": "z@mail.tw"}
 
 
@@ -382,17 +382,17 @@ def test_cleaning(spark):
     row = lambda k, **v: tuple([k] + [v.get(c) for c in records.RAW])
     raw = spark.createDataFrame(
         [
-            row(1, company_name="　大同股份有限公司 ", email="Info@Tatung.COM.tw", phone="+886 2 25925252", website="www.tatung.com", tax_id="２２０９９１３１", address="104 台北市 中山區", fax="x"),
+            row(1, company_name="　東嶼股份有限公司 ", email="Info@Tatung.COM.tw", phone="+886 2 24417730", website="www.tatung.com", tax_id="４８６１３００３", address="104 台北市 中山區", fax="x"),
             row(2, company_name=" "),
             row(3, company_name="如何選擇工廠？", website="a.tw"),
-            row(4, company_name="Acme Ltd", email="8eb368c655b84e029ed79ad7a5c1718e@sentry.io", phone="12", tax_id="99999999"),
+            row(4, company_name="Acme Ltd", email="0f3c5a7b9d1e4c2f8a6b0d4e7f9c1b35@sentry.io", phone="12", tax_id="99999999"),
         ],
         ", ".join(f"{c} {'int' if c == 'id' else 'string'}" for c in cols),
     )
     mx = spark.createDataFrame([("tatung.com.tw", True)], "domain string, has_mx boolean")
     got = {r["id"]: r for r in records.cleaned(raw, mx=mx).collect()}
     a = got[1]
-    assert (a["company_name"], a["name_key"], a["dedupe_key"], a["email"], a["phone"], a["website"], a["address"], a["fax"], a["email_verdict"], a["rejected"]) == ("大同股份有限公司", "大同", "tax:22099131", "info@tatung.com.tw", "02-25925252", "https://www.tatung.com", "台北市中山區", None, "Valid", None)
+    assert (a["company_name"], a["name_key"], a["dedupe_key"], a["email"], a["phone"], a["website"], a["address"], a["fax"], a["email_verdict"], a["rejected"]) == ("東嶼股份有限公司", "東嶼", "tax:48613003", "info@tatung.com.tw", "02-24417730", "https://www.tatung.com", "台北市中山區", None, "Valid", None)
     assert got[2]["rejected"] == "no usable name" and got[3]["rejected"] == "name is a headline"
     assert (got[4]["email"], got[4]["phone"], got[4]["tax_id"], got[4]["dedupe_key"], got[4]["email_verdict"]) == (None, None, "99999999", "n:acme", "Empty")
 
