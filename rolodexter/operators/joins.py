@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,10 +27,48 @@ def with_children(parents: DataFrame, children: DataFrame, key: str, child_key:
     return parents.join(numbered, F.col(key) == F.col("_key"), "left").drop("_key")
 
 
-def first_match(rows: DataFrame, targets: DataFrame, keys: Sequence[tuple[str, str]], row_id: str = "id", target_id: str = "id") -> DataFrame:
-    """(row_id, target_id, rank): for each row the target of its strongest key. keys: (row column, target column), the strongest first; blanks never match; the smallest target id wins ties."""
+#: Characters of the keys by which a part is looked for in a whole: of parts as long, and of shorter ones.
+LONG_PART, SHORT_PART = 8, 3
+
+
+@dataclass(frozen=True)
+class Within:
+    """A key of first_match(): the row's ``part`` occurs in the target's ``whole``, in any case, where all columns of ``equal`` (row column, target column) agree."""
+
+    part: str
+    whole: str
+    equal: tuple[tuple[str, str], ...] = ()
+
+
+def part_matches(rows: DataFrame, targets: DataFrame, key: Within, row_id: str, target_id: str) -> DataFrame:
+    """(row_id, target_id): for each row the smallest target whose whole holds its part.
+
+    Distinct parts meet distinct wholes, not rows: by the equal columns and the first LONG_PART characters of a part, which are one of the substrings of that length of a whole; parts that are shorter go by
+    SHORT_PART characters, parts shorter than that by themselves. Then the whole is looked at. All joins are on equal keys.
+    """
+    names = [f"_e{i}" for i in range(len(key.equal))]
+    text = lambda c: blank_to_null(F.col(c).cast("string"))
+    mine = rows.select(F.col(row_id).alias("row_id"), F.lower(text(key.part)).alias("_part"), *(text(m).alias(n) for (m, _), n in zip(key.equal, names, strict=True)))
+    mine = mine.filter(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in ["_part", *names])))
+    theirs = targets.select(F.col(target_id).alias("target_id"), F.lower(text(key.whole)).alias("_whole"), *(text(t).alias(n) for (_, t), n in zip(key.equal, names, strict=True)))
+    theirs = theirs.filter(F.col("_whole").isNotNull()).groupBy("_whole", *names).agg(F.min("target_id").alias("target_id"))
+    size = F.when(F.length("_part") >= LONG_PART, LONG_PART).when(F.length("_part") >= SHORT_PART, SHORT_PART).otherwise(F.length("_part"))
+    parts = mine.select("_part", *names).distinct().withColumn("_key", F.substring(F.col("_part"), F.lit(1), size))
+    grams = lambda n: F.when(F.length("_whole") >= n, F.transform(F.sequence(F.lit(1), F.length("_whole") - n + 1), lambda i: F.substring(F.col("_whole"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    lengths = [LONG_PART, *range(1, SHORT_PART + 1)]
+    wholes = theirs.select("target_id", "_whole", *names, F.explode(F.array_distinct(F.concat(*map(grams, lengths)))).alias("_key"))
+    found = parts.join(wholes, ["_key", *names]).filter(F.contains("_whole", F.col("_part"))).groupBy("_part", *names).agg(F.min("target_id").alias("target_id"))
+    return mine.join(found, ["_part", *names]).select("row_id", "target_id")
+
+
+def first_match(rows: DataFrame, targets: DataFrame, keys: Sequence[tuple[str, str] | Within], row_id: str = "id", target_id: str = "id") -> DataFrame:
+    """(row_id, target_id, rank): for each row the target of its strongest key. keys: (row column, target column), or Within for what occurs in a column, the strongest first; blanks never match; the smallest target id wins ties."""
     edges = []
-    for rank, (mine, theirs) in enumerate(keys):
+    for rank, key in enumerate(keys):
+        if isinstance(key, Within):
+            edges.append(part_matches(rows, targets, key, row_id, target_id).withColumn("rank", F.lit(rank)))
+            continue
+        mine, theirs = key
         left = rows.select(F.col(row_id).alias("row_id"), blank_to_null(F.col(mine).cast("string")).alias("_k")).filter("_k is not null")
         right = targets.select(F.col(target_id).alias("target_id"), blank_to_null(F.col(theirs).cast("string")).alias("_k")).groupBy("_k").agg(F.min("target_id").alias("target_id"))
         edges.append(left.join(right, "_k").select("row_id", "target_id", F.lit(rank).alias("rank")))
