@@ -58,7 +58,13 @@ def _both(op: str, parts: list[Query]) -> Query:
 
 
 def _grams(text: str) -> Query:
-    return _both("and", [("tri", text[i : i + 3]) for i in range(len(text) - 2)])
+    data = text.encode("utf-8", "surrogatepass")
+    return _both("and", [("tri", data[i : i + 3]) for i in range(len(data) - 2)])
+
+
+def _folded(code: int) -> str:
+    """A character as the index holds it: only A-Z change."""
+    return chr(code + 32) if 65 <= code <= 90 else chr(code)
 
 
 def _walk(items) -> tuple[set[str] | None, Query]:
@@ -76,7 +82,7 @@ def _walk(items) -> tuple[set[str] | None, Query]:
         inner: set[str] | None = None
         query: Query = True
         if op is sre_constants.LITERAL:
-            inner = {chr(arg).lower()}
+            inner = {_folded(arg)}
         elif op is sre_constants.SUBPATTERN:
             inner, query = _walk(arg[-1])
         elif op is sre_constants.BRANCH:
@@ -92,7 +98,7 @@ def _walk(items) -> tuple[set[str] | None, Query]:
             inner, query = _walk(arg[2])
             query, inner = (query if inner is None else _both("or", [_grams(x) for x in inner])), None
         elif op is sre_constants.IN and all(k is sre_constants.LITERAL for k, _ in arg) and len(arg) <= 8:
-            inner = {chr(v).lower() for _, v in arg}
+            inner = {_folded(v) for _, v in arg}
         if inner is not None and exact is not None and len(inner) * len(exact) <= MOST_EXACT:
             exact = {a + b for a in exact for b in inner}
         else:
@@ -107,12 +113,12 @@ def _walk(items) -> tuple[set[str] | None, Query]:
 
 
 def trigram_query(pattern: str) -> Query:
-    """The Boolean query on lower-case trigrams that each match of the pattern satisfies; True if there is none."""
+    """The Boolean query on trigrams of lower-case bytes that each match of the pattern satisfies; True if there is none."""
     exact, query = _walk(sre_parser.parse(pattern))
     return query if exact is None else _both("or", [_grams(x) for x in exact])
 
 
-def _terms(query: Query) -> set[str]:
+def _terms(query: Query) -> set[bytes]:
     return set() if query is True else {query[1]} if query[0] == "tri" else set().union(*(_terms(p) for p in query[1]))
 
 
@@ -124,14 +130,12 @@ def _lower(text: str) -> bytes:
 class Index:
     """Posting lists of the wanted trigrams over one batch of texts: for each trigram the sorted rows that hold it."""
 
-    def __init__(self, texts: list[bytes], terms: set[str]):
+    def __init__(self, texts: list[bytes], terms: set[bytes]):
         self.rows = np.arange(len(texts))
-        slots = np.zeros(1 << 24, np.uint8)
-        codes = {t: int.from_bytes(t.encode(), "big") for t in terms if len(t.encode()) == 3}
-        assert len(codes) == len(terms) < 256
-        for k, c in enumerate(codes.values(), 1):
-            slots[c] = k
-        self.postings = {t: [] for t in codes}
+        named = sorted(terms)
+        slots = np.zeros(1 << 24, np.uint8 if len(named) < 256 else np.uint16 if len(named) < 65536 else np.uint32)
+        slots[[int.from_bytes(t, "big") for t in named]] = np.arange(1, len(named) + 1)
+        found: list[np.ndarray] = []
         at = 0
         while at < len(texts):  # a few MB at a time
             to, n = at, 0
@@ -144,11 +148,12 @@ class Index:
             hit = slots[code]
             where = np.flatnonzero(hit)
             row = np.searchsorted(starts, where, "right") - 1 + at
-            which = hit[where]
-            for k, t in enumerate(codes, 1):
-                self.postings[t].append(np.unique(row[which == k]))
+            found.append(np.unique(hit[where].astype(np.int64) << 32 | row))
             at = to
-        self.postings = {t: np.concatenate(p) if p else self.rows[:0] for t, p in self.postings.items()}
+        # Each text is in one piece, so sorted by trigram and row the pieces' pairs are the posting lists.
+        pairs = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        cuts = np.searchsorted(pairs >> 32, np.arange(1, len(named) + 2))
+        self.postings = {t: pairs[a:b] & 0xFFFFFFFF for t, a, b in zip(named, cuts, cuts[1:], strict=False)}
 
     def candidates(self, query: Query) -> np.ndarray:
         if query is True:

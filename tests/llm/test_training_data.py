@@ -243,8 +243,22 @@ def test_secrets(spark):
 
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") is True
-    assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", (("tri", "aki"), ("tri", "kia")))
-    assert secrets._terms(secrets.trigram_query("(?i:abc|xyz1?)")) == {"abc", "xyz", "yz1"}
+    assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", (("tri", b"aki"), ("tri", b"kia")))
+    assert secrets._terms(secrets.trigram_query("(?i:abc|xyz1?)")) == {b"abc", b"xyz", b"yz1"}
+
+
+def test_rules_of_any_number_and_script(spark):
+    """Hundreds of rules, and literals beyond ASCII: spans are those of matching every text with every rule."""
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcdefghQRSTÉé密碼0123") for _ in range(5)) for _ in range(150)})
+    rules = tuple(secrets.Rule(f"k{i}", f"{w}[0-9]{{2}}", 0, 1) for i, w in enumerate(words))
+    texts = ["".join(rng.choice([rng.choice(words), "12", "7", "É", "é", " "]) for _ in range(12)) for _ in range(60)] + [None, ""]
+    assert len(set().union(*(secrets._terms(secrets.trigram_query(r.pattern)) for r in rules))) > 256
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rules).collect()}
+    for i, t in enumerate(texts):
+        want = sorted((m.start(), k, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, t or "", re.ASCII))
+        assert got[i] == [(rules[k].kind, a, b) for a, k, b in want]
+    assert sum(map(len, got.values())) > 20
 
 
 def shingle_sets(texts, width):
