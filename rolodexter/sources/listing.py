@@ -25,8 +25,9 @@ DEFAULTS = {"pagination": "none", "page_start": "1", "page_limit": "100", "pages
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the formats known to a session, and their code to its executors."""
+    """Makes the formats known to a session, and their code to its executors; Python sources may then be given filters."""
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (Listing, ListingFixture):
         spark.dataSource.register(source)
 

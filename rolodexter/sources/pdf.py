@@ -444,8 +444,8 @@ def read(data: bytes) -> list[tuple[int, int, float, float, float, float, str]]:
         raise BrokenPdf(type(e).__name__) from e
 
 
-def text_runs(spark: SparkSession, path: str, largest: int = LARGEST) -> DataFrame:
-    """RUNS of the PDFs under a path, written. A file that cannot be read, is too large, or shows no text has one row that says why, and no text."""
+def runs_of(files: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """RUNS of files (path, length, content), written. A file that cannot be read, is too large, or shows no text has one row that says why, and no text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in RUNS.split(", ")]
@@ -459,11 +459,15 @@ def text_runs(spark: SparkSession, path: str, largest: int = LARGEST) -> DataFra
                         why = f"broken: {e}"
                 yield pd.DataFrame(rows or [(path, None, None, None, None, None, None, None, why)], columns=names).astype({"page": "Int32", "nth": "Int32"})
 
-    files = spark.read.format("binaryFile").load(path).filter(F.lower("path").endswith(".pdf"))
     small = F.when(F.col("length") <= largest, F.col("content"))
     return stage(files.select("path", "length", small.alias("content")).mapInPandas(run, RUNS), "runs")
 
 
+def text_runs(spark: SparkSession, path: str, largest: int = LARGEST) -> DataFrame:
+    """runs_of() the PDFs under a path."""
+    return runs_of(spark.read.format("binaryFile").load(path).filter(F.lower("path").endswith(".pdf")), largest)
+
+
 def unread(found: DataFrame) -> DataFrame:
     """(path, why) of the files without text. found: of text_runs()."""
     return found.filter("why is not null").select("path", "why")
@@ -506,9 +510,9 @@ def tables(cells: DataFrame) -> DataFrame:
     return rows.select("path", sheet.alias("sheet"), first.cast("int").alias("line"), cells_.alias("cells"))
 
 
-def pdf_records(spark: SparkSession, path: str) -> DataFrame:
-    """(path, place, fields, extra): records of PDFs; those of text only where a file's tables give none."""
-    cells = stage(placed(text_runs(spark, path)), "cells")
+def pdf_records(found: DataFrame) -> DataFrame:
+    """(path, place, fields, extra): records of PDFs, out of text_runs(); those of text only where a file's tables give none."""
+    cells = stage(placed(found), "cells")
     of_tables = records(tables(cells)).filter(F.map_contains_key("fields", "company_name")).select("path", F.concat_ws(" ", "sheet", F.col("line").cast("string")).alias("place"), "fields", "extra")
     whole = lines(cells).groupBy("path", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
 

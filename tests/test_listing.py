@@ -21,7 +21,6 @@ def store(spark, tmp_path_factory):
     rows += [(f"http://c{c}.tw/{p}", html(100 * c + p, more=f"/{p + 1}" if p < 4 else "#top" if c == 1 else "/1")) for c in (1, 2) for p in range(1, 5)]
     spark.createDataFrame(rows, "url string, html string").repartition(3).write.parquet(path)
     listing.register(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return path
 
 

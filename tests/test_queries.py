@@ -56,6 +56,41 @@ def test_upsert_sequential_takes_every_customer(spark, sf_dir, duck):
     assert sum(1 + r["merged"] for r in got) == len(people)
 
 
+def test_upsert_with_maps_and_contacts(spark, sf_dir):
+    """The query against a replay in Python, one record after another."""
+    from test_operators import plain_upsert, shown
+
+    from rolodexter.operators import sequential
+    from rolodexter.plans import works
+    from rolodexter.plans.registry import table as read
+
+    store, batch = (sequential.complete(x) for x in works.people(lambda name: read(spark, sf_dir, name)))
+    rows = lambda df, by: [r.asDict() for r in df.orderBy(by).collect()]
+    got = plans.QUERIES["upsert_with_maps_and_contacts"](spark, sf_dir).collect()
+    want = plain_upsert(rows(store, "id"), rows(batch, "seq"))
+    assert shown(r.asDict() for r in got) == shown(want) and len(want) < len(rows(store, "id")) + len(rows(batch, "seq"))
+
+
+def test_site_exploration_walks_like_a_queue(spark, sf_dir):
+    from collections import defaultdict
+
+    from test_exploration import plain_walk
+
+    from rolodexter.plans import works
+    from rolodexter.plans.registry import table as read
+
+    starts, links, lists = works.sites(lambda name: read(spark, sf_dir, name))
+    by_page = defaultdict(list)
+    for r in links.orderBy("page", "pos").collect():
+        by_page[r["page"]].append((r["url"], r["priority"]))
+    listed = {r["page"] for r in lists.collect()}
+    got = plans.QUERIES["site_exploration"](spark, sf_dir).collect()
+    for s in starts.collect():
+        walk, more = plain_walk(s["url"], by_page, listed, [], 12, 3)
+        mine = sorted((r["nth"], r["page"], r["found"], r["more"]) for r in got if r["site"] == s["site"])
+        assert mine == [(k, page, found, more) for k, (page, found) in enumerate(walk, 1)]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
