@@ -192,7 +192,7 @@ def tables_of_files(t):
 @query("SELECT p_partkey, CASE p_partkey % 6 WHEN 3 THEN 'cut off' WHEN 4 THEN 'no JSON' WHEN 5 THEN 'no list' ELSE 'ok' END AS status, CASE WHEN p_partkey % 6 < 4 THEN p_name END AS company_name, CASE WHEN p_partkey % 6 < 4 THEN p_size || '' END AS phone FROM part, unnest(CASE WHEN p_partkey % 6 = 3 THEN [1, 2] ELSE [1] END)")
 def model_replies(t):
     """Fenced, prefaced and wrapped, single and cut-off replies of a model about each part."""
-    item = F.to_json(F.struct(C("p_name").alias("company_name"), C("p_size").alias("phone"), F.array(F.lit("{")).alias("more")))
+    item = F.to_json(F.struct(C("p_name").alias("company_name"), C("p_size").alias("phone"), F.struct(F.lit('{"').alias('x')).alias("more")))
     reply = pick(C("p_partkey"), said("```json\n[", item, "]\n```"), said('Here: {"n": 1, "list": [', item, ', 7]} that is all'), item, said('[', item, ', ', item, ', {"company_name": "cut'), F.lit("I don't know."), F.lit("17"))
     rows = t("part").select("p_partkey", reply.alias("reply"))
     found = replies.reply_items(rows, "reply", ["company_name", "phone"]).select(C("p_partkey").alias("_k"), "company_name", "phone")
