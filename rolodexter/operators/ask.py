@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import filters
@@ -90,6 +90,45 @@ def searches(question: Question, now, text_columns: Sequence[str]) -> list[filte
     return [filters.Search(**base, contains=contains | ({"address": c} if c else {})) for c in (spellings(a["city"]) if "city" in a else [""])]
 
 
+#: Names of parameters and orders as the answer says them.
+PARAMETER_LABELS = {
+    "keyword": "關鍵字", "city": "縣市", "industry": "產業", "stage": "業務階段", "tag": "標籤", "has_email": "有信箱", "never_emailed": "從沒寄過信", "created_within_days": "最近幾天加入的",
+    "follow_up_due": "該追蹤了", "order_by": "排序", "limit": "最多幾家",
+}
+ORDER_LABELS = {"lead_score": "名單品質", "updated_at": "更新時間", "created_at": "加入時間", "company_name": "公司名稱"}
+
+
+def criteria_text(question: Question) -> str:
+    """What an answer is based on, from the parameters that counted; a question without any is of the whole list."""
+    said = []
+    for name, value in question.arguments.items():
+        label = PARAMETER_LABELS.get(name, name)
+        if isinstance(value, bool):
+            said.append(label if value else f"不是「{label}」")
+        else:
+            said.append(f"{label} = {ORDER_LABELS.get(value, value) if name == 'order_by' else value}")
+    return "、".join(said) or "沒有加任何條件（整個名單）"
+
+
+def headline(question: Question, total: Column, shown: Column) -> Column:
+    """The first sentence of an answer, written from its numbers."""
+    n = total.cast("string")
+    whole = F.concat(F.lit("有 "), n, F.lit(" 家，全部列在下面。"))
+    part = F.concat(F.lit("有 "), n, F.lit(" 家，下面列出前 "), shown.cast("string"), F.lit(" 家。"))
+    counted = F.concat(F.lit("有 "), n, F.lit(" 家。"))
+    return F.when(total == 0, "符合條件的一家都沒有。").otherwise(counted if question.mode == "count" else F.when(shown < total, part).otherwise(whole))
+
+
+def answer(rows: DataFrame, question: Question, now, text_columns: Sequence[str], id_col: str = "id", tag_links: tuple[DataFrame, str, str] | None = None) -> DataFrame:
+    """One row: headline, criteria, ignored (parameters that cannot be asked), total (complete, whatever the limit) and shown."""
+    from dataclasses import replace
+
+    total = answered(rows, replace(question, mode="count"), now, text_columns, id_col, tag_links).select(F.col("n").alias("total"))
+    limit = min(max(question.arguments.get("limit", DEFAULT_LIMIT), 1), MAX_LIMIT)
+    shown = F.lit(0).cast("long") if question.mode == "count" else F.least(F.col("total"), F.lit(limit).cast("long"))
+    return total.withColumn("shown", shown).select(headline(question, F.col("total"), F.col("shown")).alias("headline"), F.lit(criteria_text(question)).alias("criteria"), F.lit("、".join(question.ignored)).alias("ignored"), "total", "shown")
+
+
 def answered(rows: DataFrame, question: Question, now, text_columns: Sequence[str], id_col: str = "id", tag_links: tuple[DataFrame, str, str] | None = None) -> DataFrame:
     """All rows that the question asks for, each once; with mode count, one row with n. The count is complete; a list is as long as asked for, 200 at most. tag_links: (table, its id column, its tag column), for questions with a tag."""
     from functools import reduce

@@ -88,6 +88,30 @@ def by_ordinal(items: DataFrame, labels: DataFrame, item_nr: str, label_nr: str,
     return items.join(first, F.col(item_nr) == F.col("_nr"), "left").drop("_nr").withColumn(label, F.coalesce(label, F.lit(default)))
 
 
+#: Kinds of candidates in the order in which they are shown.
+CANDIDATE_ORDER = {"directory": 0, "company": 1, "unjudged": 2, "unrelated": 3}
+
+
+def labelled_hits(hits: DataFrame, labels: DataFrame, query: str = "query_id", nr: str = "nr", kind: str = "kind", reason: str = "reason") -> tuple[DataFrame, DataFrame]:
+    """(hits with kind, reason and place; (query, ignored)): a model's labels put on search hits by their numbers.
+
+    Of labels for one number the first by seq counts; these others, numbers that no hit of the query has, and labels without a number are ignored and counted. Hits without a label are ``unjudged``. place: within a query, directories first, then companies,
+    unjudged ones, unrelated ones, each in the order of the hits.
+    """
+    first = labels.filter(F.col(nr).isNotNull()).groupBy(F.col(query).alias("_q"), F.col(nr).alias("_nr")).agg(F.min_by(F.struct(F.col(kind).alias("kind"), F.col(reason).alias("reason")), "seq").alias("l"))
+    both = hits.drop("kind", "reason").join(first, (F.col(query) == F.col("_q")) & (F.col(nr) == F.col("_nr")), "left")
+    known = F.lower(F.trim("l.kind"))
+    of = F.when(known.isin(list(CANDIDATE_ORDER)), known).otherwise("unjudged")
+    out = both.withColumns({"kind": F.coalesce(of, F.lit("unjudged")), "reason": F.coalesce("l.reason", F.lit(""))}).drop("_q", "_nr", "l")
+    rank = F.try_element_at(F.create_map(*(F.lit(x) for kv in CANDIDATE_ORDER.items() for x in kv)), F.col("kind"))
+    placed = out.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(rank, nr)))
+    met = hits.select(F.col(query).alias("_q"), F.col(nr).alias("_nr")).distinct()
+    said = labels.groupBy(query).agg(F.count(F.lit(1)).alias("said"))
+    used = first.select("_q", "_nr").join(met, ["_q", "_nr"], "left_semi").groupBy("_q").agg(F.count(F.lit(1)).alias("used"))
+    counts = said.join(used, F.col(query) == F.col("_q"), "left").select(query, (F.col("said") - F.coalesce("used", F.lit(0))).alias("ignored"))
+    return placed, counts
+
+
 def under_domains(rows: DataFrame, domain: str, names: DataFrame, name: str) -> DataFrame:
     """Rows whose domain is listed or lies below a listed one, by an equi join on all its suffixes: for lists of any length."""
     parts = F.split(F.lower(F.col(domain)), r"\.")
