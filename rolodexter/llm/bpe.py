@@ -7,7 +7,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import pandas as pd
@@ -60,7 +60,7 @@ class Bpe:
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.ascii_pieces = re.compile(pattern.replace(r"\s", r" \t-\r").replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"))
         self.rare, self.unassigned = re.compile("[^\0-\u024f]"), unassigned()
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.bytes_of = {c: b for b, c in enumerate(byte_letters())}
         self.letters = dict(enumerate(byte_letters()))
         # Tokens as strings of symbols; a symbol with the suffix is one character.
@@ -161,6 +161,11 @@ class Bpe:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case goes by character: no final sigma
         return self.pieces.findall(text.lower())
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's own reading of the file, loaded when a text first needs it."""
+        return Tokenizer.from_file(self.path)
+
     def newer_pieces(self, text: str) -> list[str]:
         """Pieces of a text with characters that this Python's Unicode tables lack: the library that reads the file may know them."""
         split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
