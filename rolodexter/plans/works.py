@@ -8,13 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import richtext, text
-from ..operators import connected, joins, sequential, services
+from ..functions import crypto, labels, richtext, text
+from ..operators import ask, connected, folding, joins, sequential, services
 from ..operators.staging import shared_dir, stage
 from ..sources import exploration, inbox, listing, pdf, replies, selectors, tables
 from ..sources.extraction import Rule
 from ..streaming.store import Store
-from .registry import query
+from .registry import now, query
 from .upkeep import C, pick
 
 
@@ -249,3 +249,91 @@ def export_counts(t):
     spark = rows.sparkSession
     s = services.exported(rows, fresh(spark, "export"), ["c_custkey", "c_name"], ["c_custkey"], "2024-02-01", formats=["csv", "json"], capital="capital", credit="Data: registry")
     return spark.createDataFrame([(s.rows, s.credited, len(s.paths))], "rows long, credited boolean, formats int")
+
+
+# Folding, labels, answers, encryption, names, completion, own sites
+
+
+@query(
+    "WITH k AS (SELECT s_suppkey AS id, s_suppkey // 5 * 5 AS keep, s_suppkey % 5 AS seq, CASE WHEN s_suppkey % 3 > 0 THEN s_name END AS email, CASE WHEN s_suppkey % 5 = 3 THEN s_nationkey || '' END AS fax FROM supplier) "
+    "SELECT keep AS id, arg_min(email, seq) FILTER (WHERE email IS NOT NULL) AS email, arg_min(fax, seq) FILTER (WHERE fax IS NOT NULL) AS fax, count(*) FILTER (WHERE email IS NOT NULL) AS n_extra, count(DISTINCT id % 2) AS n_tags, count(*) AS n_notes FROM k GROUP BY keep"
+)
+def folded_companies(t):
+    """Five suppliers into one: fields, maps by key, tags and children."""
+    k = C("s_suppkey")
+    name = F.when(k % 3 > 0, C("s_name"))
+    base = t("supplier").select(k.alias("id"), name.alias("email"), F.when(k % 5 == 3, C("s_nationkey").cast("string")).alias("fax"), F.create_map(said("k", k % 5), F.coalesce(name, F.lit(" "))).alias("extra"))
+    merges = t("supplier").select((F.floor(k / 5) * 5).alias("keep"), k.alias("drop"), (k % 5).alias("seq"))
+    links = t("supplier").select(k.alias("company_id"), (k % 2).cast("string").alias("tag"))
+    notes = t("supplier").select(k.alias("company_id"), C("s_name").alias("note"))
+    rows, tags, kids = folding.folded(base, merges, links, {"notes": notes}, fill=["email", "fax"])
+    count = lambda df, name: df.groupBy(C("company_id").alias("id")).agg(F.count(F.lit(1)).alias(name))
+    filled = F.size(F.map_filter("extra", lambda _, v: F.trim(v) != "")).cast("long")
+    return rows.select("id", "email", "fax", filled.alias("n_extra")).join(count(tags, "n_tags"), "id").join(count(kids["notes"], "n_notes"), "id").select("id", "email", "fax", "n_extra", "n_tags", "n_notes")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '新名單' WHEN 1 THEN '已會面' WHEN 2 THEN 'odd' ELSE '' END AS label, CASE o_orderkey % 4 WHEN 0 THEN 'New' WHEN 1 THEN 'Meeting' WHEN 2 THEN 'odd' ELSE '' END AS value FROM orders")
+def labels_and_back(t):
+    k = C("o_orderkey")
+    shown = labels.label_of(pick(k, "New", "Meeting", "odd", F.lit(None).cast("string")), "stage")
+    return t("orders").select("o_orderkey", shown.alias("label"), labels.value_of(shown, "stage").alias("value"))
+
+
+@query("SELECT '有 ' || count(*) || ' 家，下面列出前 ' || least(count(*), 3) || ' 家。' AS headline, '關鍵字 = 1、有信箱、最多幾家 = 3' AS criteria, 'colour' AS ignored, count(*) AS total, least(count(*), 3) AS shown FROM customer WHERE contains(c_name, '1') AND c_custkey % 2 = 0")
+def answer_in_words(t):
+    rows = t("customer").select(C("c_custkey").alias("id"), C("c_name").alias("company_name"), F.when(C("c_custkey") % 2 == 0, "a@b.tw").alias("email"))
+    return ask.answer(rows, ask.parsed('{"arguments": {"keyword": "1", "has_email": true, "limit": 3, "colour": "red"}}'), now(), ["company_name"])
+
+
+@query("SELECT 'customer' AS name, 2 * count(*) FILTER (WHERE c_custkey % 2 = 0) AS encrypted_values, count(*) FILTER (WHERE c_custkey % 2 = 1) AS plaintext_values, count(*) FILTER (WHERE c_custkey % 2 = 1) AS pending, true AS active, false AS unreadable FROM customer")
+def encryption_states(t):
+    """Half of the rows are converted; of the others one column is empty."""
+    key, k = b"0123456789abcdef", C("c_custkey")
+    rows = t("customer").select("c_custkey", C("c_name").alias("email"), F.when(k % 2 == 0, C("c_mktsegment")).otherwise("").alias("phone"))
+    sealed, _, _ = crypto.conversion(crypto.marked(rows.filter("c_custkey % 2 = 0"), ["email", "phone"]), key)
+    half = crypto.marked(sealed.unionByName(rows.filter("c_custkey % 2 = 1")), ["email", "phone"])
+    return crypto.states({"customer": half, "nation": t("nation")}, configured=True)
+
+
+@query("SELECT page_id AS seq, 'h' || page_id // 4 || '.tw-list' || CASE WHEN page_id % 4 + (page_id // 4 % 2) = 0 THEN '' ELSE '-' || (page_id % 4 + page_id // 4 % 2 + 1) END AS name FROM pages")
+def source_names(t):
+    """Four listings of each site; every second site has one already."""
+    k = C("page_id")
+    site = F.floor(k / 4)
+    new = t("pages").select(k.alias("seq"), said("https://www.h", site, ".tw/a/list.php?p=", k).alias("url"))
+    have = t("pages").filter((site % 2 == 1)).select(said("h", site, ".tw-list").alias("name")).distinct()
+    return folding.source_names(new, have).select("seq", "name")
+
+
+@query("SELECT o_orderkey AS query_id, l_linenumber AS nr, CASE l_linenumber WHEN 2 THEN 'directory' WHEN 1 THEN 'company' WHEN 3 THEN 'unrelated' ELSE 'unjudged' END AS kind, count(*) OVER (PARTITION BY o_orderkey) + 2 - count(*) FILTER (WHERE l_linenumber <= 3) OVER (PARTITION BY o_orderkey) AS said FROM orders JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey")
+def labels_on_hits(t):
+    """Hits of an order's lines; labels for three lines, again for the first, for one that no hit has, and for none."""
+    hits = t("lineitem").select(C("l_orderkey").alias("query_id"), C("l_linenumber").alias("nr")).distinct()
+    say = lambda nr, kind, seq: F.struct(F.lit(nr).cast("long").alias("nr"), F.lit(kind).alias("kind"), F.lit("r").alias("reason"), F.lit(seq).alias("seq"))
+    given = F.array(say(1, "Company", 0), say(2, "directory", 1), say(3, "unrelated", 2), say(1, "unrelated", 3), say(99, "company", 4), say(None, "company", 5))
+    said_ = t("orders").select(C("o_orderkey").alias("query_id"), F.inline(given))
+    placed, ignored = joins.labelled_hits(hits, said_)
+    n = placed.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    out = placed.join(ignored, "query_id").join(n, "query_id")
+    # Six labels were given; what was used is the hits among lines 1 to 3.
+    return out.select("query_id", "nr", "kind", (C("ignored") + C("n") - 4).alias("said"))
+
+
+@query(f"SELECT count(*) FILTER (WHERE c_custkey % 3 > 0) AS incomplete, count(*) FILTER (WHERE c_custkey % 3 > 0 AND c_custkey % 4 = 0) AS never_tried, count(*) FILTER (WHERE c_custkey % 3 > 0 AND c_custkey % 4 < 2) AS due, count(*) FILTER (WHERE c_custkey % 3 > 0 AND c_custkey % 4 > 1) AS waiting, count(*) FILTER (WHERE c_custkey % 3 = 1) AS without_phone, count(*) FILTER (WHERE c_custkey % 3 = 2) AS without_fax FROM customer")
+def completion_counts(t):
+    k = C("c_custkey")
+    at = pick(k, F.lit(None).cast("timestamp_ntz"), now() - F.expr("INTERVAL 40 DAY"), now() - F.expr("INTERVAL 5 DAY"), now())
+    rows = t("customer").select(k.alias("id"), F.when(k % 3 == 1, " ").otherwise(C("c_name")).alias("phone"), F.when(k % 3 == 2, "").otherwise("1").alias("fax"), at.alias("completion_checked_at"))
+    return folding.completion_counts(rows, ["phone", "fax"], now())
+
+
+@query("SELECT p_partkey AS company_id, p_partkey % 4 < 3 AS confirmed, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END AS pages_read, CASE WHEN p_partkey % 4 < 2 THEN 'sales@h' || p_partkey || '.tw' END AS email, CASE WHEN p_partkey % 4 < 3 THEN '02-2' || lpad(p_partkey::VARCHAR, 7, '0') END AS phone FROM part")
+def own_site_contacts(t):
+    """Home pages with all, with a telephone only, pages without an address, and a home page that mentions another company."""
+    k = C("p_partkey")
+    mail, tel = said("x@gmail.tw sales@h", k, ".tw"), said("電話：02-2", F.lpad(k.cast("string"), 7, "0"), " 傳真：")
+    home = said("<p>firm", F.when(k % 4 == 3, "other").otherwise(k.cast("string")), "</p> ", F.when(k % 4 == 0, mail).otherwise(""), " <p>", tel, "</p>")
+    page = lambda n, html: F.struct(F.lit(n).alias("nth"), html.alias("html"))
+    every = F.array(page(0, home), page(1, F.when(k % 4 == 1, mail).otherwise("nothing")), page(2, F.lit("nothing")), page(3, mail))
+    rows = t("part").select(k.alias("company_id"), said("firm", k).alias("name_key"), said("https://www.h", k, ".tw").alias("url"), F.inline(every))
+    return folding.own_site_contacts(rows, ["email", "phone"]).select("company_id", "confirmed", "pages_read", "email", "phone")
