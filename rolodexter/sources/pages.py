@@ -109,14 +109,17 @@ def list_items(pages: DataFrame, least: int = 3) -> DataFrame:
             rows = []
             for page, tree in _trees(batch):
                 like: dict[tuple, list[int]] = defaultdict(list)
+                heads, anchors = [0], [0]  # how many there are before each node, so that a subtree's are a difference
                 for n in tree.nodes:
+                    heads.append(heads[-1] + (n[2] in HEADS))
+                    anchors.append(anchors[-1] + (n[2] == "a"))
                     if n[1] >= 0 and n[2] not in NO_RECORD:
                         like[n[1], n[2], n[3]].append(n[0])
                 for (parent, tag, cls), members in like.items():
                     if len(members) >= least and any(tree.nodes[m][6] > tree.nodes[m][5] for m in members):
                         for m in members:
-                            tags = [n[2] for n in tree.nodes[m + 1 : tree.nodes[m][7] + 1]]
-                            rows.append((page, parent, tag, cls, m, tree.text(m), int(not HEADS.isdisjoint(tags)), tags.count("a")))
+                            end = tree.nodes[m][7] + 1
+                            rows.append((page, parent, tag, cls, m, tree.text(m), int(heads[end] > heads[m + 1]), anchors[end] - anchors[m + 1]))
             yield pd.DataFrame(rows, columns=["page_id", "parent", "tag", "class", "node", "text", "heads", "anchors"])
 
     return pages.select("page_id", "html").mapInPandas(run, ITEMS)
