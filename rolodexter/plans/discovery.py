@@ -209,9 +209,14 @@ def export_json_lines(t):
     return export.json_lines(rows, ["s_suppkey", "s_name", "note"], "2024-02-01T00:00:00", ["s_suppkey"], "open data").select("part", "line")
 
 
-@query("SELECT * FROM (VALUES (0, 'company_name', '公司名稱'), (1, 'tax_id', '統一編號'), (2, 'email', '電子信箱'), (3, 'phone', '聯絡電話'), (4, 'fax', '傳真'), (5, 'website', '網址'), (6, 'address', '公司地址'), (7, 'industry', '產業別'), (8, 'contact_person', '聯絡人'), (9, 'english_name', '英文名稱')) AS v(pos, field, header)")
+@query("SELECT c_custkey, unnest([0, 1, 6, 9]) AS pos, unnest(['公司名稱', '統一編號', '產業別', '主要產品']) AS header, unnest([c_name, '', c_mktsegment, c_name]) AS value FROM customer")
 def sample_sheet(t):
-    return export.sample_columns(t("region").sparkSession)
+    """The sheet to fill in, filled in with customers: of each field its longest Chinese name is the header; four of the columns."""
+    values = F.create_map(F.lit("company_name"), C("c_name"), F.lit("industry"), C("c_mktsegment"), F.lit("products"), C("c_name"))
+    columns = export.sample_columns(t("customer").sparkSession).filter(C("field").isin("company_name", "tax_id", "industry", "products"))
+    held = columns.groupBy().agg(F.array_sort(F.collect_list(F.struct("pos", "field", "header"))).alias("columns"))  # one row
+    rows = t("customer").crossJoin(F.broadcast(held)).select("c_custkey", values.alias("v"), F.explode("columns").alias("c"))
+    return rows.select("c_custkey", "c.pos", "c.header", F.coalesce(F.try_element_at("v", C("c.field")), F.lit("")).alias("value"))
 
 
 @query("SELECT o_orderkey, 'companies_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || '.csv' AS name FROM orders")
