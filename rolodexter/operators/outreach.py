@@ -119,6 +119,13 @@ def template_values(columns: dict[str, Column | str]) -> dict[str, Column]:
     return {k: F.coalesce(v, F.lit(TEMPLATE_DEFAULTS.get(k, ""))) for k, v in named.items()}
 
 
+def unsubscribed_with_history(companies: DataFrame, requests: DataFrame, now: Column, mail: str = "email") -> tuple[DataFrame, DataFrame]:
+    """unsubscribed(), and a history row (company_id, kind, body, occurred_at) for each company that was not marked before."""
+    out = unsubscribed(companies.withColumn("_before", F.coalesce(F.col("do_not_contact"), F.lit(False))), requests, mail)
+    history = out.filter("do_not_contact and not _before").select(F.col("id").alias("company_id"), F.lit("unsubscribe").alias("kind"), F.col(mail).alias("body"), now.alias("occurred_at"))
+    return out.drop("_before"), history
+
+
 def rendered(template: str, values: dict[str, Column | str]) -> Column:
     """A template with {placeholders} as one expression; values are not rendered again, and are escaped where the template is markup. Unknown placeholders are an error."""
     import re

@@ -56,6 +56,18 @@ def cleaned(raw: DataFrame, drop_adverts: bool = True, disposable: Sequence[str]
     return out.drop("_has_mx")
 
 
+def parted(clean: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to store, rejected rows with their reason) of cleaned()."""
+    return clean.filter("rejected is null").drop("rejected"), clean.filter("rejected is not null")
+
+
+def first_by_name(rows: DataFrame, name: str = "company_name", seq: str = "seq") -> DataFrame:
+    """Of rows whose names are equal but for outer blanks the first; rows without a name stay."""
+    key = blank_to_null(name)
+    first = rows.filter(key.isNotNull()).groupBy(key.alias("_name")).agg(F.min(seq).alias("_first"))
+    return rows.join(first, (key == F.col("_name")) & (F.col(seq) == F.col("_first")), "left").filter(key.isNull() | F.col("_first").isNotNull()).drop("_name", "_first")
+
+
 def migrated(stored: DataFrame, current: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Stored rows in the current schema: new columns are null or have their default; columns that are gone stay behind."""
     grown = current.limit(0).unionByName(stored, allowMissingColumns=True).select(*current.columns)

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crypto, labels, richtext, text
-from ..operators import ask, connected, folding, joins, sequential, services
+from ..operators import ask, connected, folding, joins, outreach, records, sequential, services
 from ..operators.staging import shared_dir, stage
-from ..sources import exploration, inbox, listing, pdf, replies, selectors, tables
+from ..sources import export, exploration, inbox, listing, pages, pdf, replies, selectors, tables
 from ..sources.extraction import Rule
 from ..streaming.store import Store
 from .registry import now, query
@@ -337,3 +337,92 @@ def own_site_contacts(t):
     every = F.array(page(0, home), page(1, F.when(k % 4 == 1, mail).otherwise("nothing")), page(2, F.lit("nothing")), page(3, mail))
     rows = t("part").select(k.alias("company_id"), said("firm", k).alias("name_key"), said("https://www.h", k, ".tw").alias("url"), F.inline(every))
     return folding.own_site_contacts(rows, ["email", "phone"]).select("company_id", "confirmed", "pages_read", "email", "phone")
+
+
+# Files of several shapes, cleaning, blocks, bytes, snapshots
+
+
+@query("SELECT s_name AS name, s_suppkey % 3 AS shape FROM supplier")
+def json_of_three_shapes(t):
+    """A list, an object with a list, and single objects, in files of their own."""
+    k = C("s_suppkey")
+    rows = t("supplier").select((k % 3).alias("shape"), k, F.to_json(F.struct(C("s_name").alias("name"), (k % 3).alias("shape"))).alias("j"))
+    spark, path = rows.sparkSession, fresh(rows.sparkSession, "json")
+    many = rows.filter("shape < 2").groupBy("shape", F.floor(k / 50)).agg(F.array_join(F.collect_list("j"), ",").alias("j"))
+    whole = many.select(F.when(C("shape") == 0, said("[", C("j"), "]")).otherwise(said('{"n": 1, "data": [', C("j"), "]}")).alias("value")).unionByName(rows.filter("shape = 2").select(C("j").alias("value")))
+    n = whole.count()
+    whole.repartitionByRange(max(1, min(n, 400)), F.xxhash64("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return tables.json_records(spark, path, "name string, shape long")
+
+
+@query("SELECT '廠商' || c_custkey AS name, CASE c_custkey % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'cp950' ELSE 'utf-8-sig' END AS encoding, '02-2' || lpad(c_custkey::VARCHAR, 7, '0') AS phone FROM customer")
+def files_in_several_encodings(t):
+    """Delimited files in three encodings, each with a title line above its header."""
+    k = C("c_custkey")
+    names = ["utf-8", "cp950", "utf-8-sig"]
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        encoding = names[int(rows["kind"].iloc[0])]
+        text = "會員名冊\t\t\n公司名稱\t電話\t編碼\n" + "".join(f"廠商{r.k}\t02-2{r.k:07d}\t{encoding}\n" for r in rows.itertuples())
+        return pd.DataFrame({"path": [f"{rows['kind'].iloc[0]}-{rows['part'].iloc[0]}.txt"], "content": [text.encode(encoding)]})
+
+    files = t("customer").select(k.alias("k"), (k % 3).cast("int").alias("kind"), F.floor(k / 100).cast("int").alias("part")).groupBy("kind", "part").applyInPandas(packed, "path string, content binary")
+    found = tables.records(tables.cells_of(files))
+    return found.select(F.try_element_at("fields", F.lit("company_name")).alias("name"), F.try_element_at("extra", F.lit("編碼 3")).alias("encoding"), F.try_element_at("fields", F.lit("phone")).alias("phone"))
+
+
+@query("SELECT rejected, count(*) AS n, max(name) AS name FROM (SELECT CASE s_suppkey % 4 WHEN 0 THEN 'no usable name' WHEN 1 THEN 'name is a headline' END AS rejected, CASE WHEN s_suppkey % 4 > 1 THEN s_name END AS name FROM supplier) GROUP BY 1")
+def accepted_and_rejected(t):
+    k = C("s_suppkey")
+    name = pick(k, F.lit(" "), F.lit("如何選擇工廠？"), C("s_name"), said(" ", C("s_name"), " "))
+    raw = t("supplier").select(name.alias("company_name"), *(F.lit(None).cast("string").alias(c) for c in records.RAW if c != "company_name"))
+    good, bad = records.parted(records.cleaned(raw))
+    kept = good.groupBy().agg(F.lit(None).cast("string").alias("rejected"), F.count(F.lit(1)).alias("n"), F.max("company_name").alias("name"))
+    return kept.unionByName(bad.groupBy("rejected").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("string").alias("name")))
+
+
+@query("SELECT min(o_orderkey) AS seq, 'c' || o_custkey AS company_name FROM orders GROUP BY o_custkey")
+def first_of_each_name(t):
+    rows = t("orders").select(C("o_orderkey").alias("seq"), F.when(C("o_orderkey") % 2 == 0, said(" c", C("o_custkey"), " ")).otherwise(said("c", C("o_custkey"))).alias("company_name"))
+    return records.first_by_name(rows).select("seq", F.trim("company_name").alias("company_name"))
+
+
+@query("SELECT p_partkey, unnest(CASE WHEN p_partkey % 2 = 0 THEN [0, 1] ELSE [0, 1, 2] END) AS pos, unnest(CASE WHEN p_partkey % 2 = 0 THEN [p_name || ' Co., Ltd.\nTel: 1\n\nmore', p_brand || ' Inc.\nTel: 2'] ELSE ['intro', p_name, p_brand || '\nend'] END) AS block FROM part")
+def texts_in_blocks(t):
+    """At company names where there are two, else at blank lines."""
+    text_ = F.when(C("p_partkey") % 2 == 0, said("intro\n", C("p_name"), " Co., Ltd.\nTel: 1\n\nmore\n", C("p_brand"), " Inc.\nTel: 2 ")).otherwise(said("intro\n \n", C("p_name"), "\n\n\n", C("p_brand"), "\nend"))
+    return t("part").select("p_partkey", F.posexplode(pages.text_blocks(text_)).alias("pos", "block"))
+
+
+@query("SELECT page_id, '頁' || page_id || ' é' AS title FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'page ' || page_id FROM pages WHERE page_id % 2 = 1")
+def pages_out_of_bytes(t):
+    """Pages in UTF-8, with and without a charset that is declared, and in ASCII."""
+    k = C("page_id")
+    html = said(F.when(k % 4 == 0, '<meta charset="utf-8">').otherwise(""), "<title>", F.when(k % 2 == 0, said("頁", k, " é")).otherwise(said("page ", k)), "</title>")
+    return t("pages").select("page_id", pages.title(pages.decoded(F.encode(html, "UTF-8"))).alias("title"))
+
+
+@query("SELECT c_custkey AS company_id, 'unsubscribe' AS kind, 'm' || c_custkey % 200 || '@b.tw' AS body FROM customer WHERE c_custkey % 200 IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 100) AND c_custkey % 7 > 0")
+def marked_with_history(t):
+    """Who asked out is marked; history is of those who were not marked before."""
+    k = C("c_custkey")
+    rows = t("customer").select(k.alias("id"), said("m", k % 200, "@b.tw").alias("email"), (k % 7 == 0).alias("do_not_contact"))
+    asked = t("supplier").select(F.when(C("s_suppkey") < 100, said("M", C("s_suppkey"), "@B.tw ")).otherwise("other@b.tw").alias("address"))
+    return outreach.unsubscribed_with_history(rows, asked, now())[1].select("company_id", "kind", "body")
+
+
+@query("SELECT 'supplier' AS name, count(*) AS n, sum(s_suppkey) AS total, 'manual' AS kind FROM supplier UNION ALL SELECT 'part', count(*), sum(p_partkey), 'manual' FROM part")
+def snapshot_restored(t):
+    spark = t("supplier").sparkSession
+    folder = export.take_snapshot({"supplier": t("supplier"), "part": t("part")}, fresh(spark, "snapshots"), "manual", "20240201_080500")
+    kind = export.backups(spark.createDataFrame([(folder,)], "path string"), "path").select("kind")
+    back = export.restored(spark, folder, ["supplier", "part"])
+    counted = lambda name, key: back[name].agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(key).alias("total"))
+    return counted("supplier", "s_suppkey").unionByName(counted("part", "p_partkey")).crossJoin(F.broadcast(kind))
+
+
+@query("SELECT count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
+def asked_of_the_last_days(t):
+    """The last twelve days count from midnight."""
+    rows = t("events").select(C("event_id").alias("id"), C("event_type").alias("company_name"), C("ts").alias("created_at"))
+    return ask.answered(rows, ask.parsed('{"mode": "count", "arguments": {"created_within_days": "12"}}'), now(), ["company_name"])

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pages import blocks, text_record
+from .pages import text_blocks, text_record
 from .tables import CELLS, records
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -72,9 +72,9 @@ def document_blocks(spark: SparkSession, path: str, largest: int = 40 << 20) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(p, k, b) for p, data in zip(batch["path"], batch["content"], strict=True) for k, b in enumerate(blocks(_read(p, data)[1]))], columns=["path", "pos", "text"])
+            yield pd.DataFrame({"path": batch["path"], "whole": [_read(p, data)[1] for p, data in zip(batch["path"], batch["content"], strict=True)]})
 
-    return _files(spark, path, largest).mapInPandas(run, "path string, pos int, text string")
+    return _files(spark, path, largest).mapInPandas(run, "path string, whole string").select("path", F.posexplode(text_blocks("whole")).alias("pos", "text"))
 
 
 def document_records(spark: SparkSession, path: str) -> DataFrame:

@@ -311,10 +311,52 @@ def text_record(text: Column | str) -> Column:
     return _let(labelled(text), record)
 
 
-def blocks(text: str) -> list[str]:
-    """A text in blocks: at short lines with a company marker if there are two of them, else at blank lines."""
-    lines = text.split("\n")
-    starts = [i for i, x in enumerate(lines) if x.strip() and len(x.strip()) <= 60 and any(m in x.lower() for m in fixed.COMPANY_MARKERS)]
-    if len(starts) >= 2:
-        return ["\n".join(lines[a:b]).strip() for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)]
-    return [b.strip() for b in re.split(r"\n\s*\n+", text) if b.strip()]
+LONGEST_START = 60
+
+
+def text_blocks(c: Column | str) -> Column:
+    """A text in blocks, as an array: at lines of up to 60 characters with a company marker if there are two of them, else at blank lines."""
+    x = F.coalesce(col(c), F.lit(""))
+    stripped = lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", "")
+    marker = "|".join(re.escape(m) for m in fixed.COMPANY_MARKERS)
+
+    def by_lines(lines: Column) -> Column:
+        short = F.transform(lines, lambda v, i: F.when(F.length(stripped(v)).between(1, LONGEST_START) & F.lower(v).rlike(marker), i))
+        return F.struct(lines.alias("lines"), F.filter(short, lambda i: i.isNotNull()).alias("starts"))
+
+    def cut(p: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(p["starts"], k + 1), F.size(p["lines"]))
+        marked = F.transform(p["starts"], lambda a, k: stripped(F.array_join(F.slice(p["lines"], a + 1, end(k) - a), "\n")))
+        blank = F.filter(F.transform(F.split(x, r"\n\s*\n+"), stripped), lambda v: v != "")
+        return F.when(F.size(p["starts"]) >= 2, marked).otherwise(blank)
+
+    return _let(_let(F.split(x, "\n"), by_lines), cut)
+
+
+#: Names of charsets that are read by a larger one, and names that say UTF-8.
+LARGER_CHARSETS = {"big5": "cp950", "big5-hkscs": "big5hkscs", "gb2312": "gb18030", "gbk": "gb18030", "shift_jis": "cp932", "iso-8859-1": "cp1252", "latin-1": "cp1252", "latin1": "cp1252", "ascii": "cp1252"}
+
+
+def read_bytes(data: bytes | None) -> str | None:
+    """A page's text by the charset that its first 4,096 bytes declare, else as UTF-8; unknown charsets and bytes that a charset lacks don't end the work."""
+    if data is None:
+        return None
+    said = re.search(rb"""<meta[^>]{0,200}?charset\s*=\s*["']?\s*([A-Za-z0-9_\-]{2,20})""", data[:4096], re.IGNORECASE)
+    name = said[1].decode("ascii").lower() if said else "utf-8"
+    try:
+        return data.decode(LARGER_CHARSETS.get(name, name), "replace").removeprefix("\ufeff")
+    except LookupError:
+        return data.decode("utf-8", "replace").removeprefix("\ufeff")
+
+
+@F.pandas_udf(T.StringType())
+def _decoded(pages: pd.Series) -> pd.Series:
+    return pages.map(read_bytes)
+
+
+def decoded(content: Column | str) -> Column:
+    """The text of fetched bytes. Pages that are ASCII but for nothing stay in the JVM's expression."""
+    x = col(content)
+    text = F.decode(x, "ISO-8859-1")
+    plain = ~text.rlike(r"[^\x00-\x7F]")
+    return F.when(plain, text).otherwise(_decoded(F.when(~plain, x)))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.staging import stage
-from .pages import blocks, text_record
+from .pages import text_blocks, text_record
 from .tables import LARGEST, records
 
 RUNS = "path string, page int, nth int, x double, y double, width double, size double, text string, why string"
@@ -515,11 +515,6 @@ def pdf_records(found: DataFrame) -> DataFrame:
     cells = stage(placed(found), "cells")
     of_tables = records(tables(cells)).filter(F.map_contains_key("fields", "company_name")).select("path", F.concat_ws(" ", "sheet", F.col("line").cast("string")).alias("place"), "fields", "extra")
     whole = lines(cells).groupBy("path", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(p, n, k, b) for p, n, text in batch.itertuples(index=False) for k, b in enumerate(blocks(text))], columns=["path", "page", "pos", "text"])
-
-    found = whole.select("path", "page", "text").mapInPandas(cut, "path string, page int, pos int, text string")
+    found = whole.select("path", "page", F.posexplode(text_blocks("text")).alias("pos", "text"))
     of_text = found.join(of_tables.select("path").distinct(), "path", "left_anti").withColumn("r", text_record("text")).filter("r is not null")
     return of_tables.unionByName(of_text.select("path", F.format_string("page %d block %d", "page", "pos").alias("place"), "r.fields", "r.extra"))

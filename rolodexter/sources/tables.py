@@ -104,6 +104,12 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 def cells(spark: SparkSession, path: str, largest: int = LARGEST) -> DataFrame:
     """(path, sheet, line, cells) of all delimited files and workbooks under a path. Files over ``largest`` bytes and broken ones give no rows; unread() names them. Cells may be of any length."""
 
+    return cells_of(_files(spark, path).filter(F.col("length") <= largest))
+
+
+def cells_of(files: DataFrame) -> DataFrame:
+    """cells() of files (path, content)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
@@ -111,7 +117,7 @@ def cells(spark: SparkSession, path: str, largest: int = LARGEST) -> DataFrame:
                 width = max((len(r[2]) for r in rows), default=0)  # ragged rows are padded to the widest
                 yield pd.DataFrame({"path": path, "sheet": [r[0] for r in rows], "line": [r[1] for r in rows], "cells": [[c.strip() for c in r[2]] + [""] * (width - len(r[2])) for r in rows]})
 
-    return _files(spark, path).filter(F.col("length") <= largest).select("path", "content").mapInPandas(run, CELLS)
+    return files.select("path", "content").mapInPandas(run, CELLS)
 
 
 def unread(spark: SparkSession, path: str, largest: int = LARGEST) -> DataFrame:
