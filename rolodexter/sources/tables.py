@@ -114,6 +114,8 @@ def cells_of(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
                 rows, _ = _rows_of(path, data)
+                if not rows:
+                    continue
                 width = max((len(r[2]) for r in rows), default=0)  # ragged rows are padded to the widest
                 yield pd.DataFrame({"path": path, "sheet": [r[0] for r in rows], "line": [r[1] for r in rows], "cells": [[c.strip() for c in r[2]] + [""] * (width - len(r[2])) for r in rows]})
 
