@@ -24,3 +24,9 @@ def stage(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/rolodexter/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes in fewer pieces, as a small file does: for work on rows that takes longer than moving them. A table of as many pieces as cores stays where it is. df: a scan, which its number of pieces costs nothing."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

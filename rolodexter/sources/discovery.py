@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, validate
 from ..functions.text import blank_to_null
-from ..operators.staging import stage
+from ..operators.staging import spread, stage
 from . import pages as listing
 from .extraction import LEAST_DISTINCT, LEAST_HITS, Page, name_score, selected
 
@@ -94,7 +94,7 @@ def _items(page: Page, parent: int, tag: str, cls: str, inner: str | None) -> li
 
 def _with_blocks(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     wanted = blocks if "inner" in blocks.columns else blocks.withColumn("inner", F.lit(None).cast("string"))
-    return pages.select("page_id", "html").join(wanted.select("page_id", "parent", "tag", "class", "inner"), "page_id")
+    return spread(pages.select("page_id", "html")).join(wanted.select("page_id", "parent", "tag", "class", "inner"), "page_id")
 
 
 _NODES = "page_id long, item int, node int, root boolean, tag string, class string, css string, selectors array<string>, names string, href string, text string, leaf boolean"
@@ -354,7 +354,7 @@ def controls(pages: DataFrame) -> DataFrame:
                     rows.append((page_id, n[0], kind, chosen_alone(page, n[0]) if kind == "send" else _anchor(page, n[0]) or n[2], options, scopes))
             yield pd.DataFrame(rows, columns=["page_id", "node", "kind", "selector", "options", "scopes"])
 
-    return pages.select("page_id", "html").mapInPandas(run, _CONTROLS)
+    return spread(pages.select("page_id", "html")).mapInPandas(run, _CONTROLS)
 
 
 def query_forms(found: DataFrame, least: int = 4) -> DataFrame:

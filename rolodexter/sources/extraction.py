@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import emails, website_host
 from ..functions.validate import is_role_address, is_tracking_address
+from ..operators.staging import spread
 from .pages import Tree
 
 LEAST_HITS, LEAST_DISTINCT = 0.35, 0.5
@@ -103,7 +104,7 @@ def extracted(pages: DataFrame, item: str, rules: dict[str, Rule]) -> DataFrame:
                         rows.append((page_id, k, *values))
             yield pd.DataFrame(rows, columns=["page_id", "item", *names])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, item int, " + ", ".join(f"{n} string" for n in names))
+    return spread(pages.select("page_id", "html")).mapInPandas(run, "page_id long, item int, " + ", ".join(f"{n} string" for n in names))
 
 
 def judged_rules(items: DataFrame, fields: Sequence[str], distinct: Sequence[str] = ()) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 from ..functions.text import blank_to_null
 from ..operators import outreach
-from ..operators.staging import stage
+from ..operators.staging import spread, stage
 from . import mail
 
 #: Headers of automatic answers, what begins a signature, and what its lines hold.
@@ -84,7 +84,7 @@ def read(messages: DataFrame) -> DataFrame:
             out["sent_at"] = pd.to_datetime(out["sent_at"])
             yield out
 
-    return stage(messages.select(F.col("uid").cast("string").alias("uid"), "raw").mapInPandas(run, MESSAGES), "inbox")
+    return stage(spread(messages.select(F.col("uid").cast("string").alias("uid"), "raw")).mapInPandas(run, MESSAGES), "inbox")
 
 
 def _sent_addresses(sent: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed, validate
 from ..functions.text import blank_to_null, col, emails, phone, unescaped
+from ..operators.staging import spread
 
 #: Elements without an end tag, elements that another of their kind ends, and elements without shown text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -95,7 +96,7 @@ def nodes(pages: DataFrame) -> DataFrame:
             for page, tree in _trees(batch):
                 yield pd.DataFrame([(page, *n[:5], tree.text(n[0])) for n in tree.nodes], columns=["page_id", "node", "parent", "tag", "class", "href", "text"])
 
-    return pages.select("page_id", "html").mapInPandas(run, NODES)
+    return spread(pages.select("page_id", "html")).mapInPandas(run, NODES)
 
 
 ITEMS = "page_id long, parent int, tag string, class string, node int, text string, heads int, anchors int"
@@ -122,7 +123,7 @@ def list_items(pages: DataFrame, least: int = 3) -> DataFrame:
                             rows.append((page, parent, tag, cls, m, tree.text(m), int(heads[end] > heads[m + 1]), anchors[end] - anchors[m + 1]))
             yield pd.DataFrame(rows, columns=["page_id", "parent", "tag", "class", "node", "text", "heads", "anchors"])
 
-    return pages.select("page_id", "html").mapInPandas(run, ITEMS)
+    return spread(pages.select("page_id", "html")).mapInPandas(run, ITEMS)
 
 
 def title(html: Column | str) -> Column:

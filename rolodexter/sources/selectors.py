@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.staging import stage
+from ..operators.staging import spread, stage
 from .extraction import Page, Rule
 from .pages import resolved
 
@@ -44,7 +44,7 @@ def parsed(pages: DataFrame) -> DataFrame:
                 rows += [(page_id, "text", k, None, None, None, None, None, None, None, None, None, None, x) for k, x in enumerate(page.texts)]
                 yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("parent", "last", "prev", "nth", "nth_last", "first", "end")})
 
-    return stage(pages.select("page_id", "html").mapInPandas(run, PARSED), "nodes")
+    return stage(spread(pages.select("page_id", "html")).mapInPandas(run, PARSED), "nodes")
 
 
 _NAME = r"[A-Za-z_\-\u0080-￿][\w\-\u0080-￿]*"
