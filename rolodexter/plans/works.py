@@ -102,7 +102,7 @@ def sites(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     at = stage(numbered.withColumn("address", address), "sites")
     to = at.select(C("site").alias("_site"), C("n").alias("_n"), C("address").alias("url"))
     links = at.join(to, (C("site") == C("_site")) & (F.floor(C("_n") / 2) == C("n")))
-    links = links.select(exploration.page_of(at["address"]).alias("page"), (C("_n") % 2).cast("int").alias("pos"), exploration.page_of(to["url"]).alias("to"), to["url"], exploration.priority_of(to["url"], F.lit("")).alias("priority"))
+    links = links.select(exploration.page_of(at["address"]).alias("page"), C("_n").cast("int").alias("pos"), exploration.page_of(to["url"]).alias("to"), to["url"], exploration.priority_of(to["url"], F.lit("")).alias("priority"))
     return at.filter("n = 1").select("site", C("address").alias("url")), links, at.filter("page_id % 4 = 1").select(exploration.page_of("address").alias("page")).distinct()
 
 
