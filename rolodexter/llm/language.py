@@ -160,7 +160,7 @@ def op7_language(docs: DataFrame) -> DataFrame:
 
 
 def lettered(docs: DataFrame) -> DataFrame:
-    """The rows with a letter in their text."""
+    """The rows with a letter in their text, whatever its length; null and empty texts have none. Repeated rows stay as they are; other columns are not looked at."""
 
     @F.pandas_udf("boolean")
     def any_letter(texts: pd.Series) -> pd.Series:

@@ -176,7 +176,7 @@ def scored(docs: DataFrame, group_bytes: int = 12 << 20) -> DataFrame:
     All training rows are counted: nine tenths of them give the estimates that the weights are learned for, on the other
     tenth; then both together give the estimates that score. Words and pairs are counted by 64-bit hashes. Null text is
     empty and has its end alone; rows that repeat count and are scored each; a null doc_id is held out; an empty table
-    gives an empty result; without training rows only the uniform estimate is left. Columns other than doc_id and
+    gives an empty result; a text of any length is scored whole; ties do not arise; without training rows only the uniform estimate is left. Columns other than doc_id and
     text are not read. The driver gets two totals for each range of keys and the cells of evidence, whose number is bounded by
     the range of probabilities.
     """

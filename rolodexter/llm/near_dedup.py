@@ -218,6 +218,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, seed: in
     in buckets that still have several components, all rows outside of the largest one are held against the rest in blocks: by
     signature, then on full sets, until linked. So no pair of a bucket is left out unless its ends are connected already, and
     no table of pairs is made. Links go through large-star and small-star.
+    Texts of any length count whole; of equal scores the smaller doc_id is tried first, which no result depends on; an empty table gives an empty result.
     Documents without words (null, empty, white space) are alone. Rows that repeat a doc_id share its fate. Rows without a doc_id link
     to nothing: their component_id is null and they are kept. Columns other than doc_id and text are not read.
     """

@@ -173,7 +173,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Data
     Each batch of rows is indexed by the trigrams that the rules' queries name; a rule's postings are intersected and
     united to candidates, and only those are matched. Rules without a mandatory trigram (hex) scan every row. Matches are
     leftmost and non-overlapping for each kind; those whose group is too short are dropped after matching. Null and empty
-    texts have no spans; repeated rows and null ids stay rows of their own; no column but doc_id and text is read.
+    texts have no spans; a text of any length is matched whole; spans that begin together go by the rules' order; repeated rows and null ids stay rows of
+    their own; an empty table gives an empty result; no column but doc_id and text is read.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     terms = set().union(*map(_terms, queries))
