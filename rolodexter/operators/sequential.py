@@ -114,31 +114,48 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _targets(state: DataFrame, pending: DataFrame) -> DataFrame:
-    """pending with target: the row of the store that a record goes into whatever comes before it, null where that cannot be told.
+    """pending with target: the row of the store that a record goes into whatever comes before it, null where that cannot be told; and alone: it is a new row that no record will ever find.
 
-    It can where the store holds the record's dedupe_key. It can too where the store holds its e-mail, and nothing stronger can ever find another row for
-    any record with that e-mail: their dedupe_keys are not held and come with held e-mails only, so that no row of that key arises; their tax ids
-    are not held and come with this e-mail only.
+    It goes into the row that holds its dedupe_key. It goes into the one that holds its e-mail if nothing stronger can ever find another row for any record with that e-mail: their
+    dedupe_keys are not held and come with held e-mails only, so that no row of that key arises; their tax ids are not held and come with this e-mail only; those whose key is
+    held leave neither e-mail nor tax id where it would be found first. It goes into the row of its name alone if the rest of it is its own: no row of the store and no other record
+    has its dedupe_key, tax id, e-mail or telephone, and it has no host. Such a record is alone if there is no row of its name alone, will be none, and none can find it by host.
     """
     order = F.struct(F.col("id").isNull(), F.coalesce("id", "seq"))
     value = lambda c: blank_to_null(c)
-    held = lambda c, name: state.groupBy(value(c).alias(f"_{c}")).agg(F.min_by("row_id", order).alias(name)).filter(F.col(f"_{c}").isNotNull())
+    first = F.min(F.struct(order.alias("at"), "row_id", value("email").isNotNull().alias("mailed"), value("tax_id").isNotNull().alias("taxed")))
+    held = lambda c, name: state.groupBy(value(c).alias(f"_{c}")).agg(first.alias(name)).filter(F.col(f"_{c}").isNotNull())
     p = pending
-    for c, name in (("dedupe_key", "_by_key"), ("email", "_by_mail"), ("tax_id", "_by_tax")):
+    for c, name in (("dedupe_key", "_by_key"), ("email", "_by_mail"), ("tax_id", "_by_tax"), ("phone", "_by_phone")):
         p = p.join(held(c, name), value(c) == F.col(f"_{c}"), "left")
-    by = lambda c, e, name: p.filter(value(c).isNotNull()).groupBy(value(c).alias(f"_of_{c}")).agg(e.alias(name))
-    safe_key = by("dedupe_key", F.every(F.col("_by_mail").isNotNull()), "_key_safe")
+    named = held("dedupe_key", "_by_name").withColumnRenamed("_dedupe_key", "_named")
+    p = p.join(named, F.concat(F.lit("n:"), value("name_key")) == F.col("_named"), "left")
+    by = lambda c, *e: p.filter(value(c).isNotNull()).groupBy(value(c).alias(f"_of_{c}")).agg(*e)
+    n = lambda c: F.count(F.lit(1)).alias(f"_n_{c}")
     same = F.coalesce(F.min(value("email")) == F.max(value("email")), F.lit(False)) & (F.count(value("email")) == F.count(F.lit(1)))
-    safe_tax = by("tax_id", same & F.every(F.col("_by_tax").isNull()), "_tax_safe")
-    p = p.join(safe_key, value("dedupe_key") == F.col("_of_dedupe_key"), "left").join(safe_tax, value("tax_id") == F.col("_of_tax_id"), "left")
+    of_key = by("dedupe_key", F.every(F.col("_by_mail").isNotNull()).alias("_key_safe"), n("dedupe_key"))
+    of_tax = by("tax_id", (same & F.every(F.col("_by_tax").isNull())).alias("_tax_safe"), n("tax_id"))
+    of_name = by("name_key", F.bool_or(value("host").isNotNull()).alias("_hosts"))
+    for c, found in (("dedupe_key", of_key), ("tax_id", of_tax), ("phone", by("phone", n("phone"))), ("name_key", of_name)):
+        p = p.join(found, value(c) == F.col(f"_of_{c}"), "left")
     plain = F.col("_by_key").isNull() & F.coalesce("_key_safe", F.lit(True)) & F.coalesce("_tax_safe", F.lit(True))
-    safe_mail = p.filter(F.col("_by_mail").isNotNull()).groupBy(value("email").alias("_of_email")).agg(F.every(plain).alias("_mail_safe"))
-    p = p.join(safe_mail, value("email") == F.col("_of_email"), "left")
-    return p.select(*pending.columns, F.coalesce("_by_key", F.when(F.col("_mail_safe"), F.col("_by_mail"))).alias("target"))
+    harmless = F.col("_by_key").isNotNull() & (F.col("_by_key.mailed") | (F.col("_by_key.at") > F.col("_by_mail.at"))) & (F.col("_by_key.taxed") | value("tax_id").isNull())
+    of_mail = by("email", F.every(F.coalesce(plain | harmless, F.lit(False)) & F.col("_by_mail").isNotNull()).alias("_mail_safe"), n("email"))
+    p = p.join(of_mail, value("email") == F.col("_of_email"), "left")
+    own = value("host").isNull()
+    for c, name in (("dedupe_key", "_by_key"), ("tax_id", "_by_tax"), ("email", "_by_mail"), ("phone", "_by_phone")):
+        own = own & F.col(name).isNull() & (F.coalesce(f"_n_{c}", F.lit(0)) <= 1)
+    target = F.coalesce("_by_key.row_id", F.when(F.col("_mail_safe"), F.col("_by_mail.row_id")), F.when(own, F.col("_by_name.row_id")))
+    # Names that records still make rows for, and rows that a name can find.
+    arising = pending.filter(value("dedupe_key").startswith("n:")).select(value("dedupe_key").alias("_arising")).distinct()
+    p = p.join(arising, F.concat(F.lit("n:"), value("name_key")) == F.col("_arising"), "left")
+    hidden = ~F.coalesce(value("dedupe_key").startswith("n:"), F.lit(False)) & (value("name_key").isNull() | value("website").isNull() | ~F.coalesce("_hosts", F.lit(False)))
+    alone = own & F.col("_by_name").isNull() & F.col("_arising").isNull() & hidden
+    return p.select(*pending.columns, target.alias("target"), F.coalesce(alone, F.lit(False)).alias("alone"))
 
 
 def _lighter(state: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(state, pending) without the records that change nothing; their number is added to the weight of their row.
+    """(state, pending) without the records that change nothing; their number is added to the weight of their row. pending has alone: the record is a new row of its own.
 
     Of the records that go into one row for certain, those count that are the first to fill a field, a key of extra or to name a person, the last with
     a source, and for each address the last verdict and the first bounce. So a key or an e-mail that a third of all records share leaves a few of them. Aggregates only: no group is gathered.
@@ -182,9 +199,9 @@ def upserted(store: DataFrame, batch: DataFrame, slice_rows: int = SLICE_ROWS, t
     pending = shape(complete(batch).withColumns({"id": F.lit(None).cast("long"), "merged": F.lit(0).cast("long")}), True)
     while True:
         state, pending = _lighter(state, pending)
-        rows = stage(state.unionByName(pending), "records")
+        rows = stage(state.withColumn("alone", F.lit(False)).unionByName(pending), "records")
         tagged = [F.concat(F.lit(c + "="), blank_to_null(c)) for c in KEYS] + [F.concat(F.lit("dedupe_key=n:"), blank_to_null("name_key"))]
-        keys = rows.select("row_id", "pending", F.explode(F.filter(F.array(*tagged), lambda k: k.isNotNull())).alias("key"))
+        keys = rows.filter("not alone").select("row_id", "pending", F.explode(F.filter(F.array(*tagged), lambda k: k.isNotNull())).alias("key"))
         named = stage(_sliced(rows.join(clusters(rows, "row_id", keys.drop("pending")), "row_id"), slice_rows), "sliced")
         large = named.filter("_upto is not null").select("cluster").distinct()
         waiting, turn = not large.isEmpty(), named.filter("turn")
@@ -193,9 +210,9 @@ def upserted(store: DataFrame, batch: DataFrame, slice_rows: int = SLICE_ROWS, t
             met = keys.filter("not pending").join(keys.join(slices, "row_id", "left_semi").select("key").distinct(), "key", "left_semi").select("row_id").distinct()
             turn = turn.join(large, "cluster", "left_anti").unionByName(turn.filter("pending").join(large, "cluster", "left_semi")).unionByName(turn.filter("not pending").join(large, "cluster", "left_semi").join(met, "row_id", "left_semi"))
         tasks = max(2, -(-turn.count() // task_rows))
-        out = stage(turn.withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(tasks))).drop("turn", "_upto", "cluster").groupBy("task").applyInPandas(_replay, COLUMNS + ", merged long"), "replayed")
+        out = stage(turn.withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(tasks))).drop("turn", "_upto", "cluster", "alone").groupBy("task").applyInPandas(_replay, COLUMNS + ", merged long"), "replayed")
         rest = named.join(turn.select("row_id"), "row_id", "left_anti")
         out = out.unionByName(rest.filter("not pending").withColumn("merged", F.col("merged") + F.col("weight")).select(*out.columns))
         if not waiting:
             return out
-        state, pending = shape(out, False).select(*state.columns), rest.filter("pending").select(*pending.columns)
+        state, pending = shape(out, False).select(*state.columns), rest.filter("pending").drop("turn", "_upto", "cluster", "alone")

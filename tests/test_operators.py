@@ -326,6 +326,21 @@ def test_common_mail_leaves_few_records(spark):
     assert [r["weight"] for r in heavier.collect()] == [497] and sorted(r["seq"] for r in left.collect()) == [0, 5, 499]
 
 
+def test_records_of_a_name_leave_few(spark):
+    """Of records that only their name leads to a held row those are kept that change it; an e-mail that records of held keys share too is settled; new rows that nothing finds are in no set."""
+    from rolodexter.operators import sequential
+
+    record = lambda k, **kw: tuple((dict.fromkeys(sequential.NAMES) | {"id": None, "seq": k, "company_name": "x", "dedupe_key": f"k:{k}"} | kw).values())
+    ready = lambda df, pending: sequential.complete(df).withColumns({"pending": F.lit(pending), "weight": F.lit(int(pending)).cast("long"), "merged": F.lit(0).cast("long"), "row_id": F.coalesce(-F.col("id"), "seq")})
+    held = [record(None, id=6, email="hot@b.tw", dedupe_key="mail:hot"), record(None, id=7, dedupe_key="n:a")]
+    state = ready(spark.createDataFrame(held, sequential.COLUMNS), False)
+    kinds = [{"name_key": "a", "source_url": "u"}, {"name_key": "a", "email": "hot@b.tw", "dedupe_key": "n:a"}, {"email": "hot@b.tw"}, {"name_key": "b"}]
+    batch = ready(spark.createDataFrame([record(k, **kinds[k % 4]) for k in range(400)], sequential.COLUMNS), True)
+    heavier, left = sequential._lighter(state, batch)
+    assert {r["id"]: r["weight"] for r in heavier.collect()} == {6: 99, 7: 198}
+    assert sorted(r["seq"] for r in left.filter("not alone").collect()) == [1, 2, 396] and left.filter("alone").count() == 100
+
+
 @pytest.mark.parametrize("shape", ["chain", "shuffled chain", "stars", "mixed"])
 def test_clusters_by_contraction(spark, shape):
     import random
