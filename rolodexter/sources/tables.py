@@ -7,6 +7,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -54,12 +55,20 @@ def decoded(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
+def _lines(text: str) -> Iterator[str]:
+    at = 0
+    while at < len(text):
+        end = text.find("\n", at) + 1 or len(text)
+        yield text[at:end]
+        at = end
+
+
 def _text_rows(data: bytes) -> Iterator[tuple[str, int, list[str]]]:
     text = decoded(data)
     head = text[:4096]
     mark = max(DELIMITERS, key=lambda d: (head.count(d), -DELIMITERS.index(d)))
     csv.field_size_limit(max(len(text), 1 << 17))  # of this process; a cell cannot be longer than its file
-    for n, row in enumerate(csv.reader(io.StringIO(text), delimiter=mark)):
+    for n, row in enumerate(csv.reader(_lines(text), delimiter=mark)):
         yield "", n, row
 
 
@@ -87,14 +96,20 @@ def _workbook_rows(data: bytes) -> Iterator[tuple[str, int, list[str]]]:
 #: What a broken workbook raises.
 BROKEN = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError, NotImplementedError, RuntimeError, OSError)
 LARGEST = 40 << 20
+#: Lines of a file that are given at once.
+FRAME_ROWS = 10_000
 
 
-def _rows_of(path: str, data: bytes) -> tuple[list[tuple[str, int, list[str]]], str | None]:
-    """(rows, why there are none)"""
+def _width(path: str, data: bytes) -> tuple[int, str | None]:
+    """(cells of the widest row, why there are no rows): a file is read once to know them and once more to give its rows, of which it never has all at once."""
     try:
-        return list(_workbook_rows(data) if path.lower().endswith(".xlsx") else _text_rows(data)), None
+        return max((len(r[2]) for r in _rows(path, data)), default=0), None
     except BROKEN as e:
-        return [], f"broken: {type(e).__name__}"
+        return 0, f"broken: {type(e).__name__}"
+
+
+def _rows(path: str, data: bytes) -> Iterator[tuple[str, int, list[str]]]:
+    return _workbook_rows(data) if path.lower().endswith(".xlsx") else _text_rows(data)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -113,11 +128,10 @@ def cells_of(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
-                rows, _ = _rows_of(path, data)
-                if not rows:
-                    continue
-                width = max((len(r[2]) for r in rows), default=0)  # ragged rows are padded to the widest
-                yield pd.DataFrame({"path": path, "sheet": [r[0] for r in rows], "line": [r[1] for r in rows], "cells": [[c.strip() for c in r[2]] + [""] * (width - len(r[2])) for r in rows]})
+                width, why = _width(path, data)  # ragged rows are padded to the widest
+                rows = iter(()) if why else _rows(path, data)
+                while some := list(islice(rows, FRAME_ROWS)):
+                    yield pd.DataFrame({"path": path, "sheet": [r[0] for r in some], "line": [r[1] for r in some], "cells": [[c.strip() for c in r[2]] + [""] * (width - len(r[2])) for r in some]})
 
     return files.select("path", "content").mapInPandas(run, CELLS)
 
@@ -127,7 +141,7 @@ def unread(spark: SparkSession, path: str, largest: int = LARGEST) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            why = [None if data is None else _rows_of(path, data)[1] for path, data in zip(batch["path"], batch["content"], strict=True)]
+            why = [None if data is None else _width(path, data)[1] for path, data in zip(batch["path"], batch["content"], strict=True)]
             yield batch[["path", "length"]].assign(why=why)
 
     files = _files(spark, path)
