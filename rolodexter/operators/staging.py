@@ -27,6 +27,6 @@ def stage(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it comes in fewer pieces, as a small file does: for work on rows that takes longer than moving them. A table of as many pieces as cores stays where it is. df: a scan, which its number of pieces costs nothing."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """df over all cores, three pieces for each at least: for work on rows that takes longer than moving them. A file's pieces tell nothing: those of one large row group are empty but for one."""
+    spark = df.sparkSession
+    return df.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, files, fixed, text, validate
 from ..operators import aggregates, ask, filters, joins, merge, outreach, research, upkeep, windows
+from ..operators.staging import spread
 from ..sources import extraction, mail, pages, tables
 from .registry import now, query, quoted
 
@@ -211,8 +212,9 @@ def registry_applied(t):
 @query("SELECT c_custkey AS id, 'Customer ' || c_custkey || ' Inc' AS company_name, c_custkey % 7 AS number FROM customer WHERE c_custkey % 3 > 0")
 def registry_match_by_name(t):
     k = C("c_custkey")
-    c = t("customer").select(k.alias("id"), F.concat(F.lit("customer "), k.cast("string"), F.lit(" Co., Ltd.")).alias("company_name"))
-    named = lambda pos, name, n: t("customer").select(k.alias("id"), F.lit(pos).alias("pos"), name.alias("company_name"), n.alias("number"))
+    customers = spread(t("customer").select("c_custkey"))
+    c = customers.select(k.alias("id"), F.concat(F.lit("customer "), k.cast("string"), F.lit(" Co., Ltd.")).alias("company_name"))
+    named = lambda pos, name, n: customers.select(k.alias("id"), F.lit(pos).alias("pos"), name.alias("company_name"), n.alias("number"))
     near = named(0, F.concat(F.lit("Customer "), k.cast("string"), F.lit("0 Inc")), F.lit(-1))
     good = named(1, F.concat(F.lit("Customer "), k.cast("string"), F.lit(" Inc")), (k % 7).cast("int")).filter("id % 3 > 0")
     later = named(2, F.concat(F.lit("CUSTOMER "), k.cast("string")), F.lit(-2)).filter("id % 3 > 0")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crypto, labels, richtext, text
 from ..operators import ask, connected, folding, joins, outreach, records, sequential, services
-from ..operators.staging import shared_dir, stage
+from ..operators.staging import shared_dir, spread, stage
 from ..sources import export, exploration, inbox, listing, pages, pdf, replies, selectors, tables
 from ..sources.extraction import Rule
 from ..streaming.store import Store
@@ -183,7 +183,7 @@ def tables_of_files(t):
     """Delimited files with a title line and spellings of their own; unknown columns go to the extra map."""
     rows = t("customer").select(C("c_name").alias("公司行號"), C("c_mktsegment").alias("主要產品"), C("c_custkey").cast("string").alias("會員編碼"))
     path = fresh(rows.sparkSession, "files")
-    rows.write.option("header", True).option("sep", ";").csv(path)
+    rows.write.option("header", True).option("sep", ";").option("maxRecordsPerFile", 100_000).csv(path)  # files of a size that is read
     found = tables.records(tables.cells(rows.sparkSession, path))
     of = lambda c: F.try_element_at("fields", F.lit(c))
     return found.select(of("company_name").alias("name"), of("products").alias("products"), F.try_element_at("extra", F.lit("會員編碼 3")).alias("extra"))
@@ -225,7 +225,7 @@ def inbox_fan_out(t):
 def bodies_as_documents(t):
     k = C("p_partkey")
     body = said("<h2> ", C("p_name"), "</h2>  <ul><li><b>", C("p_brand"), "</b> &amp; more</li>\n<li><a href='/p?a=1&amp;b=", k, "'>see</a></ul>")
-    rows = t("part").select("p_partkey", richtext.document(body).alias("d"))
+    rows = spread(t("part").select("p_partkey", "p_name", "p_brand")).select("p_partkey", richtext.document(body).alias("d"))
     return rows.select("p_partkey", F.replace(richtext.to_html("d"), F.lit("<h2> "), F.lit("<h2>")).alias("html"), richtext.to_text("d").alias("text"))
 
 
@@ -335,7 +335,7 @@ def own_site_contacts(t):
     home = said("<p>firm", F.when(k % 4 == 3, "other").otherwise(k.cast("string")), "</p> ", F.when(k % 4 == 0, mail).otherwise(""), " <p>", tel, "</p>")
     page = lambda n, html: F.struct(F.lit(n).alias("nth"), html.alias("html"))
     every = F.array(page(0, home), page(1, F.when(k % 4 == 1, mail).otherwise("nothing")), page(2, F.lit("nothing")), page(3, mail))
-    rows = t("part").select(k.alias("company_id"), said("firm", k).alias("name_key"), said("https://www.h", k, ".tw").alias("url"), F.inline(every))
+    rows = spread(t("part").select("p_partkey")).select(k.alias("company_id"), said("firm", k).alias("name_key"), said("https://www.h", k, ".tw").alias("url"), F.inline(every))
     return folding.own_site_contacts(rows, ["email", "phone"]).select("company_id", "confirmed", "pages_read", "email", "phone")
 
 
