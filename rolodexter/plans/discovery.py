@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import completion
+from ..operators.staging import spread
 from ..sources import discovery, documents, export, pages
 from .registry import now, query
 from .upkeep import C, pick, sql_pick
@@ -35,7 +36,7 @@ def _listing(t, where: str = "true") -> DataFrame:
     group = lambda g: joined('<section class="group">', F.array_join(F.transform(F.sequence(g * 3, g * 3 + 2), card), ""), "</section>")
     body = F.when(k % 7 == 0, "<p>Nothing</p>").otherwise(each(0, (3 + k % 3).cast("int"), group))
     html = joined('<html><body><nav><a href="/">Home</a></nav><div id="list">', body, '</div><a class="btn load" href="#">載入更多</a></body></html>')
-    return t("pages").filter(where).select("page_id", F.lit("https://www.b.tw/list").alias("url"), html.alias("html"))
+    return spread(t("pages").filter(where).select("page_id")).select("page_id", F.lit("https://www.b.tw/list").alias("url"), html.alias("html"))
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def detail_link_selectors(t):
 @query("SELECT page_id, 'click_all' AS action, 'button.show' AS selector FROM pages WHERE page_id % 2 = 0 AND page_id % 7 > 0 UNION ALL SELECT page_id, 'click', 'a.btn' FROM pages")
 def page_buttons(t):
     rows = _listing(t)
-    return discovery.page_actions(_nodes(rows), pages.nodes(rows))
+    return discovery.page_actions(_nodes(rows), pages.nodes(rows, discovery.MORE_TAGS))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'input.kw' ELSE '#cat' END AS input, CASE WHEN page_id % 3 = 0 THEN 'input.go' ELSE 'button.btnqry' END AS submit, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 4 + page_id % 2 END AS n_options, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'kind 1,kind 2,kind 3' END AS sample, CASE WHEN page_id % 3 > 0 THEN 'input.kw' END AS text_input FROM pages")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -54,6 +55,7 @@ REVEAL_WORDS = [
     "show phone", "show contact", "show email", "reveal", "view number",
 ]
 MORE_WORDS = ["載入更多", "看更多", "更多結果", "顯示更多", "load more", "show more", "view more", "more results"]
+MORE_TAGS = ["button", "a"]
 SUBMIT_WORDS = ["查詢", "搜尋", "查　詢", "送出", "確定", "開始查詢", "search", "query", "qry", "submit", "find"]
 DIALOGUE_WORDS = ["modal", "dialog", "popup", "lightbox"]
 #: Elements that are pieces of a record and never one; classes of page grids, spacing and display, which name nothing.
@@ -76,8 +78,12 @@ def _classes(page: Page, node: int) -> list[str]:
 
 def _css(page: Page, node: int) -> str:
     """tag.class with the first class that names something, else the tag."""
-    tag = page.nodes[node][2]
-    named = [c for c in _classes(page, node) if len(c) > 1 and not c.isdigit() and not re.fullmatch(LAYOUT_CLASS, c) and c.lower() not in fixed.ALTERNATING_CLASSES]
+    return _css_of(page.nodes[node][2], page.attributes[node].get("class") or "")
+
+
+@lru_cache(4096)
+def _css_of(tag: str, said: str) -> str:
+    named = [c for c in said.split() if len(c) > 1 and not c.isdigit() and not re.fullmatch(LAYOUT_CLASS, c) and c.lower() not in fixed.ALTERNATING_CLASSES]
     return f"{tag}.{named[0]}" if named else tag
 
 
@@ -106,16 +112,17 @@ def item_nodes(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     blocks: of list_blocks() or drilled(). A page without a block has no rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in _NODES.split(", ")]
+    def elements(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for page_id, html, parent, tag, cls, inner in batch.itertuples(index=False):
-                page, rows = Page(html), []
+                page = Page(html)
                 for k, item in enumerate(_items(page, parent, tag, cls, inner)):
                     for n in page.nodes[item : page.nodes[item][7] + 1]:
                         a, t = page.attributes[n[0]], n[2]
-                        rows.append((page_id, k, n[0], n[0] == item, t, n[3], _css(page, n[0]), [t, *(f"{t}.{c}" for c in dict.fromkeys(_classes(page, n[0])))], f"{a.get('class', '')} {a.get('id', '')}".lower().strip(), n[4], page.text(n[0]), n[7] == n[0]))
-                yield pd.DataFrame(rows, columns=names)
+                        yield page_id, k, n[0], n[0] == item, t, n[3], _css(page, n[0]), [t, *(f"{t}.{c}" for c in dict.fromkeys(_classes(page, n[0])))], f"{a.get('class', '')} {a.get('id', '')}".lower().strip(), n[4], page.text(n[0]), n[7] == n[0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from listing.framed(elements(batches), [c.split()[0] for c in _NODES.split(", ")])
 
     return _with_blocks(pages, blocks).mapInPandas(run, _NODES)
 
@@ -287,14 +294,14 @@ def detail_links(nodes: DataFrame, hosts: DataFrame) -> DataFrame:
 def page_actions(nodes: DataFrame, elements: DataFrame) -> DataFrame:
     """(page_id, action, selector): click_all for buttons that half of the records have to show what is hidden, the two most frequent; click for the page's first button that loads more.
 
-    nodes: item_nodes(); elements: pages.nodes(), of whole pages.
+    nodes: item_nodes(); elements: pages.nodes(), of whole pages, those with one of MORE_TAGS at least.
     """
     n_items = nodes.filter("root").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_items"))
     reveal = nodes.filter(~F.col("root") & F.col("tag").isin("button", "a", "span", "div") & F.lower("text").rlike(_any_of(REVEAL_WORDS)))
     counted = reveal.groupBy("page_id", "css").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("n"), "css")))
     every = counted.filter("place <= 2").join(n_items, "page_id").filter(F.col("n") >= F.col("n_items") * 0.5).select("page_id", F.lit("click_all").alias("action"), F.col("css").alias("selector"))
     names = F.filter(F.split("class", " "), lambda c: (F.length(c) > 1) & ~c.rlike(rf"^(?:\d+|{LAYOUT_CLASS})$"))
-    more = elements.filter(F.col("tag").isin("button", "a") & F.lower("text").rlike(_any_of(MORE_WORDS)))
+    more = elements.filter(F.col("tag").isin(MORE_TAGS) & F.lower("text").rlike(_any_of(MORE_WORDS)))
     once = more.groupBy("page_id").agg(F.min(F.struct("node", F.concat_ws(".", "tag", F.get(names, F.lit(0))).alias("css")))["css"].alias("selector"))
     return every.unionByName(once.select("page_id", F.lit("click").alias("action"), "selector"))
 
@@ -436,7 +443,7 @@ def discovered(pages: DataFrame) -> dict[str, DataFrame]:
     """All guesses about listing pages (page_id, url, html): blocks, scopes, fields, details, next, actions, forms, preview, notes."""
     hosts = pages.select("page_id", F.lower(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:www\.)?([^/?#]*)", 1)).alias("host"))
     blocks, nodes = records_of(pages)
-    out = {"blocks": blocks, "scopes": scoped(pages, blocks), "fields": guessed_fields(nodes, hosts), "details": detail_links(nodes, hosts), "next": listing.next_links(pages), "actions": page_actions(nodes, listing.nodes(pages)), "forms": query_forms(controls(pages))}
+    out = {"blocks": blocks, "scopes": scoped(pages, blocks), "fields": guessed_fields(nodes, hosts), "details": detail_links(nodes, hosts), "next": listing.next_links(pages), "actions": page_actions(nodes, listing.nodes(pages, MORE_TAGS)), "forms": query_forms(controls(pages))}
     out["preview"] = previewed(nodes, out["fields"])
     out["notes"] = notes(pages, out["scopes"], out["fields"], out["details"], out["next"], out["forms"])
     return out

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.staging import spread, stage
 from .extraction import Page, Rule
-from .pages import resolved
+from .pages import framed, resolved
 
 PARSED = "page_id long, kind string, node int, parent int, last int, prev int, nth int, nth_last int, tag string, classes array<string>, attributes map<string,string>, first int, end int, text string"
 
@@ -30,19 +30,21 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in PARSED.split(", ")]
+        for frame in framed(pieces(batches), names):
+            yield frame.astype({c: "Int32" for c in ("parent", "last", "prev", "nth", "nth_last", "first", "end")})
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
                 page, children = Page(html), defaultdict(list)
                 for n in page.nodes:
                     children[n[1]].append(n[0])
                 place = {k: (i, x[i - 1] if i else None, len(x) - i) for x in children.values() for i, k in enumerate(x)}
-                rows = []
                 for n in page.nodes:
                     i, prev, back = place[n[0]]
                     a = page.attributes[n[0]]
-                    rows.append((page_id, "node", n[0], n[1], n[7], prev, i + 1, back, n[2], (a.get("class") or "").split(), a, n[5], n[6], None))
-                rows += [(page_id, "text", k, None, None, None, None, None, None, None, None, None, None, x) for k, x in enumerate(page.texts)]
-                yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("parent", "last", "prev", "nth", "nth_last", "first", "end")})
+                    yield page_id, "node", n[0], n[1], n[7], prev, i + 1, back, n[2], (a.get("class") or "").split(), a, n[5], n[6], None
+                yield from ((page_id, "text", k, None, None, None, None, None, None, None, None, None, None, x) for k, x in enumerate(page.texts))
 
     return stage(spread(pages.select("page_id", "html")).mapInPandas(run, PARSED), "nodes")
 

@@ -34,6 +34,33 @@ def test_pages_in_old_charsets(spark):
     assert [r["t"] for r in got] == [t for _, t in rows]
 
 
+def test_one_row_group_is_spread(spark, tmp_path):
+    """A file has as many pieces as its size says, however few have rows; work on rows is dealt out all the same."""
+    from rolodexter.operators.staging import spread
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        df = spark.read.parquet(str(tmp_path / "one"))
+        assert df.rdd.getNumPartitions() >= 4 and df.select(F.spark_partition_id()).distinct().count() == 1
+        assert spread(df).select(F.spark_partition_id()).distinct().count() >= 12
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_frames_are_bounded(spark):
+    """Rows of many pages and long files come in frames of bounded size, small pages together."""
+    rows = [(k, "x" * (3 << 20) if k > 9990 else "y") for k in range(10_000)]
+    got = list(pages.framed(iter(rows), ["a", "b"]))
+    assert [len(f) for f in got] == [4096, 4096, 1801, 2, 2, 2, 1] and [a for f in got for a in f["a"]] == list(range(10_000))
+    lines = ["名稱;備註"] + [f"甲{k};" + ("a\n" if k % 2 else "") for k in range(25_000)]
+    data = "\n".join(f'"{x[:-2]}";"{x[-2:]}"' if x.endswith("\n") else x for x in lines).encode()
+    files = spark.createDataFrame([("a.csv", data)], "path string, content binary")
+    assert tables.cells_of(files).agg(F.count("*"), F.max("line"), F.count_distinct("line")).first()[:] == (25_001, 25_000, 25_001)
+    assert len(list(tables._rows("a.csv", data))) == 25_001
+
+
 def test_entities_without_an_end(spark, duck):
     """As the SQL of page_title_and_charset and page_links reads them: a title that was cut within an entity, and parameters named like one."""
     from rolodexter.plans import queries
