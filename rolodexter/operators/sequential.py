@@ -191,7 +191,7 @@ def upserted(store: DataFrame, batch: DataFrame, slice_rows: int = SLICE_ROWS, t
     name and phone, name and host, or a row known by its name only. Blank fields and keys of extra are filled, the source is the latest, a verdict counts for the address that is held and never replaces a bounce,
     and a new person becomes a contact. Rows that can ever meet share a key or the probe "n:" + name_key; such sets are replayed, many in one task, after _lighter() has
     left out what changes nothing. A set with more than slice_rows records is replayed in rounds, each of which makes most of the rest light; so no task gets more than
-    task_rows and a slice. Only records of one name that all are new rows need a round for each slice.
+    task_rows and a slice. Only records of one set whose signals others share, and that all are new rows, need a round for each slice.
     """
     row_id = F.when(F.col("id").isNotNull(), -F.col("id")).otherwise(F.col("seq"))
     shape = lambda df, pending: df.withColumns({"email": F.lower("email"), "pending": F.lit(pending), "weight": F.lit(int(pending)).cast("long"), "row_id": row_id})
