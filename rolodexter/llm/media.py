@@ -23,6 +23,8 @@ TAGS = {"mulaw": 7, "alaw": 6, "ima_adpcm": 17}
 CODECS = tuple(TAGS)
 #: Coded bytes of a stored piece: whole blocks, about a MB.
 PIECE = BLOCK * 1820
+#: Bytes of PCM of one codec that leave a task together: samples of one codec resemble each other, and a page of the table holds a run of them.
+RUN = 16 << 20
 PCM_COLUMNS = ["row", "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "rate", "piece", "pcm"]
 #: The IMA ADPCM step sizes and index changes.
 STEPS = np.array(
@@ -158,7 +160,8 @@ def resampled_audio(media: DataFrame, piece_bytes: int = PIECE) -> DataFrame:
     """The WAVs of stored_audio() as 16-bit PCM at 16 kHz (little-endian samples, as they are): a row for each piece of piece_bytes coded bytes.
 
     With each: the number of its WAV's row and its own, doc_id, n_bytes, the sizes and checksums of payload and WAV, codec and rate. No value and no batch grows
-    with a text's length. Rows are numbered by task, so write the result before rows are put together again.
+    with a text's length. Rows are numbered by task, so write the result before rows are put together again. A task gives runs of rows of one codec, of RUN bytes or what is
+    left: the same samples take less room than in the order of the WAVs.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,22 +175,24 @@ def resampled_audio(media: DataFrame, piece_bytes: int = PIECE) -> DataFrame:
                     yield about, k, piece
 
     def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting, n = [], 0
+        waiting, held = {c: [] for c in CODECS}, dict.fromkeys(CODECS, 0)
 
-        def emptied() -> pd.DataFrame:
+        def emptied(codec: str) -> pd.DataFrame:
             rows = []
-            for (about, k, (_, _, before, size)), pcm in zip(waiting, decoded([(p[0], p[1]) for _, _, p in waiting]), strict=True):
+            for (about, k, (_, _, before, size)), pcm in zip(waiting[codec], decoded([(p[0], p[1]) for _, _, p in waiting[codec]]), strict=True):
                 rows.append((*about, k, resampled(pcm)[2 * before : 2 * (before + size)].astype("<i2").tobytes()))
+            waiting[codec], held[codec] = [], 0
             return pd.DataFrame(rows, columns=PCM_COLUMNS)
 
         for one in run(batches):
-            waiting.append(one)
-            n += len(one[2][1])
-            if n >= 1 << 20:
-                yield emptied()
-                waiting, n = [], 0
-        if waiting:
-            yield emptied()
+            codec, _, _, size = one[2]
+            waiting[codec].append(one)
+            held[codec] += 4 * size
+            if held[codec] >= RUN:
+                yield emptied(codec)
+        for codec in CODECS:
+            if waiting[codec]:
+                yield emptied(codec)
 
     return media.mapInPandas(trimmed(together), "row long, doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, rate int, piece int, pcm binary")
 
