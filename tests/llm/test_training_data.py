@@ -436,6 +436,30 @@ def test_media_rows_of_one_codec_lie_together(docs):
     assert {r["doc_id"]: (r["codec"], bytes(r["pcm"])) for r in stored} == {i: (c, media.resampled(next(media.decoded([(c, p)]))).tobytes()) for i, (c, p) in given.items()}
 
 
+def test_media_like_texts_lie_together(spark, monkeypatch):
+    """Copies that are dealt apart are side by side in the table of WAVs, all of them; a large group of copies is in several tasks."""
+    tables = {}
+
+    def kept(df, name, level):
+        tables[name] = common.staged(df, name, level)
+        return tables[name]
+
+    monkeypatch.setattr(media, "staged", kept)
+    texts = ["one text of some words", "ein anderer Text", "日本語のテキスト 😀", None, ""]
+    docs = spark.createDataFrame([(i if i % 7 else None, texts[i % 5]) for i in range(200)], "doc_id long, text string").repartition(4).cache()
+    got = media.op8_media(docs).collect()
+    rows = tables["media"].withColumn("part", F.input_file_name()).collect()
+    assert Counter((r["doc_id"], bytes(r["media"])) for r in rows) == Counter((r["doc_id"], media.to_wav(p, media.CODECS[zlib.crc32(p) % 3])) for r in docs.collect() for p in [media.padded(r["text"] or "")])
+    assert Counter((r["doc_id"], r["media_sha256"]) for r in got) == Counter((r["doc_id"], hashlib.sha256(r["media"]).hexdigest()) for r in rows)
+    for part in {r["part"] for r in rows}:
+        held = [bytes(r["media"]) for r in rows if r["part"] == part]
+        assert sum(a != b for a, b in zip(held, held[1:])) + 1 == len(set(held))
+    copies = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    with common.settings(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}):
+        spread = media.alike_together(copies).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in spread) == 4000 and len(spread) == 8 and max(r["count"] for r in spread) < 1500
+
+
 def test_media_in_pieces(docs):
     """Pieces of a few blocks hold the samples of the whole, and describe as it does but for the checksum."""
     wavs = media.stored_audio(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).cache()
