@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
 from .connected import clusters
+from .joins import Within, part_matches
 from .staging import stage
 
 KEYS = ["dedupe_key", "tax_id", "email", "name_key"]
 FILLED = ["tax_id", "email", "phone", "website", "address", "industry", "english_name", "fax", "products", "contact_person"]
 #: Columns of store and batch; ids of the store are positive, new rows get none. extra is filled key by key; contacts are the persons of a company.
+CONTACTS = "array<struct<name:string,email:string,phone:string,is_primary:boolean>>"
 COLUMNS = (
     "id long, seq long, company_name string, name_key string, dedupe_key string, host string, source_url string, " + ", ".join(f"{c} string" for c in FILLED)
-    + ", extra map<string,string>, email_verdict string, contacts array<struct<name:string,email:string,phone:string,is_primary:boolean>>"
+    + f", extra map<string,string>, email_verdict string, contacts {CONTACTS}"
 )
 NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 #: Records of one connected set that a round replays, and rows that a task replays.
@@ -176,43 +179,80 @@ def _lighter(state: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame
     return heavier, of.filter("target is null").unionByName(kept).drop("target")
 
 
+def _signals(*site: str) -> Column:
+    """An array of (kind, a, b): what a row is found by, or with ``site`` host what a record looks for one by. Values are as they stand, since a replay compares them so."""
+    value = lambda c: F.when(blank_to_null(c).isNotNull(), F.col(c))
+    said = lambda kind, a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b")))
+    kinds = [said(c, value(c), F.lit("")) for c in KEYS[:3]] + [said("phone", value("name_key"), value("phone")), said("site", value("name_key"), value(site[0] if site else "website"))]
+    if site:
+        kinds.append(said("dedupe_key", F.concat(F.lit("n:"), value("name_key")), F.lit("")))
+    return F.filter(F.array(*kinds), lambda x: x.isNotNull())
+
+
+def _found(state: DataFrame, probes: DataFrame) -> DataFrame:
+    """(kind, a, b, row_id): for each of the probes (kind, a, b) the first row of the store that has it, or whose website holds the host.
+
+    No record can find another row first: a row that is not the first of any of its values is found only after a record went into it. So these are all that a replay needs.
+    """
+    by = ["kind", "a", "b"]
+    held = state.select("id", F.when(F.col("id").isNull(), F.col("seq")).alias("seq"), F.inline(_signals())).groupBy(*by).agg(F.min("id").alias("_old"), F.min("seq").alias("_new"))
+    held = held.select(*by, F.struct(F.col("_old").isNull().alias("new"), F.coalesce("_old", "_new").alias("nr")).alias("at"))
+    asked = probes.select(*by).distinct()
+    equal = asked.filter("kind <> 'site'").join(held, by)
+    # Blanks at the ends of names, hosts and websites count here, unlike in part_matches().
+    whole = lambda c: F.translate(c, " ", "\1").alias(c)
+    hosts = asked.filter("kind = 'site'").select(F.struct(*by).alias("probe"), whole("a"), whole("b"))
+    sites = held.filter("kind = 'site'").join(asked.filter("kind = 'site'").select("a").distinct(), "a", "left_semi").select("at", whole("a"), whole("b"))
+    within = part_matches(hosts, sites, Within("b", "b", (("a", "a"),)), "probe", "at").select("row_id.*", F.col("target_id").alias("at"))
+    return equal.unionByName(within).select(*by, F.when(F.col("at.new"), F.col("at.nr")).otherwise(-F.col("at.nr")).alias("row_id"))
+
+
 def _sliced(rows: DataFrame, slice_rows: int) -> DataFrame:
-    """rows with turn: whether a round replays them. Of a set with over slice_rows records those up to a quantile of their seq, which holds slice_rows or a thousandth of them."""
-    sizes = rows.filter("pending").groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("seq", [k / 1000 for k in range(1, 1001)], 10000).alias("_q"))
-    upto = F.when(F.col("_n") > slice_rows, F.element_at("_q", F.greatest(F.lit(1), F.floor(slice_rows * 1000 / F.col("_n"))).cast("int")))
-    limits = sizes.select("cluster", F.lit(True).alias("_any"), upto.alias("_upto"))
-    return rows.join(limits, "cluster", "left").withColumn("turn", F.coalesce("_any", F.lit(False)) & (~F.col("pending") | F.col("_upto").isNull() | (F.col("seq") <= F.col("_upto")))).drop("_any")
+    """rows with turn: whether a round replays them; and _upto, null unless their set has over slice_rows records. Of those it replays the ones up to a quantile of their seq, which holds slice_rows or a thousandth of them."""
+    large = rows.filter("pending").groupBy("cluster").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > slice_rows)
+    ends = rows.filter("pending").join(large, "cluster").groupBy("cluster").agg(F.first("_n").alias("_n"), F.percentile_approx("seq", [k / 1000 for k in range(1, 1001)], 10000).alias("_q"))
+    limits = ends.select("cluster", F.element_at("_q", F.greatest(F.lit(1), F.floor(slice_rows * 1000 / F.col("_n"))).cast("int")).alias("_upto"))
+    return rows.join(limits, "cluster", "left").withColumn("turn", ~F.col("pending") | F.col("_upto").isNull() | (F.col("seq") <= F.col("_upto")))
 
 
 def upserted(store: DataFrame, batch: DataFrame, slice_rows: int = SLICE_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
-    """The store after the batch, in the order of ``seq``: COLUMNS and merged, how many records went into each row.
+    """The store after the batch, in the order of ``seq``: COLUMNS and merged, how many records went into each row. Blank columns come out null, maps and contacts that are missing empty.
 
     store and batch have columns of COLUMNS; a store's seq does not count, a batch's id is null and its seq is its own. A record finds its row by dedupe_key, tax id, e-mail,
     name and phone, name and host, or a row known by its name only. Blank fields and keys of extra are filled, the source is the latest, a verdict counts for the address that is held and never replaces a bounce,
-    and a new person becomes a contact. Rows that can ever meet share a key or the probe "n:" + name_key; such sets are replayed, many in one task, after _lighter() has
-    left out what changes nothing. A set with more than slice_rows records is replayed in rounds, each of which makes most of the rest light; so no task gets more than
-    task_rows and a slice. Only records of one set whose signals others share, and that all are new rows, need a round for each slice.
+    and a new person becomes a contact. After _lighter() has left out what changes nothing, rows of the store that no record can find are done. The others and the records share a key or the
+    probe "n:" + name_key if they can ever meet; such sets are replayed, many in one task. A set with more than slice_rows records is replayed in rounds, each of which makes most of the rest light and
+    takes only the rows that its slice can find: six for a record at most. Only records of one set whose signals others share, and that all are new rows, need a round for each slice.
     """
     row_id = F.when(F.col("id").isNotNull(), -F.col("id")).otherwise(F.col("seq"))
-    shape = lambda df, pending: df.withColumns({"email": F.lower("email"), "pending": F.lit(pending), "weight": F.lit(int(pending)).cast("long"), "row_id": row_id})
-    state = shape(complete(store).withColumn("merged", F.lit(0).cast("long")), False)
-    pending = shape(complete(batch).withColumns({"id": F.lit(None).cast("long"), "merged": F.lit(0).cast("long")}), True)
+    texts = {c: F.when(F.col(c).rlike(r"(?U)[^\s\x1c-\x1f]"), F.col(c)) for c in NAMES if c not in ("id", "seq", "extra", "contacts")}
+    given = {"extra": F.coalesce("extra", F.create_map().cast("map<string,string>")), "contacts": F.coalesce("contacts", F.array().cast(CONTACTS))}
+    shape = lambda df, pending: df.withColumns({"pending": F.lit(pending), "weight": F.lit(int(pending)).cast("long"), "row_id": row_id})
+    ready = lambda df, pending: shape(complete(df).withColumns(texts | given | {"email": F.lower(texts["email"]), "merged": F.lit(0).cast("long")}), pending)
+    state, pending = ready(store, False), ready(batch.withColumn("id", F.lit(None).cast("long")), True)
+    done: list[DataFrame] = []
     while True:
-        state, pending = _lighter(state, pending)
-        rows = stage(state.withColumn("alone", F.lit(False)).unionByName(pending), "records")
+        heavier, pending = _lighter(state, pending)
+        pending = stage(pending, "pending")
+        probes = stage(pending.filter("not alone").select("row_id", F.inline(_signals("host"))), "probes")
+        found = stage(_found(state, probes), "found")
+        state = stage(heavier.join(found.select("row_id", F.lit(True).alias("met")).distinct(), "row_id", "left"), "state")
+        done.append(state.filter("met is null").drop("met"))
+        rows = state.filter("met").drop("met").unionByName(pending.filter("not alone").drop("alone"))
         tagged = [F.concat(F.lit(c + "="), blank_to_null(c)) for c in KEYS] + [F.concat(F.lit("dedupe_key=n:"), blank_to_null("name_key"))]
-        keys = rows.filter("not alone").select("row_id", "pending", F.explode(F.filter(F.array(*tagged), lambda k: k.isNotNull())).alias("key"))
-        named = stage(_sliced(rows.join(clusters(rows, "row_id", keys.drop("pending")), "row_id"), slice_rows), "sliced")
-        large = named.filter("_upto is not null").select("cluster").distinct()
-        waiting, turn = not large.isEmpty(), named.filter("turn")
-        if waiting:  # of a large set only the rows that share a key with the slice can be met
-            slices = turn.filter("pending").join(large, "cluster", "left_semi").select("row_id")
-            met = keys.filter("not pending").join(keys.join(slices, "row_id", "left_semi").select("key").distinct(), "key", "left_semi").select("row_id").distinct()
-            turn = turn.join(large, "cluster", "left_anti").unionByName(turn.filter("pending").join(large, "cluster", "left_semi")).unionByName(turn.filter("not pending").join(large, "cluster", "left_semi").join(met, "row_id", "left_semi"))
+        keys = rows.select("row_id", F.explode(F.filter(F.array(*tagged), lambda k: k.isNotNull())).alias("key"))
+        named = stage(_sliced(rows.join(clusters(rows, "row_id", keys), "row_id"), slice_rows), "sliced")
+        waiting, turn = not named.filter("_upto is not null").isEmpty(), named.filter("turn")
+        if waiting:
+            slices = probes.join(turn.filter("pending and _upto is not null").select("row_id"), "row_id", "left_semi").drop("row_id").distinct()
+            met = found.join(slices, ["kind", "a", "b"], "left_semi").select("row_id").distinct()
+            turn = turn.filter("pending or _upto is null").unionByName(turn.filter("not pending and _upto is not null").join(met, "row_id", "left_semi"))
+        turn = turn.drop("turn", "_upto").unionByName(pending.filter("alone").drop("alone").withColumn("cluster", F.col("row_id")))
         tasks = max(2, -(-turn.count() // task_rows))
-        out = stage(turn.withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(tasks))).drop("turn", "_upto", "cluster", "alone").groupBy("task").applyInPandas(_replay, COLUMNS + ", merged long"), "replayed")
-        rest = named.join(turn.select("row_id"), "row_id", "left_anti")
-        out = out.unionByName(rest.filter("not pending").withColumn("merged", F.col("merged") + F.col("weight")).select(*out.columns))
+        out = stage(turn.withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(tasks))).drop("cluster").groupBy("task").applyInPandas(_replay, COLUMNS + ", merged long"), "replayed")
+        rest = named.join(turn.select("row_id"), "row_id", "left_anti").drop("turn", "_upto", "cluster")
+        left = lambda df: df.withColumn("merged", F.col("merged") + F.col("weight")).select(*out.columns)  # noqa: E731, B023
+        out = out.unionByName(left(rest.filter("not pending")))
         if not waiting:
-            return out
-        state, pending = shape(out, False).select(*state.columns), rest.filter("pending").drop("turn", "_upto", "cluster", "alone")
+            return reduce(DataFrame.unionByName, map(left, done), out)
+        state, pending = shape(out, False).select(*rows.columns), rest.filter("pending")

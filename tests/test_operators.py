@@ -341,6 +341,36 @@ def test_records_of_a_name_leave_few(spark):
     assert sorted(r["seq"] for r in left.filter("not alone").collect()) == [1, 2, 396] and left.filter("alone").count() == 100
 
 
+def test_replay_gets_only_rows_that_records_find(spark, tmp_path, monkeypatch):
+    """Of 400 rows of one name those are replayed that are the first with a signal of a record; blanks in hosts count; the rest comes out in the same form."""
+    import uuid
+
+    from rolodexter.operators import sequential
+
+    real, told = sequential._replay, str(tmp_path)
+
+    def counted(rows):
+        with open(f"{told}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(rows)))
+        return real(rows)
+
+    record = lambda k, **kw: dict.fromkeys(sequential.NAMES) | {"id": None, "seq": k, "company_name": f"c{k}", "name_key": "a", "dedupe_key": f"k:{k}", "source_url": f"u{k}"} | kw
+    sites = {5: "https://h1.tw", 6: "https:// h1.tw", 7: "https://h1.tw/x"}
+    store = [record(None, id=k, dedupe_key=f"s:{k}", phone=f"p{k // 40}", tax_id=str(k // 100) if k > 150 else None, website=sites.get(k)) for k in range(1, 401)]
+    signals = [{"phone": "p3"}, {"host": "h1.tw"}, {"host": " h1.tw"}, {"dedupe_key": "s:77"}, {"tax_id": "2", "phone": "new"}, {"phone": "new", "contact_person": "Lin"}, {"host": "none.tw"}]
+    batch = [record(k, **signals[k % 7]) for k in range(70)]
+    frame = lambda rows: spark.createDataFrame([tuple(r.values()) for r in rows], sequential.COLUMNS)
+    monkeypatch.setattr(sequential, "_replay", counted)
+    for slice_rows in (20_000, 15):
+        got = sequential.upserted(frame(store), frame(batch), slice_rows).collect()
+        assert shown(r.asDict() for r in got) == shown(plain_upsert(store, batch))
+        sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+        assert max(sizes) <= 70 + 5
+    store[299] |= {"fax": " ", "address": "\t"}
+    left = next(r for r in sequential.upserted(frame(store), frame(batch)).collect() if r["id"] == 300)
+    assert (left["fax"], left["address"], left["contacts"], left["extra"]) == (None, None, [], {})
+
+
 @pytest.mark.parametrize("shape", ["chain", "shuffled chain", "stars", "mixed"])
 def test_clusters_by_contraction(spark, shape):
     import random
