@@ -124,15 +124,18 @@ def _targets(state: DataFrame, pending: DataFrame) -> DataFrame:
     held leave neither e-mail nor tax id where it would be found first. It goes into the row of its name alone if the rest of it is its own: no row of the store and no other record
     has its dedupe_key, tax id, e-mail or telephone, and it has no host. Such a record is alone if there is no row of its name alone, will be none, and none can find it by host.
     """
-    order = F.struct(F.col("id").isNull(), F.coalesce("id", "seq"))
     value = lambda c: blank_to_null(c)
-    first = F.min(F.struct(order.alias("at"), "row_id", value("email").isNotNull().alias("mailed"), value("tax_id").isNotNull().alias("taxed")))
-    held = lambda c, name: state.groupBy(value(c).alias(f"_{c}")).agg(first.alias(name)).filter(F.col(f"_{c}").isNotNull())
+    old, new = F.col("id"), F.when(F.col("id").isNull(), F.col("seq"))
+    of_first = lambda c: F.when(F.min(old).isNotNull(), F.min_by(value(c).isNotNull(), old)).otherwise(F.min_by(value(c).isNotNull(), new))
+    at = F.struct(F.min(old).isNull().alias("new"), F.coalesce(F.min(old), F.min(new)).alias("nr"))
+    first = F.struct(at.alias("at"), F.coalesce(-F.min(old), F.min(new)).alias("row_id"), of_first("email").alias("mailed"), of_first("tax_id").alias("taxed"))
+    held = lambda c, name: state.filter(value(c).isNotNull()).groupBy(value(c).alias(f"_{c}")).agg(first.alias(name))
     p = pending
     for c, name in (("dedupe_key", "_by_key"), ("email", "_by_mail"), ("tax_id", "_by_tax"), ("phone", "_by_phone")):
         p = p.join(held(c, name), value(c) == F.col(f"_{c}"), "left")
     named = held("dedupe_key", "_by_name").withColumnRenamed("_dedupe_key", "_named")
     p = p.join(named, F.concat(F.lit("n:"), value("name_key")) == F.col("_named"), "left")
+    p = stage(p, "held")
     by = lambda c, *e: p.filter(value(c).isNotNull()).groupBy(value(c).alias(f"_of_{c}")).agg(*e)
     n = lambda c: F.count(F.lit(1)).alias(f"_n_{c}")
     same = F.coalesce(F.min(value("email")) == F.max(value("email")), F.lit(False)) & (F.count(value("email")) == F.count(F.lit(1)))
@@ -172,7 +175,8 @@ def _lighter(state: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame
     tells += [F.when(said.isNotNull(), entry("verdict", F.col("email"), False)), F.when(said == "Bounced", entry("bounce", F.col("email"), True))]
     keys = F.transform(F.map_keys(F.map_filter(F.coalesce("extra", F.create_map().cast("map<string,string>")), lambda _, v: F.coalesce(F.trim(v) != "", F.lit(False)))), lambda k: entry("extra", k, True))
     told = late.select("target", "seq", F.explode(F.concat(F.filter(F.array(*tells), lambda x: x.isNotNull()), keys)).alias("t"))
-    telling = told.groupBy("target", "t").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).select("target", F.when(F.col("t.first"), F.col("a")).otherwise(F.col("b")).alias("seq")).distinct()
+    ends = told.groupBy("target", "t").agg(F.min("seq").alias("a"), F.max("seq").alias("b"))
+    telling = stage(ends.select("target", F.when(F.col("t.first"), F.col("a")).otherwise(F.col("b")).alias("seq")).distinct(), "telling")
     kept = late.join(telling, ["target", "seq"], "left_semi")
     spare = late.join(telling, ["target", "seq"], "left_anti").groupBy(F.col("target").alias("row_id")).agg(F.count(F.lit(1)).alias("_spare"))
     heavier = state.join(spare, "row_id", "left").withColumn("weight", F.col("weight") + F.coalesce("_spare", F.lit(0))).select(*state.columns)
@@ -250,7 +254,7 @@ def upserted(store: DataFrame, batch: DataFrame, slice_rows: int = SLICE_ROWS, t
         turn = turn.drop("turn", "_upto").unionByName(pending.filter("alone").drop("alone").withColumn("cluster", F.col("row_id")))
         tasks = max(2, -(-turn.count() // task_rows))
         out = stage(turn.withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(tasks))).drop("cluster").groupBy("task").applyInPandas(_replay, COLUMNS + ", merged long"), "replayed")
-        rest = named.join(turn.select("row_id"), "row_id", "left_anti").drop("turn", "_upto", "cluster")
+        rest = stage(named.join(turn.select("row_id"), "row_id", "left_anti").drop("turn", "_upto", "cluster"), "rest")
         left = lambda df: df.withColumn("merged", F.col("merged") + F.col("weight")).select(*out.columns)  # noqa: E731, B023
         out = out.unionByName(left(rest.filter("not pending")))
         if not waiting:

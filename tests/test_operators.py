@@ -361,7 +361,7 @@ def test_replay_gets_only_rows_that_records_find(spark, tmp_path, monkeypatch):
     batch = [record(k, **signals[k % 7]) for k in range(70)]
     frame = lambda rows: spark.createDataFrame([tuple(r.values()) for r in rows], sequential.COLUMNS)
     monkeypatch.setattr(sequential, "_replay", counted)
-    for slice_rows in (20_000, 15):
+    for slice_rows in (20_000, 30):
         got = sequential.upserted(frame(store), frame(batch), slice_rows).collect()
         assert shown(r.asDict() for r in got) == shown(plain_upsert(store, batch))
         sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
